@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.plans.runtime import ws_trim
@@ -66,6 +66,23 @@ def provenance_key(c: Column) -> Column:
     return F.when(normalise_url(c) != "", key)
 
 
+def with_url_parts(df: DataFrame, address: str) -> DataFrame:
+    """Add ``url_norm, url_host, url_path, url_fields`` of a column, step by step, so that no expression is computed twice."""
+    out = df.withColumn("url_norm", normalise_url(F.col(address)))
+    out = out.withColumn("_rest", F.regexp_replace("url_norm", r"^(?i:https?)://", ""))
+    out = out.withColumn("_authority", F.regexp_extract("_rest", r"^[^/?#]*", 0)).withColumn("_query", F.when(F.col("_rest").contains("?"), F.regexp_extract("_rest", r"\?(.*)$", 1)).otherwise(""))
+    out = out.withColumn("_path", F.regexp_replace(F.regexp_replace(F.regexp_extract("_rest", r"^[^/?#]*([^?#]*)", 1), r";[^/]*$", ""), r"/+", "/"))
+
+    def kept(f: Column) -> Column:
+        name = F.lower(F.substring_index(f, "=", 1))
+        return (f != "") & ~name.isin(*TRACKING_FIELDS) & ~name.startswith(TRACKING_PREFIX)
+
+    out = out.withColumn("url_host", F.lower(F.regexp_replace(F.regexp_replace(F.col("_authority"), r"^.*@", ""), r"\.*(:\d*)?$", "")))
+    out = out.withColumn("url_path", F.when(F.col("_path").isin("", "/"), F.lit("/")).otherwise(F.rtrim(F.col("_path"), F.lit("/"))))
+    out = out.withColumn("url_fields", F.when(F.col("_query") == "", F.array().cast("array<string>")).otherwise(F.filter(F.split("_query", "&"), kept)))
+    return out.drop("_rest", "_authority", "_query", "_path")
+
+
 def host_in(host: Column, domains: tuple[str, ...]) -> Column:
     """Host equals one of ``domains`` or lies under it: an equality test on its suffixes, no theta join."""
     parts = F.split(host, r"\.")
