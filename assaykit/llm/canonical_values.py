@@ -43,7 +43,7 @@ _APART = {"north", "south", "east", "west", "new", "or", "and", "oder", "o", "un
 def forms(value: str, places: bool = False) -> tuple[tuple[int, tuple[str, ...]], ...]:
     """``(level, words)`` under which a value is looked up.
 
-    Level 0: as it stands and without remarks. Level 1: its parts at / ( ) , dashes and between scripts. Level 2, only
+    Level 0: as it stands; 1: without remarks; 2: its parts at / ( ) , dashes and between scripts; 3, only
     for ``places``: its first or last words, as a town may stand beside the country. Lower levels go first.
     """
     value = value.strip()
@@ -60,16 +60,16 @@ def forms(value: str, places: bool = False) -> tuple[tuple[int, tuple[str, ...]]
     text = fold(camel)
     add(text, 0)
     plain = _REMARKS.sub(" ", text)
-    add(plain, 0)
+    add(plain, 1)
     parts = [p for p in re.split(r"[/(),]|\s-\s|\s+(?=[一-鿿])|(?<=[一-鿿])\s+", plain) if p.strip()]
     if len(parts) > 1:
         for p in parts:
-            add(p, 1)
+            add(p, 2)
     tail = plain.split()
     if places and 2 <= len(tail) <= 5 and not _APART & set(tail):
         for k in range(1, min(4, len(tail))):
-            add(" ".join(tail[-k:]), 2)
-            add(" ".join(tail[:k]), 2)
+            add(" ".join(tail[-k:]), 3)
+            add(" ".join(tail[:k]), 3)
     return tuple(out)
 
 
