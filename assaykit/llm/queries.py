@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.llm import address_copies as ac
 from assaykit.llm import canonical_values as cv
+from assaykit.llm.containers import container_report, containers
+from assaykit.llm.source_mix import mix_shares, source_mix
+from assaykit.llm.token_sizes import token_size
+from assaykit.plans.runtime import cut_lineage
 from assaykit.sources.tables import load_table
 
 
@@ -32,5 +37,30 @@ def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ac.address_counts(_hashed(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p3_found": p3_found, "p3_counts": p3_counts}
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load_table(spark, sf_dir, "documents").select("doc_id", "source", token_size(F.col("text")).alias("tokens"))
+    return cut_lineage(docs)
+
+
+def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = _sized(spark, sf_dir)
+    kinds = load_table(spark, sf_dir, "container_sizes").orderBy("container_kind").collect()
+    parts = [containers(sized, k["capacity_tokens"]).select(F.lit(k["container_kind"]).alias("container_kind"), F.lit(k["capacity_tokens"]).alias("capacity_tokens"), "*") for k in kinds]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return container_report(p6_packing(spark, sf_dir))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix(_sized(spark, sf_dir), load_table(spark, sf_dir, "source_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = load_table(spark, sf_dir, "source_targets")
+    return mix_shares(source_mix(_sized(spark, sf_dir), targets), targets)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p3_found": p3_found, "p3_counts": p3_counts, "p6_packing": p6_packing, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares}
 ORACLE: dict[str, str] = {}
