@@ -8,33 +8,50 @@ and only those groups are grouped again by the text itself.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.functions.urls import with_url_parts
+from assaykit.functions.urls import TRACKING_FIELDS, TRACKING_PREFIX
 from assaykit.plans.runtime import heavy_safe_join
 
 #: What people write where there is no address.
 STAND_INS = ("", "-", "--", "n/a", "na", "n.a", "none", "null", "nil", "nan", "unknown", "http", "https", "www", "http://", "https://", "tbd", "x", "?")
 
-_OPEN = r"""^[\s 　​﻿"'`<(\[{«‹“”„‘’]+"""
-_CLOSE = r"""[\s 　​﻿"'`>)\]}»›“”‘’.,;:!?…]+$"""
+#: Fixed value: white space and punctuation that may enclose or end an address.
+_AROUND = " \t\r\n\f\v\u00a0\u3000\u200b\ufeff\"'`<>()[]{}«»‹›“”„‘’.,;:!?…"
 
 
-def canonical_address(df: DataFrame, address: str) -> DataFrame:
-    """Add ``canon``: one text for all writings of an address; NULL for null, blank, stand-ins and what has no dotted host."""
-    bare = F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(address), F.lit("")), _OPEN, ""), _CLOSE, ""))
-    out = with_url_parts(df.withColumn("_bare", bare), "_bare")
-    host = F.when(F.col("url_host").startswith("www."), F.expr("substring(url_host, 5)")).otherwise(F.col("url_host"))
-    fields = F.when(F.size("url_fields") == 0, F.lit("")).otherwise(F.translate(F.concat_ws("&", F.array_sort("url_fields")), "+", " "))
-    out = out.withColumn("_host", host).withColumn("canon", F.when(~F.col("_bare").isin(*STAND_INS) & F.col("_host").rlike(r"^[^.\s]+(\.[^.\s]+)+$"), F.concat_ws("\x1f", "_host", "url_path", fields)))
-    return out.drop("_bare", "_host", "url_norm", "url_host", "url_path", "url_fields")
+def _let(value: Column, body) -> Column:
+    """Bind ``value`` once for ``body``; the expression tree stays linear wherever the optimizer copies it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _text(b: Column) -> Column:
+    """Canonical text of an address that is already trimmed and in lower case; NULL if it has no dotted host."""
+
+    def field(f: Column) -> Column:
+        name = F.substring_index(f, "=", 1)
+        return (f != "") & ~name.isin(*TRACKING_FIELDS) & ~name.startswith(TRACKING_PREFIX)
+
+    def parts(rest: Column) -> Column:
+        host = F.regexp_replace(F.substring_index(F.substring_index(rest, "/", 1), "?", 1), r"^(?:.*@)?(?:www\.)?|\.*(?::\d*)?$", "")
+        path = F.regexp_replace(F.regexp_extract(rest, r"^[^/?]*([^?]*)", 1), r";[^/]*$|/+$|(?<=/)/+", "")
+        query = F.when(rest.contains("?"), F.concat_ws("&", F.array_sort(F.filter(F.split(F.translate(F.regexp_extract(rest, r"\?(.*)$", 1), "+", " "), "&"), field)))).otherwise("")
+        return _let(host, lambda h: F.when(h.rlike(r"^[^.\s]+(?:\.[^.\s]+)+$"), F.concat_ws("\x1f", h, path, query)))
+
+    known = ~b.isin(*STAND_INS) & (~b.contains("://") | b.rlike(r"^https?://"))
+    return F.when(known, _let(F.substring_index(F.regexp_replace(b, r"^https?:/+", ""), "#", 1), parts))
 
 
 def hashed_addresses(df: DataFrame, key: str, address: str, table: str) -> DataFrame:
-    """``table_name, row_id, canon, h1, h2, h3`` of the rows that have an address."""
-    rows = canonical_address(df.select(F.col(key).cast("bigint").alias("row_id"), F.col(address).alias("address")), "address")
-    rows = rows.filter(F.col("canon").isNotNull()).select(F.lit(table).alias("table_name"), "row_id", "canon")
+    """``table_name, row_id, canon, h1, h2, h3`` of the rows that have an address.
+
+    Null, blank and stand-in addresses are left out. The rows come out of a generator, so no later filter copies the
+    expression down to the scan.
+    """
+    bare = F.lower(F.btrim(F.coalesce(F.col(address), F.lit("")), F.lit(_AROUND)))
+    found = F.explode(F.filter(F.array(_let(bare, _text)), lambda x: x.isNotNull())).alias("canon")
+    rows = df.select(F.lit(table).alias("table_name"), F.col(key).cast("bigint").alias("row_id"), found)
     return rows.select("*", F.xxhash64("canon").alias("h1"), F.xxhash64(F.lit(7919), "canon").alias("h2"), F.xxhash64(F.lit(104729), F.reverse("canon")).alias("h3"))
 
 

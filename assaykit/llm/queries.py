@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from assaykit.llm import address_copies as ac
 from assaykit.llm import canonical_values as cv
+from assaykit.llm import page_body as pb
 from assaykit.llm.containers import container_report, containers
 from assaykit.llm.source_mix import mix_shares, source_mix
 from assaykit.llm.token_sizes import token_size
@@ -25,6 +26,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_lineage(pb.parsed(load_table(spark, sf_dir, "evidence_bundles")))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pb.furniture_lines(_parts(spark, sf_dir))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = pb.residue_sections(_parts(spark, sf_dir)).select(F.lit("evidence_bundles").alias("table_name"), F.col("bundle_id").cast("bigint").alias("row_id"), "section")
+    titles = pb.residue_titles(load_table(spark, sf_dir, "sources"), "source_row", "title").select(F.lit("sources").alias("table_name"), "row_id", F.lit("").alias("section"))
+    return pages.unionByName(titles)
+
+
 def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ac.hashed_addresses(load_table(spark, sf_dir, "sources"), "source_row", "url", "sources").unionByName(ac.hashed_addresses(load_table(spark, sf_dir, "input_records"), "record_id", "website", "input_records"))
 
@@ -62,5 +77,5 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_shares(source_mix(_sized(spark, sf_dir), targets), targets)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p3_found": p3_found, "p3_counts": p3_counts, "p6_packing": p6_packing, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p3_counts": p3_counts, "p6_packing": p6_packing, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares}
 ORACLE: dict[str, str] = {}
