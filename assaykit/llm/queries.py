@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from assaykit.llm import address_copies as ac
 from assaykit.llm import canonical_values as cv
 from assaykit.llm import page_body as pb
+from assaykit.llm import personal_data as pd8
 from assaykit.llm.containers import container_report, containers
 from assaykit.llm.source_mix import mix_shares, source_mix
 from assaykit.llm.token_sizes import token_size
@@ -77,5 +78,14 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_shares(source_mix(_sized(spark, sf_dir), targets), targets)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p3_counts": p3_counts, "p6_packing": p6_packing, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pd8.personal_values(pd8.personal_spans(load_table(spark, sf_dir, "documents")))
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load_table(spark, sf_dir, "documents")
+    return pd8.redacted(docs, pd8.personal_spans(docs))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p3_counts": p3_counts, "p6_packing": p6_packing, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
 ORACLE: dict[str, str] = {}

@@ -30,7 +30,7 @@ MESSAGE = re.compile(
 #: Filler and what programs print for nothing.
 FILLER = re.compile(
     r"(?i)^\W*(?:(?:undefined|null|nan|none|\[?object object\]?|nil|true|false)(?:\W+(?:undefined|null|nan|items?))*\W*$|<p>\s*</p>|&nbsp;|(?:text ){2,}text\W*$|(?:asdf\W*)+$|(?:x{2,}\W*)+$|"
-    r"(?:this is )?(?:a )?(?:sample|placeholder|dummy|example) (?:text|paragraph|headline|image|caption|block|title|content)\b|placeholder\b|dummy \w+|blindtext|platzhalter|hier steht ihr text|texto de (?:ejemplo|relleno)|示例文字|此处填写|占位|在此输入|"
+    r"(?:this is )?(?:a )?(?:sample|placeholder|dummy|example) (?:text|paragraph|headline|image|caption|block|title|content)\b(?=\W*$|[.,:;!–-]| [(–-])|placeholder\b|dummy \w+|blindtext|platzhalter|hier steht ihr text|texto de (?:ejemplo|relleno)|示例文字|此处填写|占位|在此输入|"
     r"(?:your|the)? ?(?:headline|title|text|content|subtitle|caption) goes here|your (?:content|text|headline|title) (?:goes )?here|(?:type|enter|add|write) your \w+|insert \w+(?: \w+)? here|(?:description|content|text) (?:coming soon|to follow)|\[?[\w ]+ to follow\]|[\w ]+: add content\W*$|"
     r"click (?:here )?to edit|some quick example|add a short description|hello world|another page of this theme|edit (?:this|or delete) |todo\b|subtitle (?:\d+|<\*>)\W*$|[\w ]+ – lorem\W*$|lorem\b|edge-(?:\d+|<\*>)\W*$)"
 )
