@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +33,11 @@ _COMPANY = re.compile(r"^Company:\s*(.*\S)\s*$")
 _DIGITS = re.compile(r"\d+(?:[.,:/-]\d+)*")
 _TOKENS = re.compile(r"[一-鿿]+|[^\W_]+|<\*>|[{}\[\]<>$%#_]+")
 
-SECTION_DDL = "bundle_id bigint, section string, furniture array<int>, body array<struct<leaf:string,line:string,some:boolean,slot:boolean>>"
+SECTION_DDL = "bundle_id bigint, section string, furniture array<int>, leaf array<string>, line array<string>, mark array<int>"
+_ARROW = pa.schema([("bundle_id", pa.int64()), ("section", pa.string()), ("furniture", pa.list_(pa.int32())), ("leaf", pa.list_(pa.string())), ("line", pa.list_(pa.string())), ("mark", pa.list_(pa.int32()))])
 
 
+@lru_cache(maxsize=100_000)
 def leaf_of(line: str) -> tuple[str, str]:
     """Leaf of the prefix tree and the line as its templates see it: lower case, numbers as wildcards."""
     masked = _DIGITS.sub("<*>", line.strip().lower())
@@ -93,26 +97,20 @@ def labelled(lines: list[tuple[int, str]], company: str) -> list[tuple[int, str,
 def parsed(packs: DataFrame) -> DataFrame:
     """One row a section of ``packs(bundle_id, text)``; null and empty texts and texts without sections give none."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"bundle_id": [], "section": [], "furniture": [], "body": []}
-            for bundle, text in zip(batch["bundle_id"], batch["text"]):
+            out: list[list] = [[], [], [], [], [], []]
+            for bundle, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not text:
                     continue
                 for section, company, lines in sections(text):
                     rows = labelled(lines, company)
-                    out["bundle_id"].append(bundle)
-                    out["section"].append(section)
-                    out["furniture"].append([no for no, _, _, content in rows if not content])
-                    body = []
-                    for _, line, cost, _ in rows:
-                        if cost > SURE:
-                            leaf, masked = leaf_of(line)
-                            body.append({"leaf": leaf, "line": masked, "some": cost >= SOME, "slot": has_open_slot(line)})
-                    out["body"].append(body)
-            yield pd.DataFrame(out)
+                    body = [(*leaf_of(line), (cost >= SOME) + 2 * has_open_slot(line)) for _, line, cost, _ in rows if cost > SURE]
+                    for column, x in zip(out, (bundle, section, [no for no, _, _, content in rows if not content], [x[0] for x in body], [x[1] for x in body], [x[2] for x in body])):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _ARROW)], schema=_ARROW)
 
-    return packs.select("bundle_id", "text").mapInPandas(run, SECTION_DDL)
+    return packs.select(F.col("bundle_id").cast("bigint").alias("bundle_id"), "text").mapInArrow(run, SECTION_DDL)
 
 
 def template_verdicts(units: DataFrame) -> DataFrame:
@@ -132,9 +130,10 @@ def template_verdicts(units: DataFrame) -> DataFrame:
 
 def residue_sections(parts: DataFrame) -> DataFrame:
     """``bundle_id, section`` of sections in whose place of a main body stand only messages, filler or open slots."""
-    lines = parts.select("bundle_id", "section", F.explode("body").alias("b")).select("bundle_id", "section", "b.*")
+    lines = parts.select("bundle_id", "section", F.explode(F.arrays_zip("leaf", "line", "mark")).alias("b"))
+    lines = lines.select("bundle_id", "section", "b.leaf", "b.line", (F.col("b.mark") % 2 == 1).alias("some"), (F.col("b.mark") >= 2).alias("slot"))
     bad = cut_lineage(template_verdicts(lines.filter("not slot").select("leaf", "line"))).select("leaf", F.lit(True).alias("message"))
-    judged = lines.join(bounded_broadcast(bad), "leaf", "left").withColumn("out", F.col("slot") | F.col("message").isNotNull())
+    judged = lines.select("bundle_id", "section", "leaf", "some", "slot").join(bounded_broadcast(bad), "leaf", "left").withColumn("out", F.col("slot") | F.col("message").isNotNull())
     per = judged.groupBy("bundle_id", "section").agg(F.sum(F.col("out").cast("int")).alias("n_out"), F.sum((~F.col("out") & F.col("some")).cast("int")).alias("n_real"))
     return per.filter("n_out > 0 and n_real = 0").select("bundle_id", "section")
 

@@ -25,37 +25,51 @@ BOX_HEADS = frozenset(x.casefold() for x in (
     "返回顶部|相关产品|更多文章|推荐阅读|热门新闻|最新动态|更多>>|更多|分享到：微信 微博|友情链接|订阅|上一篇|下一篇|"
     "Made to be hot|One furnace, one team|Linings that last|Strength in heat|Grain by grain|以质取胜|Fuertes ante el calor|Grano a grano|Where fire meets stone|Calor con oficio|精工耐火|高温之选|Steine mit Verstand|Stark im Feuer|Korn für Korn").split("|"))
 
-#: Buttons and headings of consent notices.
-CONSENT = re.compile(
-    r"(?i)cookies\b|cookie (?:policy|settings|notice|richtlinie)|使用 ?cookie|datenschutzerklärung|small (?:text )?files|隐私政策|隐私声明|^(?:accept(?: all)?|allow all|reject(?: all)?|deny|settings|got it!?|ok|i agree|save choice|save and close|only necessary|more information|manage consent|"
-    r"preferences|view preferences|functional – always active|your privacy matters to us|choose which|einverstanden|alle akzeptieren|alle annehmen|nur notwendige|ablehnen|einstellungen|speichert daten auf|aceptar(?: todo)?|rechazar|configurar|ajustes|cerrar|"
+#: Buttons, headings and wording of consent notices (lower case).
+_CONSENT_START = re.compile(
+    r"(?:accept(?: all)?|allow all|reject(?: all)?|deny|settings|got it!?|ok|i agree|save choice|save and close|only necessary|more information|manage consent|"
+    r"preferences|view preferences|functional – always active|your privacy matters to us|choose which|einverstanden|alle akzeptieren|alle annehmen|nur notwendige|ablehnen|einstellungen|aceptar(?: todo)?|rechazar|configurar|ajustes|cerrar|"
     r"同意|拒绝|设置|接受全部|知道了|关闭|close|agree|verstanden|akzeptieren|schließen|auswahl speichern|speichern|guardar|de acuerdo|entendido)(?:$|[\s|·•/-])"
-    r"|some are needed for the site to work|almacena datos en su equipo|stores? (?:small )?(?:files|data) on your device|files and count visits|you can change this at any time|puede cambiarlo cuando quiera|speichert daten auf ihrem gerät|以改善浏览|您可以?随时更改|本站会在您的设备上"
+)
+_CONSENT_WORDS = (
+    "cookies", "cookie policy", "cookie settings", "cookie notice", "使用 cookie", "使用cookie", "datenschutzerklärung", "small files", "small text files", "隐私政策", "隐私声明", "speichert daten auf", "some are needed for the site to work",
+    "almacena datos en su equipo", "stores files on your device", "stores data on your device", "files and count visits", "you can change this at any time", "puede cambiarlo cuando quiera", "以改善浏览", "您可随时更改", "您可以随时更改", "本站会在您的设备上",
 )
 
-#: What stands in footers.
-FOOTER = re.compile(
-    r"(?i)^©|^copyright\b|版权所有|备案号|^备\s?\d|all rights reserved\.?$|alle rechte vorbehalten|todos los derechos reservados|^imprint\b|^impressum\b|^aviso legal|^privac(?:y|idad)$|^datenschutz$|^agb$|^terms$|^rss$|^hrb \d|^company no\.|^registered in |^sitz \S+|^inscrita en |"
-    r"^barrierefreiheit$|^accessibility$|^accesibilidad$|^canal ético$|^condiciones$|^hinweisgeber$|^whistleblowing$|^druckansicht$|^print view$|^versión para imprimir$|^last change \d|^letzte änderung|^stand \d{4}$|^última actualización|^member of the trade body$|^data without warranty$|^法律声明$|^隐私$|^打印$|^网站地图|"
-    r"^opening hours|^öffnungszeiten|^horario|^follow us|^folgen sie uns|^síganos|^site by |^certified to the usual|accepts no liability for|ohne gewähr\. für inhalte|sin garantía|不承担责任|仅供参考|^zertifiziert nach|^cookie settings$|^mapa web|^营业时间|^关注我们|^技术支持"
+#: What stands in footers (lower case).
+_FOOTER_START = re.compile(
+    r"©|copyright\b|备\s?\d|imprint\b|impressum\b|aviso legal|privac(?:y|idad)$|datenschutz$|agb$|terms$|rss$|hrb \d|company no\.|registered in |sitz \S+|inscrita en |"
+    r"barrierefreiheit$|accessibility$|accesibilidad$|canal ético$|condiciones$|hinweisgeber$|whistleblowing$|druckansicht$|print view$|versión para imprimir$|last change \d|letzte änderung|stand \d{4}$|última actualización|member of the trade body$|data without warranty$|法律声明$|隐私$|打印$|网站地图|友情链接$|"
+    r"opening hours|öffnungszeiten|horario|follow us|folgen sie uns|síganos|site by |certified to the usual|zertifiziert nach|cookie settings$|mapa web|营业时间|关注我们|技术支持"
 )
+_FOOTER_WORDS = ("版权所有", "备案号", "all rights reserved", "alle rechte vorbehalten", "todos los derechos reservados", "accepts no liability for", "ohne gewähr. für inhalte", "sin garantía", "不承担责任", "仅供参考")
+
+
+def _consent(low: str) -> bool:
+    return bool(_CONSENT_START.match(low)) or any(w in low for w in _CONSENT_WORDS)
+
+
+def _footer(low: str) -> bool:
+    return bool(_FOOTER_START.match(low)) or any(w in low for w in _FOOTER_WORDS)
+
+
 _FOOTER_PARTS = re.compile(r"\s+[|·•-]\s+|\s{2,}|\s*\|\s*")
-_BREADCRUMB = re.compile(r"^(?:home|startseite|inicio|首页)\s*[>/»›]\s*\S", re.I)
-_BANNER = re.compile(r"(?i)^(?:some functions of this page need javascript|einige funktionen dieser seite benötigen javascript|algunas funciones requieren javascript|部分功能需要启用javascript|本站部分功能)")
+_BREADCRUMB = re.compile(r"^(?:home|startseite|inicio|首页)\s*[>/»›]\s*\S")
+_BANNER = re.compile(r"^(?:some functions of this page need javascript|einige funktionen dieser seite benötigen javascript|algunas funciones requieren javascript|部分功能需要启用javascript|本站部分功能)")
 _LANGS = re.compile(r"^(?:(?:EN|DE|ES|FR|IT|中文|English|Deutsch|Español)(?:\s+|\s*[|/·]\s*|$)){2,}$")
-_TEASER = re.compile(r"(?i)…|\[\.\.\.\]|\.\.\.$|(?:» more|read on >|details|read more|mehr »|weiterlesen|leer más|阅读全文|详情)\s*$")
-_BOX_ITEM = re.compile(r"(?i)\((?:PDF|DOC|ZIP|XLS)\b[^)]*\)|^[^.]{2,30} \(\d+\)$|^\d+ (?:comments?|kommentare?|comentarios?)$|^\d+条评论|^(?:tags|schlagwörter|etiquetas|热门标签|标签)\s*[:：]|^(?:archive?|archiv|archivo) \d{4}$|^\d{4}年存档$|^(?:more from|mehr von|más de|更多来自) ?\S|^\d\. \S[^.]*$|foundry fair|neues silo in betrieb|new silo commissioned|gießereimesse|feria de fundición|展会 \d{4}|nuevo silo|新料仓")
-_SLOGAN = re.compile(r"(?i)(?:^|[:–-] )(?:made to be hot|one furnace, one team|linings that last|strength in heat|grain by grain|your partner above \d+ degrees|fuertes ante el calor|grano a grano|korn für korn|where fire meets stone|calor con oficio|heiß seit \d+|steine mit verstand|stark im feuer|以质取胜|精工耐火|高温之选)$")
+_TEASER = re.compile(r"…|\[\.\.\.\]|\.\.\.$|(?:» more|read on >|details|read more|mehr »|weiterlesen|leer más|阅读全文|详情)\s*$")
+_BOX_ITEM = re.compile(r"\((?:pdf|doc|zip|xls)\b[^)]*\)|^[^.]{2,30} \(\d+\)$|^\d+ (?:comments?|kommentare?|comentarios?)$|^\d+条评论|^(?:tags|schlagwörter|etiquetas|热门标签|标签)\s*[:：]|^(?:archive?|archiv|archivo) \d{4}$|^\d{4}年存档$|^(?:more from|mehr von|más de|更多来自) ?\S|^\d\. \S[^.]*$|foundry fair|neues silo in betrieb|new silo commissioned|gießereimesse|feria de fundición|展会 \d{4}|nuevo silo|新料仓")
+_SLOGAN = re.compile(r"(?:^|[:–-] )(?:made to be hot|one furnace, one team|linings that last|strength in heat|grain by grain|your partner above \d+ degrees|fuertes ante el calor|grano a grano|korn für korn|where fire meets stone|calor con oficio|heiß seit \d+|steine mit verstand|stark im feuer|以质取胜|精工耐火|高温之选)$")
 _HEADING = re.compile(
-    r"(?i)^#{1,6}\s*\S|^\*\*[^*]+\*\*$|^(?:from raw material to lining|technical data|application notes|production in .+|our [a-z ]+|vom rohstoff zur zustellung|technische daten|anwendungshinweise|fertigung in .+|unsere? .+|"
+    r"^#{1,6}\s*\S|^\*\*[^*]+\*\*$|^(?:from raw material to lining|technical data|application notes|production in .+|our [a-z ]+|vom rohstoff zur zustellung|technische daten|anwendungshinweise|fertigung in .+|unsere? .+|"
     r"de la materia prima al revestimiento|datos técnicos|notas de aplicación|producción en .+|nuestr[ao]s? .+|技术参数|应用说明|.+生产基地|从原料到砌筑|我们的.+|.+在.+中的应用)$"
 )
 _FOR = re.compile(r"^[A-ZÄÖÜ][\w\s-]{3,50} (?:for|für|para) [\w\s-]{3,50}$")
 _SPEC = re.compile(r"^[A-Za-z][A-Za-z0-9]{0,9}\s*[:：]\s*[\d.,]+\s*(?:%|ppm|g|mm|°C)?$")
 _LIST_VALUE = re.compile(r"\d+-\d+ mm$|^[*•-]?\s*[^()]{3,60} ?\([^()\d]{2,40}\)$")
-_TABLE = re.compile(r"^\|.*\|$")
 _BULLET = re.compile(r"^(?:[*•·\-–]|\d+[.)])\s+")
 _LINK = re.compile(r"\[([^\]]*)\]\([^)]*\)")
+_HAN_CHAR = re.compile(r"[一-鿿]")
 _ENDS = (".", "。", "!", "?", "！", "？", ":", "：", ";")
 
 
@@ -74,37 +88,38 @@ def line_cost(line: str) -> float:
     if not s:
         return 0.0
     n = len(s)
+    if n >= 260:
+        return 4.0
     low = s.casefold()
-    if _TABLE.match(s) and s.count("|") >= 3:
+    if s[0] == "|" and s[-1] == "|" and s.count("|") >= 3:
         return 4.0
-    if _TEASER.search(s) and n < 220:
+    if n < 220 and ("…" in s or n < 130) and _TEASER.search(low):
         return -4.0
-    if _LANGS.match(s) or _BREADCRUMB.match(s) or _BANNER.match(s):
-        return -6.0
-    if low in BOX_HEADS or _SLOGAN.search(s):
-        return -5.0
-    k = nav_only(s)
-    if k:
-        return -5.0 if k > 1 or s != _BULLET.sub("", s) or "](" in s else -3.5
-    if n < 260 and CONSENT.search(s):
-        return -5.0
-    if n < 260 and FOOTER.search(s):
+    if n < 130:
+        if low in BOX_HEADS or _LANGS.match(s) or _BREADCRUMB.match(low) or _BANNER.match(low) or _SLOGAN.search(low):
+            return -6.0
+        k = nav_only(s)
+        if k:
+            return -5.0 if k > 1 or s != _BULLET.sub("", s) or "](" in s else -3.5
+    if _consent(low) or _footer(low):
         return -5.0
-    parts = [p.strip() for p in _FOOTER_PARTS.split(s) if p.strip()]
-    if len(parts) > 1 and sum(1 for p in parts if FOOTER.search(p) or p.casefold() in NAV_LABELS or CONSENT.search(p)) * 2 >= len(parts):
-        return -5.0
-    if _HEADING.match(s) and n < 90:
-        return 2.5
-    if n < 90 and _FOR.match(s):
-        return 1.5
-    if _SPEC.match(s):
-        return 4.0
-    if _LIST_VALUE.search(s) and not re.search(r"\(\d+\)$", s):
-        return 3.5
-    if n < 120 and _BOX_ITEM.search(s):
-        return -4.0
-    han = sum("一" <= c <= "鿿" for c in s)
-    size = n + 2 * han
+    if n < 200:
+        parts = [p for p in _FOOTER_PARTS.split(low) if p]
+        if len(parts) > 1 and sum(1 for p in parts if p in NAV_LABELS or _footer(p) or _consent(p)) * 2 >= len(parts):
+            return -5.0
+    if n < 90:
+        if _HEADING.match(low):
+            return 2.5
+        if _FOR.match(s):
+            return 1.5
+        if _SPEC.match(s):
+            return 4.0
+    if n < 130:
+        if _LIST_VALUE.search(s) and not (s[-1] == ")" and s[-2].isdigit()):
+            return 3.5
+        if _BOX_ITEM.search(low):
+            return -4.0
+    size = n + 2 * len(_HAN_CHAR.findall(s)) if n < 150 and not s.isascii() else n
     if s.endswith(_ENDS) or size > 150:
         return 4.0 if size > 60 else 2.0 if size > 30 else 0.6
     return 0.8 if size > 90 else -0.7

@@ -48,6 +48,7 @@ _NAME = r"(?:[A-Za-z][\w.]*(?: [\w.]+){0,2})"
 #: Bracket pairs of template languages around a field name.
 SLOT = re.compile(rf"\{{\{{\s*{_NAME}\s*\}}\}}|\$\{{\s*{_NAME}\s*\}}|<%=?\s*{_NAME}\s*%>|\[\[\s*{_NAME}\s*\]\]|__{_NAME}__|%{_NAME}%|#{_NAME}#|\{{{_NAME}\}}|<{_NAME}>|\[{_NAME}\]")
 _SURE_SLOT = re.compile(rf"\{{\{{\s*{_NAME}\s*\}}\}}|\$\{{\s*{_NAME}\s*\}}|<%=?\s*{_NAME}\s*%>|\[\[\s*{_NAME}\s*\]\]|__[A-Za-z][\w. ]*__")
+_OPENERS = re.compile(r"[{<\[%#_]")
 _FRAME = re.compile(r"(?i)^(?:welcome to|contact .* for|since .*:|founded in .*we serve customers|our .* plant makes|.* is a leading supplier of .* in|willkommen bei|bienvenidos? a|欢迎)")
 
 
@@ -71,6 +72,8 @@ def has_open_slot(text: str) -> bool:
 
     Doubled or otherwise unmistakable brackets always count; single ones count if they make up the text or fill a frame.
     """
+    if not _OPENERS.search(text):
+        return False
     t = text.strip()
     if not SLOT.search(t):
         return False
