@@ -29,11 +29,11 @@ BOX_HEADS = frozenset(x.casefold() for x in (
 _CONSENT_START = re.compile(
     r"(?:accept(?: all)?|allow all|reject(?: all)?|deny|settings|got it!?|ok|i agree|save choice|save and close|only necessary|more information|manage consent|"
     r"preferences|view preferences|functional – always active|your privacy matters to us|choose which|einverstanden|alle akzeptieren|alle annehmen|nur notwendige|ablehnen|einstellungen|aceptar(?: todo)?|rechazar|configurar|ajustes|cerrar|"
-    r"同意|拒绝|设置|接受全部|知道了|关闭|close|agree|verstanden|akzeptieren|schließen|auswahl speichern|speichern|guardar|de acuerdo|entendido)(?:$|[\s|·•/-])"
+    r"同意|拒绝|设置|接受全部|知道了|关闭|close|agree|verstanden|akzeptieren|schliessen|auswahl speichern|speichern|guardar|de acuerdo|entendido)(?:$|[\s|·•/-])"
 )
 _CONSENT_WORDS = (
     "cookies", "cookie policy", "cookie settings", "cookie notice", "使用 cookie", "使用cookie", "datenschutzerklärung", "small files", "small text files", "隐私政策", "隐私声明", "speichert daten auf", "some are needed for the site to work",
-    "almacena datos en su equipo", "stores files on your device", "stores data on your device", "files and count visits", "you can change this at any time", "puede cambiarlo cuando quiera", "以改善浏览", "您可随时更改", "您可以随时更改", "本站会在您的设备上",
+    "almacena datos en su equipo", "stores files on your device", "stores data on your device", "files and count visits", "you can change this at any time", "puede cambiarlo cuando quiera", "以改善浏览", "您可随时更改", "您可以随时更改", "data on your device", "files on your device", "auf ihrem gerät", "en su dispositivo", "您的设备", "本站会在您的设备上",
 )
 
 #: What stands in footers (lower case).
@@ -59,7 +59,7 @@ _BANNER = re.compile(r"^(?:some functions of this page need javascript|einige fu
 _LANGS = re.compile(r"^(?:(?:EN|DE|ES|FR|IT|中文|English|Deutsch|Español)(?:\s+|\s*[|/·]\s*|$)){2,}$")
 _TEASER = re.compile(r"…|\[\.\.\.\]|\.\.\.$|(?:» more|read on >|details|read more|mehr »|weiterlesen|leer más|阅读全文|详情)\s*$")
 _BOX_ITEM = re.compile(r"\((?:pdf|doc|zip|xls)\b[^)]*\)|^[^.]{2,30} \(\d+\)$|^\d+ (?:comments?|kommentare?|comentarios?)$|^\d+条评论|^(?:tags|schlagwörter|etiquetas|热门标签|标签)\s*[:：]|^(?:archive?|archiv|archivo) \d{4}$|^\d{4}年存档$|^(?:more from|mehr von|más de|更多来自) ?\S|^\d\. \S[^.]*$|foundry fair|neues silo in betrieb|new silo commissioned|gießereimesse|feria de fundición|展会 \d{4}|nuevo silo|新料仓")
-_SLOGAN = re.compile(r"(?:^|[:–-] )(?:made to be hot|one furnace, one team|linings that last|strength in heat|grain by grain|your partner above \d+ degrees|fuertes ante el calor|grano a grano|korn für korn|where fire meets stone|calor con oficio|heiß seit \d+|steine mit verstand|stark im feuer|以质取胜|精工耐火|高温之选)$")
+_SLOGAN = re.compile(r"(?:^|[:–-] )(?:made to be hot|one furnace, one team|linings that last|strength in heat|grain by grain|your partner above \d+ degrees|fuertes ante el calor|grano a grano|korn für korn|where fire meets stone|calor con oficio|heiss seit \d+|steine mit verstand|stark im feuer|以质取胜|精工耐火|高温之选)$")
 _HEADING = re.compile(
     r"^#{1,6}\s*\S|^\*\*[^*]+\*\*$|^(?:from raw material to lining|technical data|application notes|production in .+|our [a-z ]+|vom rohstoff zur zustellung|technische daten|anwendungshinweise|fertigung in .+|unsere? .+|"
     r"de la materia prima al revestimiento|datos técnicos|notas de aplicación|producción en .+|nuestr[ao]s? .+|技术参数|应用说明|.+生产基地|从原料到砌筑|我们的.+|.+在.+中的应用)$"

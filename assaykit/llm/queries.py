@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from assaykit.llm import address_copies as ac
 from assaykit.llm import canonical_values as cv
+from assaykit.llm import name_links as nl
 from assaykit.llm import page_body as pb
 from assaykit.llm import personal_data as pd8
 from assaykit.llm.containers import container_report, containers
@@ -41,6 +42,22 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.unionByName(titles)
 
 
+def _firms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load_table(spark, sf_dir, "input_records").select("record_id", "name", "website", "linkedin_url", "country")
+    list_ = cv.reference(spark, load_table(spark, sf_dir, "country_list"), "country_id", ["name", "code"], "country")
+    typed = rows.filter(F.col("country").rlike(r"\S")).groupBy(F.col("country").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    mapped = cv.canonical_values(typed, list_, places=True).filter("entry_id > 0").select(F.col("value").alias("country"), F.col("entry_id").alias("country_id"), "n")
+    return nl.firms(nl.firm_keys(rows, cut_lineage(mapped)))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nl.firm_pairs(_firms(spark, sf_dir))
+
+
+def p4_firms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _firms(spark, sf_dir)
+
+
 def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ac.hashed_addresses(load_table(spark, sf_dir, "sources"), "source_row", "url", "sources").unionByName(ac.hashed_addresses(load_table(spark, sf_dir, "input_records"), "record_id", "website", "input_records"))
 
@@ -87,5 +104,5 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pd8.redacted(docs, pd8.personal_spans(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p3_counts": p3_counts, "p6_packing": p6_packing, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_firms": p4_firms, "p5_found": p5_found, "p3_counts": p3_counts, "p6_packing": p6_packing, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
 ORACLE: dict[str, str] = {}
