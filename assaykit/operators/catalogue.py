@@ -1,10 +1,293 @@
-"""All queries of the core, by name, and SQL that gives the same rows."""
+"""All queries of the core, by name, each over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from assaykit.functions import text as tx
+from assaykit.functions import urls as u
+from assaykit.operators import evaluation as ev
+from assaykit.operators import evidence as evi
+from assaykit.operators import incremental as inc
+from assaykit.operators import parsers as ps
+from assaykit.operators import ranking as rk
+from assaykit.operators import review as rv
+from assaykit.operators import roles, sampling
+from assaykit.operators.oracle import ORACLE
+from assaykit.plans.provider import ReplayProvider, rounds
+from assaykit.plans.runtime import bounded_broadcast
+from assaykit.sources.records import record_violations
+from assaykit.sources.tables import load_table
+
+#: Strata of the sample, in order of priority.
+STRATA = ["STEEL", "FOUNDRY", "REFRACTORY", "CEMENT", "GLASS", "NONFERROUS", "CHEMICAL"]
+LEVELS = {"高": "high", "high": "high", "中": "medium", "medium": "medium", "低": "low", "low": "low"}
+GAP_RULES = {"water_without_coagulant": ("water treatment", "coagulant"), "furnace_without_lining": ("furnace", "lining"), "alumina_without_grade": ("alumina", "grade"), "no_product_word": (".", "product|produkt|producto|产品")}
+
+
+def _results(spark: SparkSession, d: str) -> DataFrame:
+    return rv.once(load_table(spark, d, "results"))
+
+
+def candidate_sample(spark: SparkSession, d: str) -> DataFrame:
+    counts = sampling.filtered_counts(load_table(spark, d, "results"), "record_id", F.col("status") == "valid").withColumnRenamed("contact_count", "contact_count_child")
+    return sampling.candidate_sample(load_table(spark, d, "input_records"), counts, STRATA, 140)
+
+
+def contact_counts(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.filtered_counts(load_table(spark, d, "results"), "record_id", F.col("status") == "valid")
+
+
+def weakness_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return load_table(spark, d, "input_records").select("record_id", F.array_join(sampling.weakness_reasons(F.col("background")), "; ").alias("reasons"))
+
+
+def record_checks(spark: SparkSession, d: str) -> DataFrame:
+    return record_violations(load_table(spark, d, "input_records"))
+
+
+def url_normalised(spark: SparkSession, d: str) -> DataFrame:
+    return load_table(spark, d, "sources").select("source_row", u.normalise_url(F.col("url")).alias("url_norm"))
+
+
+def provenance_keys(spark: SparkSession, d: str) -> DataFrame:
+    rows = u.with_url_parts(load_table(spark, d, "sources").select("source_row", "url"), "url")
+    return rows.filter("url_norm <> ''").select("source_row", F.regexp_replace("url_host", r"^www\.", "").alias("host"), F.concat_ws("&", "url_fields").alias("query"))
+
+
+def pages_per_host(spark: SparkSession, d: str) -> DataFrame:
+    rows = u.with_url_parts(load_table(spark, d, "sources").select("url"), "url").filter("url_norm <> ''")
+    return rows.groupBy(F.regexp_replace("url_host", r"^www\.", "").alias("host")).agg(F.count(F.lit(1)).alias("pages"))
+
+
+def path_intents(spark: SparkSession, d: str) -> DataFrame:
+    return load_table(spark, d, "sources").groupBy(u.path_intent(F.col("url")).alias("intent")).agg(F.count(F.lit(1)).alias("pages"))
+
+
+def trusted_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Sources on the site of their bundle's record: hosts meet by equi-join on exploded suffixes, not by a theta join."""
+    sites = load_table(spark, d, "evidence_bundles").select("bundle_id", "record_id").join(load_table(spark, d, "input_records").select("record_id", F.regexp_replace(u.url_host(F.col("website")), r"^www\.", "").alias("site")).filter(F.col("site").contains(".")), "record_id").select("bundle_id", "site")
+    rows = load_table(spark, d, "sources").select("source_row", "bundle_id", F.explode(u.host_suffixes(u.url_host(F.col("url")))).alias("site"))
+    return rows.join(sites, ["bundle_id", "site"]).select("source_row", "bundle_id").distinct()
+
+
+def company_domains(spark: SparkSession, d: str) -> DataFrame:
+    """First host of a bundle that holds a company term and is no directory."""
+    terms = load_table(spark, d, "evidence_bundles").select("bundle_id", tx.company_terms(F.col("company")).alias("terms"))
+    src = load_table(spark, d, "sources").select("bundle_id", "source_row", u.url_host(F.col("url")).alias("host"))
+    own = src.filter(~u.host_in(F.col("host"), u.LOW_AUTHORITY_HOSTS)).join(terms, "bundle_id").filter(F.exists("terms", lambda t: F.col("host").contains(t)))
+    return own.groupBy("bundle_id").agg(F.min_by("host", "source_row").alias("domain"))
+
+
+def identity_aliases(spark: SparkSession, d: str) -> DataFrame:
+    return load_table(spark, d, "input_records").select("record_id", F.posexplode(tx.identity_aliases(F.col("name"))).alias("pos", "alias"))
+
+
+def page_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return ps.pack_sections(load_table(spark, d, "evidence_bundles")).select("bundle_id", "section", F.size(tx.page_tokens(F.col("url"), F.col("body"))).alias("tokens"))
+
+
+def substantive_pages(spark: SparkSession, d: str) -> DataFrame:
+    return ps.pack_sections(load_table(spark, d, "evidence_bundles")).select("bundle_id", "section", tx.substantive(F.col("body")).alias("substantive"))
+
+
+def material_signals(spark: SparkSession, d: str) -> DataFrame:
+    patterns = ["alumina", "zircon", "silicon carbide", "graphite", "magnesi", "spinel"]
+    return load_table(spark, d, "documents").select("doc_id", tx.signal_count(F.lower(F.coalesce("text", F.lit(""))), patterns).alias("signals"))
+
+
+def levels_of_directions(spark: SparkSession, d: str) -> DataFrame:
+    return load_table(spark, d, "directions").select("direction_id", tx.mapped_level(F.col("priority"), LEVELS, "low").alias("level"))
+
+
+def secrets_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return load_table(spark, d, "documents").select("doc_id", tx.redact_secrets(F.concat(F.lit("api_key: k"), F.col("doc_id").cast("string"), F.lit(" "), F.coalesce("text", F.lit("")))).alias("text"))
+
+
+def evidence_sections(spark: SparkSession, d: str) -> DataFrame:
+    return ps.pack_sections(load_table(spark, d, "evidence_bundles")).select("bundle_id", "section", "url", "title", F.length("body").alias("chars"))
+
+
+def source_references(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of a pack that its list of sources does not name, one row each."""
+    parts = ps.pack_sections(load_table(spark, d, "evidence_bundles")).groupBy("bundle_id").agg(F.collect_set("section").alias("used"))
+    rows = load_table(spark, d, "evidence_bundles").select("bundle_id", F.col("sources.id").alias("known")).join(parts, "bundle_id")
+    return evi.dangling(rows, "used", "known").select("bundle_id", F.explode("missing").alias("section"))
+
+
+def uncited_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of sources whose id has no section in the pack of their bundle."""
+    parts = ps.pack_sections(load_table(spark, d, "evidence_bundles")).select("bundle_id", F.col("section").alias("id"))
+    return load_table(spark, d, "sources").join(parts, ["bundle_id", "id"], "left_anti").select("source_row", "bundle_id", "id")
+
+
+def _scored_pages(spark: SparkSession, d: str) -> DataFrame:
+    packs = load_table(spark, d, "evidence_bundles")
+    pages = ps.pack_sections(packs).join(packs.select("bundle_id", tx.company_terms(F.col("company")).alias("terms")), "bundle_id")
+    pages = pages.withColumn("locator", tx.fold_text(F.concat_ws(" ", "url", "title"))).withColumn("folded", tx.fold_text(F.left("body", F.lit(6000))))
+    pages = pages.withColumn("relevance", rk.page_relevance(F.col("url"), F.col("locator"), F.col("folded"), F.lit(None).cast("string"), F.col("terms")))
+    return pages.withColumn("categories", rk.category_flags(F.col("locator"), F.col("folded")))
+
+
+def page_relevance(spark: SparkSession, d: str) -> DataFrame:
+    return _scored_pages(spark, d).select("bundle_id", "section", "relevance", F.array_join("categories", ",").alias("categories"))
+
+
+def ranked_pages(spark: SparkSession, d: str) -> DataFrame:
+    rows = _scored_pages(spark, d).withColumn("key", F.concat_ws("|", F.regexp_replace(u.url_host(F.col("url")), r"^www\.", ""), u.url_path(F.col("url")), F.concat_ws("&", u.url_query_fields(F.col("url")))))
+    return rk.ranked_distinct(rows, "bundle_id", ["key"], "relevance", "pos").select("bundle_id", "section", "relevance", "rank")
+
+
+def diverse_pages(spark: SparkSession, d: str) -> DataFrame:
+    pages = _scored_pages(spark, d).withColumn("tokens", tx.page_tokens(F.col("url"), F.left("body", F.lit(6000))))
+    return rk.mmr_select(pages, "bundle_id", 3)
+
+
+def interleaved_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Round robin over the types of a bundle's sources, distinct by host and path, the first 8."""
+    rows = u.with_url_parts(load_table(spark, d, "sources").select("source_row", "bundle_id", "url", F.coalesce("source_type", F.lit("")).alias("slot")), "url").filter("url_norm <> ''")
+    rows = rows.select("source_row", "bundle_id", "slot", F.concat(F.regexp_replace("url_host", r"^www\.", ""), "url_path").alias("key"))
+    return rk.interleave(rows, "bundle_id", "slot", "source_row", ["key"], 8).select("bundle_id", "source_row", "turn")
+
+
+def longest_title_per_host(spark: SparkSession, d: str) -> DataFrame:
+    rows = u.with_url_parts(load_table(spark, d, "sources").select("source_row", "url", F.coalesce("title", F.lit("")).alias("title")), "url").filter("url_norm <> ''").withColumn("host", F.regexp_replace("url_host", r"^www\.", ""))
+    return rk.best_per_key(rows, ["host"], F.col("title"), F.struct(F.length("title"), -F.col("source_row")), "title")
+
+
+def cache_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Newest pack of each record as of the latest creation, if it is at most seven days old."""
+    packs = load_table(spark, d, "evidence_bundles").filter("record_id is not null")
+    now = load_table(spark, d, "evidence_bundles").agg(F.max("created_at")).first()[0]
+    entries = packs.select("record_id", F.col("bundle_id").alias("entry_id"), "created_at")
+    got = inc.cache_lookup(packs.select("record_id").distinct(), entries, "record_id", F.lit(now).cast("timestamp_ntz"))
+    return got.select("record_id", "entry_id", "hit")
+
+
+def repeated_cache_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Cache keys that more than one record shares, with the number of its rows."""
+    r = load_table(spark, d, "input_records")
+    keyed = r.select(inc.cache_key(F.col("name"), F.col("website"), F.col("country"), F.col("linkedin_url"), 3).alias("cache_key"))
+    return keyed.groupBy("cache_key").agg(F.count(F.lit(1)).alias("records")).filter("records > 1")
+
+
+def resume_pending(spark: SparkSession, d: str) -> DataFrame:
+    return inc.pending(load_table(spark, d, "input_records").select("record_id", "id"), load_table(spark, d, "results"), "record_id", F.col("status") == "valid")
+
+
+def overlaid_runs(spark: SparkSession, d: str) -> DataFrame:
+    """The result of the latest run by record; among rows of a run the higher score, then the smaller index."""
+    rows = _results(spark, d).filter("record_id is not null")
+    return inc.overlay(rows, "record_id", [F.desc("run_id"), F.desc_nulls_last("score"), F.asc("idx")]).select("record_id", "run_id", "idx", "status", "score")
+
+
+def quote_verification(spark: SparkSession, d: str) -> DataFrame:
+    """Applications of directions against the pages of their bundle."""
+    quotes = load_table(spark, d, "directions").filter("bundle_id is not null").select("direction_id", "bundle_id", F.coalesce("application", F.lit("")).alias("quote"))
+    got = evi.verified_quotes(quotes.withColumn("quote_id", F.col("direction_id")), ps.pack_sections(load_table(spark, d, "evidence_bundles")), ["bundle_id"], least=8)
+    return got.select("direction_id", "verified")
+
+
+def compact_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return load_table(spark, d, "evidence_bundles").select("bundle_id", evi.compact_pack(F.col("text")).alias("text"))
+
+
+def gap_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return load_table(spark, d, "evidence_bundles").select("bundle_id", F.array_join(evi.rule_hits(F.col("text"), GAP_RULES), ",").alias("gaps"))
+
+
+def known_directions(spark: SparkSession, d: str) -> DataFrame:
+    """Directions whose product is in the catalogue, first of each product in a bundle, three a bundle."""
+    products = load_table(spark, d, "catalog_products").select(F.col("name").alias("product"))
+    rows = load_table(spark, d, "directions").filter("bundle_id is not null").join(bounded_broadcast(products), "product", "left_semi")
+    once = rk.first_by_key(rows, ["bundle_id", "product"], [F.asc("pos"), F.asc("direction_id")])
+    return once.withColumn("n", F.row_number().over(Window.partitionBy("bundle_id").orderBy("pos", "direction_id"))).filter("n <= 3").select("bundle_id", "direction_id", "product", "n")
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    return _results(spark, d).withColumn("manual", F.coalesce("commercial_match", F.lit(0)) * 10)
+
+
+def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return ev.confusion(_labelled(spark, d), F.col("manual") >= 55, F.col("score"), F.lit(55), ["run_id"])
+
+
+def threshold_scan(spark: SparkSession, d: str) -> DataFrame:
+    return ev.threshold_scan(_labelled(spark, d), F.col("manual") >= 55, F.col("score"))
+
+
+def best_threshold(spark: SparkSession, d: str) -> DataFrame:
+    return ev.best_threshold(threshold_scan(spark, d))
+
+
+def average_ranks(spark: SparkSession, d: str) -> DataFrame:
+    rows = _results(spark, d).filter("score is not null").select("run_id", "idx", "score")
+    return ev.average_ranks(rows, "score", ["run_id"]).select("run_id", "idx", "avg_rank")
+
+
+def score_quality(spark: SparkSession, d: str) -> DataFrame:
+    got = ev.score_quality(_labelled(spark, d).filter("status = 'valid'"), "manual", "score", ["run_id"])
+    return got.select("run_id", "n", F.round("mae", 6).alias("mae"), F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"))
+
+
+def failure_stages(spark: SparkSession, d: str) -> DataFrame:
+    return _results(spark, d).groupBy(ev.failure_stage(F.col("score"), F.col("errors")).alias("stage")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def latency_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = _results(spark, d)
+    p50 = ev.index_quantile(rows, "duration_seconds", ["run_id"], 0.5, "p50")
+    p95 = ev.index_quantile(rows, "duration_seconds", ["run_id"], 0.95, "p95")
+    top = rows.groupBy("run_id").agg(F.count("duration_seconds").alias("n"), F.max("duration_seconds").alias("longest"))
+    return top.join(p50, "run_id").join(p95, "run_id")
+
+
+def run_overview(spark: SparkSession, d: str) -> DataFrame:
+    return rv.run_overview(_results(spark, d)).select("run_id", "selected", "valid", "failed", F.round("average_seconds", 4).alias("average_seconds"))
+
+
+def run_companies(spark: SparkSession, d: str) -> DataFrame:
+    return rv.run_rows(_results(spark, d), load_table(spark, d, "input_records"))
+
+
+def queue_filter(spark: SparkSession, d: str) -> DataFrame:
+    return rv.queue_filter(run_companies(spark, d), "steel", "valid", ["name", "industry"])
+
+
+def selected_roles(spark: SparkSession, d: str) -> DataFrame:
+    """First and last result of a record as competing candidates; a verdict for the other where its score is higher by 10."""
+    rows = _results(spark, d).filter("record_id is not null").select("record_id", "run_id", "idx", (F.col("status") == "valid").alias("valid"), "score", F.concat_ws("|", "product_match", "commercial_match", "follow_up").alias("signature"))
+    lead = rk.first_by_key(rows, ["record_id"], [F.asc("run_id"), F.asc("idx")])
+    last = rk.first_by_key(rows, ["record_id"], [F.desc("run_id"), F.desc("idx")]).join(lead.select("record_id", "run_id", "idx"), ["record_id", "run_id", "idx"], "left_anti")
+    verdict = lead.select("record_id", F.col("score").alias("a")).join(last.select("record_id", F.col("score").alias("b")), "record_id").select("record_id", F.when(F.col("b") >= F.col("a") + 10, "other").otherwise("lead").alias("decision"), F.lit(True).alias("ok"))
+    return roles.select_role(lead, last, verdict, "record_id")
+
+
+def report_markdown(spark: SparkSession, d: str) -> DataFrame:
+    rows = run_overview(spark, d)
+    return rows.select("run_id", rv.markdown_line(F.col("run_id"), F.col("selected"), F.col("valid"), F.col("failed")).alias("line"))
+
+
+def lead_round(spark: SparkSession, d: str) -> DataFrame:
+    """Requests for all results, answered from the recorded ones; failed answers are asked for again."""
+    rows = _results(spark, d).select(F.concat_ws("/", "run_id", "idx").alias("key"), F.lit("lead").alias("role"), F.col("status").alias("answer"))
+    recorded = rows.withColumn("attempt", F.explode(F.array(F.lit(1), F.lit(2))))
+    requests = rows.select("key", "role", F.lit("").alias("prompt"))
+    return rounds(requests, ReplayProvider(recorded), lambda a: a == "valid", 2)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        candidate_sample, contact_counts, weakness_reasons, record_checks, url_normalised, provenance_keys, pages_per_host, path_intents, trusted_sources, company_domains, identity_aliases, page_token_counts, substantive_pages,
+        material_signals, levels_of_directions, secrets_redacted, evidence_sections, source_references, uncited_sources, page_relevance, ranked_pages, diverse_pages, interleaved_sources, longest_title_per_host, cache_lookup, repeated_cache_keys,
+        resume_pending, overlaid_runs, quote_verification, compact_evidence, gap_reasons, known_directions, confusion_matrix, threshold_scan, best_threshold, average_ranks, score_quality, failure_stages, latency_summary, run_overview,
+        run_companies, queue_filter, selected_roles, report_markdown, lead_round,
+    )
+}
+
+__all__ = ["ORACLE", "QUERIES"]
