@@ -28,7 +28,7 @@ LEGAL = frozenset(
 TRADES = tuple(
     "abrasives alloys aluminium castings cement ceramics chemicals engineering foundry furnaces glassworks industries insulation kilns limestone logistics materials metallurgy minerals nonferrous refractories steelworks technologies trading mining metals tools plastics foods textiles energy systems".split()
 )
-_OTHER_TRADES = {"trade": "trading", "nf": "nonferrous", "alu": "aluminium", "cmt": "cement"}
+_OTHER_TRADES = {"trade": "trading", "nf": "nonferrous", "alu": "aluminium", "cmt": "cement", "industry": "industries", "foundries": "foundry", "refractory": "refractories", "technology": "technologies", "metallurgical": "metallurgy", "steel": "steelworks", "glass": "glassworks", "non": "nonferrous"}
 #: Shortest brand whose equality alone says something, in letters.
 LEAST_BRAND = 8
 Q, T = 4, 0.26
@@ -49,7 +49,7 @@ def trade_of(word: str) -> str | None:
     if len(word) < 2:
         return None
     for t in TRADES:
-        if t.startswith(word) and len(word) >= 3 or len(word) >= 5 and word[:5] == t[:5]:
+        if t.startswith(word) and len(word) >= 3 or len(word) >= 5 and word[:5] == t[:5] and osa(word, t, 2) <= 2:
             return t
     for t in TRADES:
         if len(word) >= 5 and osa(word, t, 1) <= 1:
@@ -66,6 +66,7 @@ def name_parts(name: str) -> tuple[str, str | None]:
     text = re.sub(r"\b(?:m/s)\.?\s", " ", fold(name))
     text = re.sub(r"\((?:p|pvt|pvt\. ltd\.?|p\.)\)", " ", text)
     text = re.split(r"\s/\s|\s//\s", text)[0]
+    text = re.sub(r"^\W*\((.*)\)\W*$", r"\1", text) if text.count("(") == 1 else text  # all of it in brackets
     text = re.sub(r"\([^)]*\)|\[[^\]]*\]", " ", text)
     text = re.sub(r"\b((?:[a-z]\s?\.\s?){2,})", lambda m: m[1].replace(".", "").replace(" ", "") + " ", text + " ")
     tokens = [w for w in re.split(r"[^\w]+", text) if w]
@@ -153,17 +154,20 @@ def firm_links(keyed: DataFrame, least_similarity: float = 0.85) -> DataFrame:
     """
     firm = keyed.filter(F.length("joined") >= LEAST_BRAND)
     stars = [_star(firm, ["letters", "trade"]), _star(firm, ["letters", "country"]), _star(keyed, ["site"]), _star(keyed, ["profile"])]
-    total = F.broadcast(keyed.agg(F.greatest(F.count(F.lit(1)), F.lit(2)).alias("total")))
+    # A brand that goes with one trade at most is one firm, also where trade and country are missing.
+    single = firm.groupBy("letters").agg(F.count_distinct("trade").alias("k"), F.count(F.lit(1)).alias("n")).filter("k <= 1 and n > 1").select("letters", "n")
+    stars.append(_star(heavy_safe_join(firm.select("record_id", "letters"), single, ["letters"], "n").drop("n"), ["letters"]))
+    total = max(keyed.count(), 2)
     brand_df = keyed.groupBy("joined").agg(F.count(F.lit(1)).alias("brand_df"))
     trade_df = keyed.groupBy("trade").agg(F.count(F.lit(1)).alias("trade_df"))
     kinds = firm.groupBy("joined", "trade", "country").agg(F.min("record_id").alias("record_id"), F.min("site").alias("site"), F.min("profile").alias("profile"))
     kinds = cut_lineage(kinds.join(brand_df, "joined").join(F.broadcast(trade_df), "trade", "left"))
-    weight = lambda df, n: F.log(F.col(n) / F.col(df)) + 0.1
+    weight = lambda df: F.log(F.lit(total) / F.col(df)) + 0.1
     side = lambda s: kinds.select(F.col("joined").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("trade", "country", "record_id", "site", "profile", "brand_df", "trade_df")])
-    pairs = similar_brands(keyed).join(side("x"), "x").join(side("y"), "y").crossJoin(total)
+    pairs = similar_brands(keyed).join(side("x"), "x").join(side("y"), "y")
     same = lambda c: F.col(f"{c}_x") == F.col(f"{c}_y")
-    brand_w = F.greatest(weight("brand_df_x", "total"), weight("brand_df_y", "total"))
-    trade_w = F.coalesce(F.greatest(weight("trade_df_x", "total"), weight("trade_df_y", "total")), F.lit(0.0))
+    brand_w = F.greatest(weight("brand_df_x"), weight("brand_df_y"))
+    trade_w = F.coalesce(F.greatest(weight("trade_df_x"), weight("trade_df_y")), F.lit(0.0))
     trade_sim = F.when(same("trade"), 1.0).when(same("trade").isNull(), 0.5).otherwise(0.0)
     brand_sim = 1 - F.col("slips") / F.greatest(F.length("x"), F.length("y"))
     soft = (brand_w * brand_sim + trade_w * trade_sim) / (brand_w + trade_w)

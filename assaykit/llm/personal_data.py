@@ -253,9 +253,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def revealing_terms(scanned: DataFrame, bits: float = DISCLOSURE_BITS, least: int = LEAST_SURE, share: float = LEAST_SHARE) -> DataFrame:
     """``term, bits, sure, total``: terms whose occurrence raises the probability of a person beyond the threshold."""
     counts = scanned.filter("kind = 'term'").groupBy(F.col("first").alias("term")).agg(F.sum("total").alias("total"), F.sum("sure").alias("sure"))
-    base = counts.agg((F.sum("sure") / F.greatest(F.sum("total"), F.lit(1))).alias("p"))
-    scored = counts.filter(F.col("sure") >= least).crossJoin(F.broadcast(base))  # base is one row
-    scored = scored.withColumn("bits", F.log2(F.col("sure") / F.col("total") / F.greatest(F.col("p"), F.lit(1e-12))))
+    base = counts.agg(F.sum("sure").alias("sure"), F.sum("total").alias("total")).first()
+    p = max((base["sure"] or 0) / max(base["total"] or 1, 1), 1e-12)
+    scored = counts.filter(F.col("sure") >= least).withColumn("bits", F.log2(F.col("sure") / F.col("total") / F.lit(p)))
     return scored.filter((F.col("bits") >= bits) & (F.col("sure") >= share * F.col("total"))).select("term", "bits", "sure", "total")
 
 

@@ -100,7 +100,7 @@ def source_mix(sized: DataFrame, targets: DataFrame, key: str = "doc_id", total:
 def mix_shares(mix: DataFrame, targets: DataFrame) -> DataFrame:
     """``source, target_share, actual_share, tokens, documents, most_copies``: one row a target, zero where nothing came."""
     per = mix.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies"))
-    all_ = per.agg(F.sum("tokens").alias("total"))
-    out = F.broadcast(targets.select("source", "target_share")).join(per, "source", "left").crossJoin(F.broadcast(all_))
+    total = mix.agg(F.sum(F.col("tokens") * F.col("copies"))).first()[0] or 0
+    out = targets.select("source", "target_share").join(F.broadcast(per), "source", "left")  # one row a target at most
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
-    return out.select("source", "target_share", F.coalesce(F.try_divide(F.col("tokens"), F.col("total")), F.lit(0.0)).alias("actual_share"), zero("tokens"), zero("documents"), zero("most_copies"))
+    return out.select("source", "target_share", F.coalesce(F.try_divide(F.col("tokens").cast("double"), F.lit(float(total))), F.lit(0.0)).alias("actual_share"), zero("tokens"), zero("documents"), zero("most_copies"))
