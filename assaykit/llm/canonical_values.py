@@ -23,7 +23,7 @@ from assaykit.plans.runtime import bounded_broadcast, cut_lineage, heavy_safe_jo
 DATA = Path(__file__).parent / "data"
 
 #: Shortened words of trade and their full forms.
-SHORT_WORDS = {"snd": "sand", "pwdr": "powder", "cstbl": "castable", "brd": "board", "zirc": "zirconia", "alum": "alumina", "graph": "graphite", "sil": "silicon", "cer": "ceramic", "undens": "undensified", "conc": "concentrate", "fiber": "fibre", "fibers": "fibre", "pet": "petroleum", "stabilised": "stabilized", "mold": "mould", "molding": "moulding"}
+SHORT_WORDS = {"snd": "sand", "pwdr": "powder", "cstbl": "castable", "brd": "board", "zirc": "zirconia", "alum": "alumina", "graph": "graphite", "sil": "silicon", "cer": "ceramic", "undens": "undensified", "amorph": "amorphous", "insul": "insulating", "calc": "calcined", "conc": "concentrate", "fiber": "fibre", "fibers": "fibre", "pet": "petroleum", "stabilised": "stabilized", "mold": "mould", "molding": "moulding"}
 
 #: Remarks that stand beside a value and do not change what it names.
 _REMARKS = re.compile(
@@ -66,10 +66,11 @@ def forms(value: str, places: bool = False) -> tuple[tuple[int, tuple[str, ...]]
         for p in parts:
             add(p, 2)
     tail = plain.split()
-    if places and 2 <= len(tail) <= 5 and not _APART & set(tail):
+    if places and 2 <= len(tail) <= 5:
         for k in range(1, min(4, len(tail))):
-            add(" ".join(tail[-k:]), 3)
-            add(" ".join(tail[:k]), 3)
+            for kept, gone in ((tail[-k:], tail[:-k]), (tail[:k], tail[k:])):
+                if not _APART & set(gone):
+                    add(" ".join(kept), 3)
     return tuple(out)
 
 
@@ -84,21 +85,18 @@ def close(a: tuple[str, ...], b: tuple[str, ...]) -> int:
     short = min(len(x), len(y))
     if short <= 3 or any("一" <= c <= "鿿" for c in x + y):
         return 9
-    best = osa(x, y, 1)
-    if len(a) == len(b):
+    whole = osa(x, y, 1)
+    best = whole if whole <= 1 else 9
+    if len(a) == len(b) and best:
         total, rest = 0, list(b)
         for w in a:
             d, k = min((osa(w, v, 1), i) for i, v in enumerate(rest))
-            if d == 1 and w + "s" != rest[k] and rest[k] + "s" != w and min(len(w), len(rest[k])) < 3:
-                d = 9
-            total += d
-            rest.pop(k)
-            if d > 1:
+            if d > 1 or d == 1 and min(len(w), len(rest[k])) < 3:
                 total = 9
                 break
+            total += d
+            rest.pop(k)
         best = min(best, total)
-    else:
-        best = min(best, osa("".join(sorted(a)), "".join(sorted(b)), 1) if abs(len(a) - len(b)) == 0 else 9)
     return best if best <= (1 if short < 9 else 2) else 9
 
 
