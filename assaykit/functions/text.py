@@ -60,7 +60,7 @@ def page_tokens(url: Column, text: Column) -> Column:
 
 def extract_title(text: Column, url: Column) -> Column:
     """First Markdown heading that is not empty, else the address."""
-    return F.coalesce(F.nullif(F.trim(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?m)^#+ *(\S.*)$", 1)), F.lit("")), url)
+    return F.coalesce(F.nullif(F.trim(F.regexp_extract(F.coalesce(text, F.lit("")), r"(?m)^#+ *([^#\s].*)$", 1)), F.lit("")), url)
 
 
 def substantive(text: Column) -> Column:

@@ -55,7 +55,7 @@ def query_sections(results: DataFrame, key: str, text: str, slots: list[str]) ->
     """``key, slot, body``: sections ``## Query n:`` paired with the slot names by their order."""
     parts = F.filter(F.split(F.col(text), r"(?m)(?=^## Query \d+:)"), lambda b: b.startswith("## Query "))
     pairs = F.arrays_zip(F.slice(F.array(*[F.lit(s) for s in slots]), F.lit(1), F.size(parts)).alias("slot"), F.slice(parts, 1, len(slots)).alias("body"))
-    return results.select(key, F.explode(pairs).alias("x")).select(key, F.col("x.0").alias("slot"), F.col("x.1").alias("body"))
+    return results.select(key, F.explode(pairs).alias("x")).select(key, "x.slot", "x.body").filter("slot is not null and body is not null")
 
 
 def markdown_table(lines: DataFrame, columns: list[str], text: str = "value") -> DataFrame:
