@@ -50,7 +50,35 @@ _SIGNALS = " + ".join(f"(case when regexp_matches(lower(coalesce(text, '')), '{p
 _QUANTILE = "list_sort(list(duration_seconds) filter (duration_seconds is not null))"
 _INTENT = "case when regexp_matches(p, '/products?$') then 3 when regexp_matches(p, '/(market-)?applications?$') then 2 when regexp_matches(p, '(^|/)[^/]*(product|application|solution|catalog|portfolio)[^/]*(/|$)') then 1 else 0 end"
 
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+_NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
+
+
+def _fold(x: str) -> str:
+    """As near as DuckDB comes to compatibility folding: wide forms, accents, case, sharp s."""
+    return f"replace(strip_accents(lower(translate({x}, '{_WIDE}', '{_NARROW}'))), 'ß', 'ss')"
+
+
+_CATS = {"product": (r"\bproducts?\b", 22), "process": ("production|manufactur|process|furnace|melting", 20), "channel": ("distributor|trading|import|export", 12), "technical": ("technical|specification|datasheet|grade", 14)}
+_NOISE = ("career", "job", "login", "privacy", "cookie", "event", "news", "blog", "press", "terms", "sitemap", "contact", "imprint")
+_LOW = " or ".join(f"host = '{h}' or ends_with(host, '.{h}')" for h in ("facebook.com", "instagram.com", "linkedin.com", "youtube.com", "x.com", "twitter.com", "wikipedia.org", "dnb.com", "kompass.com", "europages.com"))
+_TERMS = f"list_filter(regexp_extract_all({_fold("coalesce(company, '')")}, '[\\p{{L}}\\p{{M}}]+'), lambda w: length(w) > 2 and w not in ('company', 'corporation', 'limited', 'ltd', 'gmbh', 'group', 'international', 'srl', 'spa'))"
+_POINTS = " + ".join(f"(case when regexp_matches(locator, '{p}') or regexp_matches(folded, '{p}') then {n} else 0 end)" for p, n in _CATS.values())
+_MINUS = " + ".join(f"(case when contains(locator, '{w}') then 120 else 0 end)" for w in _NOISE)
+_FLAGS = ", ".join(f"case when regexp_matches(locator, '{p}') or regexp_matches(folded, '{p}') then '{n}' end" for n, (p, _) in sorted(_CATS.items()))
+_SCORED = f"""{_SECTIONS}, y as (select s.*, {_TERMS} as terms, {_norm('url')} as n, {_fold("url || ' ' || title")} as locator, {_fold('left(body, 6000)')} as folded from sections s join evidence_bundles b using (bundle_id)),
+z as (select *, {_host('n')} as host, {_path('n')} as path, lower({_path('n')}) as p from y), i as (select *, {_INTENT} as intent from z), scored as (select *,
+({_POINTS} + case when {_LOW} then -25 else 0 end + least(15, 5 * len(list_filter(terms, lambda t: contains(locator, t)))) + case when len(list_filter(terms, lambda t: contains(host, t))) > 0 then 25 else 0 end - ({_MINUS})
+  + case intent when 1 then 24 when 2 then 32 when 3 then 36 else 0 end - case when regexp_matches(p, 'history|timeline|milestone') then 24 else 0 end + case when p = '/' then 4 else 0 end)::int as relevance,
+array_to_string(list_filter([{_FLAGS}], lambda x: x is not null), ',') as categories, cast(section[2:] as int) as pos from i)"""
+
 ORACLE: dict[str, str] = {
+    "page_relevance": f"with {_SCORED} select bundle_id, section, relevance, categories from scored",
+    "ranked_pages": f"""with {_SCORED}, k as (select *, row_number() over (partition by bundle_id, regexp_replace(host, '^www\\.', ''), path, array_to_string({_fields('n')}, '&') order by pos) as m from scored)
+select bundle_id, section, relevance, (row_number() over (partition by bundle_id order by relevance desc, pos))::int as rank from k where m = 1""",
+    "company_domains": f"""with t as (select bundle_id, {_TERMS} as terms from evidence_bundles), h as (select source_row, bundle_id, {_host('n')} as host from (select source_row, bundle_id, {_norm('url')} as n from sources)),
+k as (select bundle_id, source_row, host from h join t using (bundle_id) where not ({_LOW}) and len(list_filter(terms, lambda x: contains(host, x))) > 0)
+select bundle_id, host as domain from (select *, row_number() over (partition by bundle_id order by source_row) as m from k) where m = 1""",
     "candidate_sample": f"""with c as (select record_id, count(*) filter (status = 'valid') as k from results where record_id is not null group by 1),
 r as (select i.record_id, name, industry, coalesce(k, 0) as contacts, updated_at, {_trim("coalesce(background, '')")} as t from input_records i left join c using (record_id)
   where industry in ('STEEL', 'FOUNDRY', 'REFRACTORY', 'CEMENT', 'GLASS', 'NONFERROUS', 'CHEMICAL') and {_trim("coalesce(name, '')")} <> '' and {_trim("coalesce(website, '')")} <> ''),
