@@ -186,10 +186,34 @@ def firm_links(keyed: DataFrame, least_similarity: float = 0.85) -> DataFrame:
     return out
 
 
+def short_forms(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """``a, b``: firms tied by a shortened name of one side: one word of the brand, its blend or its initials.
+
+    The words of a brand come from names of two words and from profile pages. A short form counts only with the same
+    trade and country, and only if all rows it may stand for belong to one firm.
+    """
+    rows = keyed.join(found, "record_id")
+    words = F.split("brand", " ")
+    slug = F.split("profile", "-")
+    pair = F.when(F.size(words) == 2, words).when(F.size(slug) == 3, F.slice(slug, 1, 2))
+    full = rows.withColumn("w", pair).filter("w is not null and trade is not null and country is not null")
+    v, w = F.col("w")[0], F.col("w")[1]
+    first = F.substring("trade", 1, 1)
+    forms = F.array(v, w, F.concat(F.substring(v, 1, 3), F.substring(w, 1, 3)), F.concat(F.substring(w, 1, 3), F.substring(v, 1, 3)), F.concat(F.substring(v, 1, 1), F.substring(w, 1, 1), first), F.concat(F.substring(w, 1, 1), F.substring(v, 1, 1), first))
+    stands = full.select("firm_id", "trade", "country", F.explode(forms).alias("joined")).filter(F.length("joined") >= 3)
+    one = stands.groupBy("joined", "trade", "country").agg(F.min("firm_id").alias("b"), F.max("firm_id").alias("top"), F.count(F.lit(1)).alias("n")).filter("b = top").select("joined", "trade", "country", "b", "n")
+    short = rows.filter(F.size(words) == 1).select("firm_id", "joined", "trade", "country")
+    return heavy_safe_join(short, one, ["joined", "trade", "country"], "n").filter("firm_id <> b").select(F.col("firm_id").alias("a"), "b").distinct()
+
+
 def firms(keyed: DataFrame) -> DataFrame:
     """``record_id, firm_id, links``: the firm of each row with a name (its least record_id) and the number of other rows of it."""
     edges = firm_links(keyed).unionByName(keyed.select(F.col("record_id").alias("a"), F.col("record_id").alias("b")))
-    found = connected_components(cut_lineage(edges)).select(F.col("node").alias("record_id"), F.col("component").alias("firm_id"))
+    found = cut_lineage(connected_components(cut_lineage(edges)).select(F.col("node").alias("record_id"), F.col("component").alias("firm_id")))
+    moved = connected_components(cut_lineage(short_forms(keyed, found))).select(F.col("node").alias("firm_id"), "component")
+    sizes = found.groupBy("firm_id").agg(F.count(F.lit(1)).alias("n"))
+    moved = cut_lineage(moved.join(sizes, "firm_id"))
+    found = heavy_safe_join(found, moved, ["firm_id"], "n", how="left").select("record_id", F.coalesce("component", "firm_id").alias("firm_id"))
     found = cut_lineage(found)
     sizes = found.groupBy("firm_id").agg(F.count(F.lit(1)).alias("n"))
     return heavy_safe_join(found, sizes, ["firm_id"], "n").select("record_id", "firm_id", (F.col("n") - 1).alias("links"))
