@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.functions.urls import TRACKING_FIELDS, TRACKING_PREFIX
-from assaykit.plans.runtime import heavy_safe_join
+from assaykit.plans.runtime import cut_lineage, heavy_safe_join
 
 #: What people write where there is no address.
 STAND_INS = ("", "-", "--", "n/a", "na", "n.a", "none", "null", "nil", "nan", "unknown", "http", "https", "www", "http://", "https://", "tbd", "x", "?")
@@ -35,7 +35,7 @@ def _text(b: Column) -> Column:
 
     def parts(rest: Column) -> Column:
         host = F.regexp_replace(F.substring_index(F.substring_index(rest, "/", 1), "?", 1), r"^(?:.*@)?(?:www\.)?|\.*(?::\d*)?$", "")
-        path = F.regexp_replace(F.regexp_extract(rest, r"^[^/?]*([^?]*)", 1), r";[^/]*$|/+$|(?<=/)/+", "")
+        path = F.regexp_replace(F.regexp_replace(F.regexp_extract(rest, r"^[^/?]*([^?]*)", 1), r";[^/]*$", ""), r"/+$|(?<=/)/+", "")
         query = F.when(rest.contains("?"), F.concat_ws("&", F.array_sort(F.filter(F.split(F.translate(F.regexp_extract(rest, r"\?(.*)$", 1), "+", " "), "&"), field)))).otherwise("")
         return _let(host, lambda h: F.when(h.rlike(r"^[^.\s]+(?:\.[^.\s]+)+$"), F.concat_ws("\x1f", h, path, query)))
 
@@ -71,8 +71,9 @@ def address_copies(hashed: DataFrame, heavy: int = 100_000) -> DataFrame:
     Groups of any size are safe: the row with the smallest id comes from the aggregate, and hot groups reach their rows
     by broadcast of (hash, smallest id).
     """
-    groups = address_groups(hashed)
-    many = groups.filter("n > 1 and not collided").select("table_name", "h1", "h2", "kept_id", "n")
+    hashed = cut_lineage(hashed)
+    groups = cut_lineage(address_groups(hashed).filter("n > 1"))  # a collision needs two rows, too
+    many = groups.filter("not collided").select("table_name", "h1", "h2", "kept_id", "n")
     out = heavy_safe_join(hashed.select("table_name", "h1", "h2", "row_id"), many, ["table_name", "h1", "h2"], "n", heavy)
     clashes = groups.filter("collided").select("table_name", "h1", "h2")
     apart = hashed.join(clashes, ["table_name", "h1", "h2"], "left_semi")

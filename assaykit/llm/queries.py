@@ -105,4 +105,18 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_firms": p4_firms, "p5_found": p5_found, "p3_counts": p3_counts, "p6_packing": p6_packing, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
-ORACLE: dict[str, str] = {}
+_AROUND = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(160) || chr(12288) || chr(8203) || chr(65279) || '\"''`<>()[]{}«»‹›“”„‘’.,;:!?…'"
+_STAND_INS = ", ".join(f"'{x}'" for x in ac.STAND_INS)
+_CANON = f"""rows as (select 'sources' as table_name, source_row as row_id, url as a from sources union all select 'input_records', record_id, website from input_records),
+bare as (select table_name, row_id, lower(trim(coalesce(a, ''), {_AROUND})) as b from rows),
+rest as (select table_name, row_id, split_part(regexp_replace(b, '^https?:/+', ''), '#', 1) as r from bare where b not in ({_STAND_INS}) and (not contains(b, '://') or regexp_matches(b, '^https?://'))),
+cut as (select table_name, row_id, regexp_replace(regexp_replace(split_part(split_part(r, '/', 1), '?', 1), '^(?:.*@)?(?:www\\.)?', ''), '\\.*(?::\\d*)?$', '') as host,
+  regexp_replace(regexp_replace(regexp_replace(regexp_extract(r, '^[^/?]*([^?]*)', 1), ';[^/]*$', ''), '/+$', ''), '/+', '/', 'g') as path,
+  list_sort(list_filter(string_split(translate(case when contains(r, '?') then regexp_extract(r, '\\?(.*)$', 1) else '' end, '+', ' '), '&'), lambda f: f <> '' and split_part(f, '=', 1) not in ('srsltid', 'gclid', 'fbclid') and not starts_with(split_part(f, '=', 1), 'utm_'))) as fields from rest),
+canon as (select table_name, row_id, host || ' ' || path || ' ' || array_to_string(fields, '&') as address from cut where regexp_matches(host, '^[^.\\s]+(\\.[^.\\s]+)+$'))"""
+
+#: SQL for the problems that DuckDB can express over whole tables; the others are tested against brute force.
+ORACLE: dict[str, str] = {
+    "p3_found": f"with {_CANON}, k as (select table_name, address, min(row_id) as kept_id from canon group by all) select c.table_name, k.kept_id, c.row_id as copy_id from canon c join k using (table_name, address) where c.row_id <> k.kept_id",
+    "p3_counts": f"with {_CANON} select table_name, address, min(row_id) as kept_id, count(*) as copies from canon group by all",
+}
