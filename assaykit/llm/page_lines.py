@@ -98,7 +98,8 @@ def line_cost(line: str) -> float:
     if n < 130:
         if low in BOX_HEADS or _LANGS.match(s) or _BREADCRUMB.match(low) or _BANNER.match(low) or _SLOGAN.search(low):
             return -6.0
-        k = nav_only(s)
+    if n < 250:
+        k = nav_only(s) if n < 130 or s[0] == "[" or "  " in s or "•" in s or "|" in s or "·" in s else 0
         if k:
             return -5.0 if k > 1 or s != _BULLET.sub("", s) or "](" in s else -3.5
     if _consent(low) or _footer(low):

@@ -23,7 +23,7 @@ DISCLOSURE_BITS, LEAST_SURE, LEAST_SHARE = 3.0, 2, 0.3
 
 # --- e-mail -----------------------------------------------------------------------------------------------------
 _LOCAL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+'-]*[A-Za-z0-9_+])?"
-_PARTICLE_LOCAL = r"(?:\b[A-Za-z]+[._](?:el|ben|al|bin|abu|van|von|de|der|den|di|da|del|la|le|ter|ten|mac|st)(?: (?:de|der|den|la|el))? )?"
+_PARTICLE_LOCAL = r"(?:\b[A-Za-z]+[._](?i:el|ben|al|bin|abu|van|von|de|der|den|di|da|del|la|le|ter|ten|mac|st)(?: (?i:de|der|den|la|el))? )?"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 _AT = r"(?:\s?@\s?|\s?[(\[{<]\s?(?:at|@|ät)\s?[)\]}>]\s?| at | AT | ät )"
 _DOT = r"(?:\.|\s?[(\[{]\s?(?:dot|punkt|punto|\.)\s?[)\]}]\s?| dot | DOT | punkt | punto )"
@@ -82,10 +82,10 @@ _ZH_LEAD = re.compile(r"^[^市]*(?:寄|往|至|到|位于|址[:：为是]?|点[:
 _TITLE = r"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Engr|Eng|Ing|Dipl\.-Ing|Herrn?|Frau|Hr|Fr|Sr|Sra|Srta|Don|Doña|Sir|Madam)"
 _WORD = r"[^\W\d_][^\W\d_'’]*(?:['’-][^\W\d_]+)*"
 _NAMEWORD = rf"(?:[^\W\d_]\.|{_WORD})"
-_ANY = rf"(?P<n>{_NAMEWORD}(?: {_NAMEWORD}){{0,4}}?)"
 _CAPNAME = r"(?:[A-ZÀ-ÖØ-Þ]\.|(?:[A-ZÀ-ÖØ-Þ]['’])?[A-ZÀ-ÖØ-Þ][^\W\d_]*(?:['’-][^\W\d_]+)*)"
 _PART = r"(?:el|al|ben|bin|ibn|van|von|de|der|den|di|da|del|la|le|ter|ten|zu|dos|EL|BEN|VAN|DE|AL|VON)"
 _CAPSEQ = rf"{_CAPNAME}(?: (?:{_PART} )?{_CAPNAME}){{0,3}}"
+_ANY = rf"(?P<n>{_CAPNAME}, {_CAPNAME}(?: [A-Z]\.)?|{_NAMEWORD}(?: {_NAMEWORD}){{0,4}}?)"
 _T = rf"(?:{_TITLE}\.? )*"
 #: Phrases that take a person, ahead of it, behind it or around it.
 ANCHORS = [re.compile(x) for x in (
@@ -121,6 +121,7 @@ ZH_NAMES = [re.compile(x) for x in (
     r"(?:采购经理|采购员|销售经理|总经理|厂长|经理|工程师|主任)(?P<n>[一-鿿]{2,3}?)(?=要求|确认|表示|来电|签字|负责|说|认为|将)",
 )]
 _ZH_FRONT = re.compile(r"^(?:与|由|和|为|是|据|请|向|已与)(?=[一-鿿]{2})")
+SURNAME_FIRST = re.compile(rf"(?<![\w.@'’-]){_CAPNAME}, {_CAPNAME}(?: [A-Z]\.)?(?![\w@]| (?:{_PART} )?{_CAPNAME})")
 CAP_SEQUENCE = re.compile(rf"(?<![\w.@'’-]){_CAPSEQ}(?![\w@])")
 #: Words that cannot be part of a person's name, as streets, firms, trades and forms carry them.
 _NO_NAME = frozenset(
@@ -230,11 +231,16 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                     rows.append((doc, "name", a, b, t[a:b], None, None, 0, 0))
                     w = [term(x) for x in t[a:b].split(" ")]
                     w = [x for x in w if len(x) > 1]
+                    w = w[1:] + w[:1] if "," in t[a:b] else w
                     sure.update(w[:1])
                     total.update(w[:1])
                     if len(w) > 1:
                         sure.update(["+" + w[-1]])
                         total.update(["+" + w[-1]])
+                for m in SURNAME_FIRST.finditer(t):
+                    w = [term(x) for x in m[0].split(" ")]
+                    if not _overlaps(m.start(), m.end(), taken) and not any(x in _NO_NAME for x in w):
+                        rows.append((doc, "candidate", m.start(), m.end(), m[0], w[1], w[0], 0, 0))
                 for m in CAP_SEQUENCE.finditer(t):
                     w = m[0].split(" ")
                     total.update(term(x) for x in w)

@@ -13,12 +13,12 @@ _STATUS = r"(?:not found|bad request|forbidden|unauthorized|gone|internal server
 #: Messages that stand where content should be.
 MESSAGE = re.compile(
     r"(?i)^\W*(?:"
-    rf"(?:http(?: error| status)?|error|fehler|错误|status)?\W*(?:[45]\d\d|<\*>)\W*{_STATUS}\W*$|(?:http error|error|fehler|http|status)\W*(?:code\W*)?(?:[45]\d\d|<\*>)(?:\W*{_STATUS})?\W*$|err_[a-z_]+\W*$|{_STATUS}\W*$|"
+    rf"(?:http(?: error| status)?|error|fehler|错误|status)?\W*(?:[45]\d\d|<\*>)\W*{_STATUS}\W*$|(?:http error|error|fehler|错误|http|status)\W*(?:code\W*)?(?:[45]\d\d|<\*>)(?:\W*{_STATUS})?\W*$|err_[a-z_]+\W*$|{_STATUS}\W*$|"
     r"(?:oops|ups|hoppla)\b|page not found|the page (?:you|was|could)|this page (?:does not exist|could not|is not available)|sorry, (?:the|this|we|our)\b.*(?:not|without)|access denied|your request (?:was|has been) blocked|request id\b|reference \S+$|ray \S+$|"
     r"(?:the |this )?(?:site|website|page|service) is (?:currently |temporarily )?(?:under maintenance|unavailable|down|offline)|site under maintenance|please come back later|please try again|try again later|something went wrong|the server (?:met|encountered|is)|"
     r"error establishing a database connection|database error|(?:this )?account (?:has been )?suspended|account suspended|session expired|go back\W*$|return to the home ?page|back to the home ?page|"
     r"seite nicht gefunden|die (?:angeforderte|gesuchte) seite|zugriff verweigert|wartungsarbeiten|bitte versuchen sie es später|página no encontrada|la página (?:solicitada|que busca)|acceso denegado|sitio en mantenimiento|"
-    r"抱歉|页面不存在|您访问的页面|访问被拒绝|网站维护|服务器(?:内部)?错误|"
+    r"this domain (?:may be|is) for sale|make an offer\W*$|if nothing happens|noscript\b|返回上一页|抱歉|页面不存在|您访问的页面|访问被拒绝|网站维护|服务器(?:内部)?错误|"
     r"el enlace no funciona|please get in touch with your hosting|if you own this site|you don.t have permission|time: ?(?:\d+|<\*>)\W*$|the requested url|your connection timed out|too many requests|fatal error|traceback|(?:key|type|value|name|attribute|index|runtime|syntax)error\b|uncaught \w+|file \"[^\"]+\", line|\s*at \w+\.\w+\(|exception in|warning: \w+\(\)|notice: undefined|"
     r"(?:please )?(?:enable|turn on|activate|allow) (?:js|javascript|scripts?|cookies)|(?:you need to|please) enable|javascript (?:is )?(?:required|disabled|must)|(?:js|(?:java)?script(?:s|ing)?)(?: and cookies)? (?:seems?|is|are) (?:to be )?(?:off|disabled|required|needed)|"
     r"(?:this|the|our) \w+ (?:requires?|needs) (?:js|javascript|scripts?|scripting)|without (?:js|(?:java)?script(?:s|ing)?)(?: and cookies)?\b.*(?:no content|nothing|cannot|not)|your browser (?:does not|doesn't|has no) (?:support|run|scripts?)|turn (?:them|it) on and reload|enable scripts|scripts? (?:are|is) required|"
@@ -31,8 +31,8 @@ MESSAGE = re.compile(
 FILLER = re.compile(
     r"(?i)^\W*(?:(?:undefined|null|nan|none|\[?object object\]?|nil|true|false)(?:\W+(?:undefined|null|nan|items?))*\W*$|<p>\s*</p>|&nbsp;|(?:text ){2,}text\W*$|(?:asdf\W*)+$|(?:x{2,}\W*)+$|"
     r"(?:this is )?(?:a )?(?:sample|placeholder|dummy|example) (?:text|paragraph|headline|image|caption|block|title|content)\b(?=\W*$|[.,:;!–-]| [(–-])|placeholder\b|dummy \w+|blindtext|platzhalter|hier steht ihr text|texto de (?:ejemplo|relleno)|示例文字|此处填写|占位|在此输入|"
-    r"(?:your|the)? ?(?:headline|title|text|content|subtitle|caption) goes here|your (?:content|text|headline|title) (?:goes )?here|(?:type|enter|add|write) your \w+|insert \w+(?: \w+)? here|(?:description|content|text) (?:coming soon|to follow)|\[?[\w ]+ to follow\]|[\w ]+: add content\W*$|"
-    r"click (?:here )?to edit|some quick example|add a short description|hello world|another page of this theme|edit (?:this|or delete) |todo\b|subtitle (?:\d+|<\*>)\W*$|[\w ]+ – lorem\W*$|lorem\b|edge-(?:\d+|<\*>)\W*$)"
+    r"(?:[\w]+ ){0,3}goes here\W*$|your (?:content|text|headline|title) (?:goes )?here|(?:type|enter|add|write) your \w+|insert \w+(?: \w+)? here|(?:description|content|text) (?:coming soon|to follow)|\[?[\w ]+ to follow\]|[\w ]+: add content\W*$|"
+    r"click (?:here )?to edit|some quick example|add a short description|hello world|another page of this theme|edit (?:this|or delete) |todo\b|(?:sub|card )?title (?:\d+|<\*>)\W*$|(?:headline|section|block|paragraph|company text|product description|description|image caption|team member) (?:\d+|<\*>)\W*$|[\w ]+ – lorem\W*$|lorem\b|edge-(?:\d+|<\*>)\W*$)"
 )
 _LOREM = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
@@ -46,7 +46,7 @@ DEFAULT_TITLE = re.compile(
 
 _NAME = r"(?:[A-Za-z][\w.]*(?: [\w.]+){0,2})"
 #: Bracket pairs of template languages around a field name.
-SLOT = re.compile(rf"\{{\{{\s*{_NAME}\s*\}}\}}|\$\{{\s*{_NAME}\s*\}}|<%=?\s*{_NAME}\s*%>|\[\[\s*{_NAME}\s*\]\]|__{_NAME}__|%{_NAME}%|#{_NAME}#|\{{{_NAME}\}}|<{_NAME}>|\[{_NAME}\]")
+SLOT = re.compile(rf"\{{\{{\s*{_NAME}\s*\}}\}}|\$\{{\s*{_NAME}\s*\}}|<%=?\s*{_NAME}\s*%>|\[\[\s*{_NAME}\s*\]\]|__{_NAME}__|%{_NAME}%|#{_NAME}#|\{{{_NAME}\}}|<{_NAME}>|\[{_NAME}\](?!\()")
 _SURE_SLOT = re.compile(rf"\{{\{{\s*{_NAME}\s*\}}\}}|\$\{{\s*{_NAME}\s*\}}|<%=?\s*{_NAME}\s*%>|\[\[\s*{_NAME}\s*\]\]|__[A-Za-z][\w. ]*__")
 _OPENERS = re.compile(r"[{<\[%#_]")
 _FRAME = re.compile(r"(?i)^(?:welcome to|contact .* for|since .*:|founded in .*we serve customers|our .* plant makes|.* is a leading supplier of .* in|willkommen bei|bienvenidos? a|欢迎)")
