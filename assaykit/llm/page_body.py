@@ -89,7 +89,7 @@ def labelled(lines: list[tuple[int, str]], company: str) -> list[tuple[int, str,
         costs.append(c)
         gap = False
     for i in range(len(nodes) - 1):  # a short line right above running text is its heading
-        if -1 <= costs[i] < 0 and costs[i + 1] >= 2 and not nodes[i + 1][2] and (i == 0 or costs[i - 1] > SURE or nodes[i][2]):
+        if -1 <= costs[i] < 0 and costs[i + 1] >= 2 and not nodes[i + 1][2] and (i == 0 or costs[i - 1] >= SOME or nodes[i][2]):
             costs[i] = 1.2
     return [(n[0], n[1], c, x) for n, c, x in zip(nodes, costs, min_cut(costs, edges))]
 

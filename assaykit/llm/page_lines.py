@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+from assaykit.llm.residue import is_message
+
 #: Labels of menus, in the languages of the data.
 NAV_LABELS = frozenset(x.casefold() for x in (
     "Home|Products|Applications|About us|About|News|Downloads|Contact|Careers|Quality|References|Media|Locations|Sustainability|Login|Shop|Service|Services|Search|Menu|Company|Sitemap|Blog|Imprint|Privacy|"
@@ -94,7 +96,7 @@ def line_cost(line: str) -> float:
     if s[0] == "|" and s[-1] == "|" and s.count("|") >= 3:
         return 4.0
     if n < 220 and ("…" in s or n < 130) and _TEASER.search(low):
-        return -4.0
+        return 0.5 if n < 80 and is_message(s) else -4.0
     if n < 130:
         if low in BOX_HEADS or _LANGS.match(s) or _BREADCRUMB.match(low) or _BANNER.match(low) or _SLOGAN.search(low):
             return -6.0
@@ -103,16 +105,16 @@ def line_cost(line: str) -> float:
         if k:
             return -5.0 if k > 1 or s != _BULLET.sub("", s) or "](" in s else -3.5
     if _consent(low) or _footer(low):
-        return -5.0
+        return 0.5 if is_message(s) else -5.0  # a demand for scripts and cookies is no consent notice
     if n < 200:
         parts = [p for p in _FOOTER_PARTS.split(low) if p]
         if len(parts) > 1 and sum(1 for p in parts if p in NAV_LABELS or _footer(p) or _consent(p)) * 2 >= len(parts):
             return -5.0
     if n < 90:
         if _HEADING.match(low):
-            return 2.5
+            return 4.0 if s[0] in "#*" else 2.5
         if _FOR.match(s):
-            return 1.5
+            return 2.5
         if _SPEC.match(s):
             return 4.0
     if n < 130:

@@ -20,7 +20,7 @@ MESSAGE = re.compile(
     r"seite nicht gefunden|die (?:angeforderte|gesuchte) seite|zugriff verweigert|wartungsarbeiten|bitte versuchen sie es später|página no encontrada|la página (?:solicitada|que busca)|acceso denegado|sitio en mantenimiento|"
     r"this domain (?:may be|is) for sale|make an offer\W*$|if nothing happens|noscript\b|返回上一页|抱歉|页面不存在|您访问的页面|访问被拒绝|网站维护|服务器(?:内部)?错误|"
     r"el enlace no funciona|please get in touch with your hosting|if you own this site|you don.t have permission|time: ?(?:\d+|<\*>)\W*$|the requested url|your connection timed out|too many requests|fatal error|traceback|(?:key|type|value|name|attribute|index|runtime|syntax)error\b|uncaught \w+|file \"[^\"]+\", line|\s*at \w+\.\w+\(|exception in|warning: \w+\(\)|notice: undefined|"
-    r"(?:please )?(?:enable|turn on|activate|allow) (?:js|javascript|scripts?|cookies)|(?:you need to|please) enable|javascript (?:is )?(?:required|disabled|must)|(?:js|(?:java)?script(?:s|ing)?)(?: and cookies)? (?:seems?|is|are) (?:to be )?(?:off|disabled|required|needed)|"
+    r"(?:please )?(?:enable|turn on|activate|allow) (?:js|javascript|scripts?|cookies)|(?:you need to|please) enable|cookies (?:and \w+ )?(?:are|must be) (?:required|enabled)|javascript (?:is )?(?:required|disabled|must)|(?:js|(?:java)?script(?:s|ing)?)(?: and cookies)? (?:seems?|is|are) (?:to be )?(?:off|disabled|required|needed)|"
     r"(?:this|the|our) \w+ (?:requires?|needs) (?:js|javascript|scripts?|scripting)|without (?:js|(?:java)?script(?:s|ing)?)(?: and cookies)?\b.*(?:no content|nothing|cannot|not)|your browser (?:does not|doesn't|has no) (?:support|run|scripts?)|turn (?:them|it) on and reload|enable scripts|scripts? (?:are|is) required|"
     r"bitte aktivieren sie|aktivieren sie (?:bitte )?javascript|javascript (?:ist )?(?:erforderlich|deaktiviert)|(?:por favor,? )?(?:active|habilite|activa) javascript|(?:请|需要)?(?:在浏览器中)?启用\s*javascript|"
     r"verify(?:ing)? (?:that )?you are (?:a )?human|checking your browser|just a moment|attention required|this takes a few seconds|loading\W*$|please wait\W*$|are you a robot|complete the captcha|one more step|正在加载"
