@@ -128,15 +128,20 @@ def _star(keyed: DataFrame, keys: list[str]) -> DataFrame:
 def similar_brands(keyed: DataFrame, q: int = Q, t: float = T) -> DataFrame:
     """``x, y, slips``: distinct brands that are one or two slips apart, by the prefix-filtered join on letter q-grams.
 
-    Rows of equal brands are one set; brands shorter than q letters have no grams and are compared by their keys only.
+    Rows of equal brands are one set; brands shorter than ``LEAST_BRAND`` are compared by their keys only. Brands meet
+    only if a trade or a country is common to rows of both, as no other pair is ever accepted; so a gram's pairs grow
+    with the firms of a trade or country, not with all firms that share the gram.
     """
     brands = keyed.filter(F.length("joined") >= LEAST_BRAND).select(F.col("joined").alias("w")).distinct()
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("w") - q + 1), lambda i: F.substring("w", i, F.lit(q))))
     sets = brands.select("w", grams.alias("tokens"))
     ordered = cut_lineage(in_rarity_order(sets, rarity(sets), "w"))
     pre = cut_lineage(with_prefix(ordered, "w", t))
-    busy = pre.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token")
-    left = pre.join(busy, "token", "left_semi")
+    named = [F.concat(F.lit(f"{c}:"), F.col(c).cast("string")) for c in ("trade", "country")]
+    blocks = keyed.select(F.col("joined").alias("w"), F.explode(F.array_compact(F.array(*named))).alias("block")).distinct()
+    placed = pre.join(blocks, "w").select(F.xxhash64("token", "block").alias("token"), "w", "n", "pos")
+    busy = placed.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token")
+    left = cut_lineage(placed.join(busy, "token", "left_semi"))
     right = left.select(F.col("w").alias("y"), F.col("n").alias("m"), F.col("pos").alias("qos"), "token")
     met = left.select(F.col("w").alias("x"), "n", "pos", "token").join(right, "token").filter("x < y").filter(may_reach(F.col("n"), F.col("pos"), F.col("m"), F.col("qos"), t))
     near = met.filter((F.abs(F.length("x") - F.length("y")) <= 2) & (F.levenshtein("x", "y", 2) >= 0)).select("x", "y").distinct()
