@@ -16,10 +16,12 @@ from assaykit.operators import incremental as inc
 from assaykit.operators import parsers as ps
 from assaykit.operators import ranking as rk
 from assaykit.operators import review as rv
+from assaykit.operators import retrieval as rt
 from assaykit.operators import roles, sampling
+from assaykit.operators import validation as va
 from assaykit.operators.oracle import ORACLE
 from assaykit.plans.provider import ReplayProvider, rounds
-from assaykit.plans.runtime import bounded_broadcast
+from assaykit.plans.runtime import bounded_broadcast, ws_trim
 from assaykit.sources.records import record_violations
 from assaykit.sources.tables import load_table
 
@@ -280,13 +282,42 @@ def lead_round(spark: SparkSession, d: str) -> DataFrame:
     return rounds(requests, ReplayProvider(recorded), lambda a: a == "valid", 2)
 
 
+RETRIEVAL_RULES = [va.Rule("$.mode", "one_of", ("search", "cache", "fallback")), va.Rule("$.pages", "integer", low=1, high=3), va.Rule("$.queries", "integer", low=0), va.Rule("$.seconds", "number", low=0, high=100)]
+
+
+def retrieval_violations(spark: SparkSession, d: str) -> DataFrame:
+    return load_table(spark, d, "evidence_bundles").select("bundle_id", F.array_join(va.violations(F.col("retrieval"), RETRIEVAL_RULES), "; ").alias("violations"))
+
+
+def retrieval_totals(spark: SparkSession, d: str) -> DataFrame:
+    r = load_table(spark, d, "evidence_bundles").select(F.from_json("retrieval", "mode string, pages int, queries int, seconds double").alias("r")).select("r.*")
+    return r.groupBy(F.coalesce("mode", F.lit("")).alias("mode")).agg(F.count(F.lit(1)).alias("packs"), F.sum("pages").alias("pages"), F.sum("queries").alias("queries"), F.round(F.avg("seconds"), 4).alias("mean_seconds"))
+
+
+def title_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Title of each source of a bundle: from the sources table, else the pack's list, else the section."""
+    packs = load_table(spark, d, "evidence_bundles")
+    a = load_table(spark, d, "sources").select("bundle_id", "id", F.lit(1).alias("priority"), "title")
+    b = packs.select("bundle_id", F.explode("sources").alias("s")).select("bundle_id", "s.id", F.lit(2).alias("priority"), "s.title")
+    c = ps.pack_sections(packs).select("bundle_id", F.col("section").alias("id"), F.lit(3).alias("priority"), "title")
+    every = a.unionByName(b).unionByName(c).groupBy("bundle_id", "id", "priority").agg(F.max("title").alias("title"))
+    return rt.first_success(every, ["bundle_id", "id"], "priority", ws_trim(F.coalesce("title", F.lit(""))) != "").select("bundle_id", "id", "priority", "title")
+
+
+def reserved_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Official pages of a bundle first, then the others, distinct by host and path, the first 8."""
+    rows = u.with_url_parts(load_table(spark, d, "sources").select("source_row", "bundle_id", "url", "source_type"), "url").filter("url_norm <> ''")
+    rows = rows.select("source_row", "bundle_id", "source_type", F.concat(F.regexp_replace("url_host", r"^www\.", ""), "url_path").alias("key"))
+    return rt.reserved_union(rows, "bundle_id", "key", F.coalesce(F.col("source_type") == "官网", F.lit(False)), "source_row", 8).select("bundle_id", "source_row", "place")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         candidate_sample, contact_counts, weakness_reasons, record_checks, url_normalised, provenance_keys, pages_per_host, path_intents, trusted_sources, company_domains, identity_aliases, page_token_counts, substantive_pages,
         material_signals, levels_of_directions, secrets_redacted, evidence_sections, source_references, uncited_sources, page_relevance, ranked_pages, diverse_pages, interleaved_sources, longest_title_per_host, cache_lookup, repeated_cache_keys,
         resume_pending, overlaid_runs, quote_verification, compact_evidence, gap_reasons, known_directions, confusion_matrix, threshold_scan, best_threshold, average_ranks, score_quality, failure_stages, latency_summary, run_overview,
-        run_companies, queue_filter, selected_roles, report_markdown, lead_round,
+        run_companies, queue_filter, selected_roles, report_markdown, lead_round, retrieval_violations, retrieval_totals, title_fallback, reserved_sources,
     )
 }
 

@@ -73,6 +73,16 @@ z as (select *, {_host('n')} as host, {_path('n')} as path, lower({_path('n')})
 array_to_string(list_filter([{_FLAGS}], lambda x: x is not null), ',') as categories, cast(section[2:] as int) as pos from i)"""
 
 ORACLE: dict[str, str] = {
+    "retrieval_violations": """with j as (select bundle_id, retrieval as r, json_type(retrieval, '$.mode') as tm, retrieval ->> '$.mode' as m, json_type(retrieval, '$.pages') as tp, json_type(retrieval, '$.queries') as tq, json_type(retrieval, '$.seconds') as ts,
+ try_cast(retrieval ->> '$.pages' as double) as p, try_cast(retrieval ->> '$.queries' as double) as q, try_cast(retrieval ->> '$.seconds' as double) as s from evidence_bundles)
+select bundle_id, case when r is null or not json_valid(r) then 'no JSON' else array_to_string(list_filter([case when not coalesce(tm = 'VARCHAR' and m in ('search', 'cache', 'fallback'), false) then '$.mode: one_of' end, case when not coalesce(tp in ('UBIGINT', 'BIGINT') and p between 1 and 3, false) then '$.pages: integer' end,
+ case when not coalesce(tq in ('UBIGINT', 'BIGINT') and q >= 0, false) then '$.queries: integer' end, case when not coalesce(ts in ('UBIGINT', 'BIGINT', 'DOUBLE') and s between 0 and 100, false) then '$.seconds: number' end], lambda x: x is not null), '; ') end as violations from j""",
+    "retrieval_totals": """select coalesce(retrieval ->> '$.mode', '') as mode, count(*) as packs, sum((retrieval ->> '$.pages')::int)::bigint as pages, sum((retrieval ->> '$.queries')::int)::bigint as queries, round(avg((retrieval ->> '$.seconds')::double), 4) as mean_seconds from evidence_bundles group by 1""",
+    "title_fallback": f"""with {_SECTIONS}, e as (select bundle_id, id, 1 as priority, title from sources union all select bundle_id, s.id, 2, s.title from (select bundle_id, unnest(sources) as s from evidence_bundles) union all select bundle_id, section, 3, title from sections),
+g as (select bundle_id, id, priority, max(title) as title from e group by all), k as (select *, row_number() over (partition by bundle_id, id order by priority) as m from g where {_trim("coalesce(title, '')")} <> '') select bundle_id, id, priority, title from k where m = 1""",
+    "reserved_sources": f"""with {_HOSTED}, k as (select source_row, bundle_id, case when source_type = '官网' then 0 else 1 end as p, host || {_path('n')} as key from hosted),
+o as (select * from (select *, row_number() over (partition by bundle_id, key order by p, source_row) as m from k) where m = 1)
+select bundle_id, source_row, place::int as place from (select *, row_number() over (partition by bundle_id order by p, source_row) as place from o) where place <= 8""",
     "page_relevance": f"with {_SCORED} select bundle_id, section, relevance, categories from scored",
     "ranked_pages": f"""with {_SCORED}, k as (select *, row_number() over (partition by bundle_id, regexp_replace(host, '^www\\.', ''), path, array_to_string({_fields('n')}, '&') order by pos) as m from scored)
 select bundle_id, section, relevance, (row_number() over (partition by bundle_id order by relevance desc, pos))::int as rank from k where m = 1""",
