@@ -138,7 +138,9 @@ def canonical_values(values: DataFrame, entries: DataFrame, t: float = 0.4, plac
         for a, b in pairs:
             yield pd.Series([close(tuple(x.split(" ")), tuple(y.split(" "))) for x, y in zip(a, b)], dtype="int32")
 
-    asked = cut_lineage(values.select("value", F.explode(looked_up("value")).alias("f")).select("value", "f.level", "f.words", "f.tokens"))
+    # Few bytes but much work a row: a fixed number of partitions, which is not coalesced again.
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = cut_lineage(values.select("value").repartition(tasks, "value").select("value", F.explode(looked_up("value")).alias("f")).select("value", "f.level", "f.words", "f.tokens"))
     r = cut_lineage(entries.select("entry_id", "other", F.element_at(looked_up("form"), 1).alias("f")).groupBy("entry_id", "f").agg(F.min("other").alias("other")).select("entry_id", "other", F.col("f.words").alias("rwords"), F.col("f.tokens").alias("rtokens")))
     v = asked.groupBy("words").agg(F.min(F.struct("words", "tokens"))["tokens"].alias("tokens"))
     df = cut_lineage(rarity(v.select("tokens").unionByName(r.select(F.col("rtokens").alias("tokens")))))
@@ -149,6 +151,7 @@ def canonical_values(values: DataFrame, entries: DataFrame, t: float = 0.4, plac
     pairs = vp.join(bounded_broadcast(rp), "token").filter(may_reach(F.col("n"), F.col("pos"), F.col("rn"), F.col("rpos"), t)).select("words", "rwords").distinct()
     found = pairs.join(vo, "words").join(bounded_broadcast(r), "rwords")
     found = found.withColumn("jaccard", jaccard(F.col("tokens"), F.col("rtokens"))).filter(F.col("jaccard") >= t - 1e-9)
+    found = found.repartition(tasks, "words", "rwords")
     found = found.withColumn("slips", slips("words", "rwords")).filter("slips < 9")
     per_entry = found.groupBy("words", "entry_id").agg(F.min(F.struct("slips", "other", (-F.col("jaccard")).alias("far"))).alias("b"))
     ranked = per_entry.groupBy("words").agg(F.min(F.struct("b", "entry_id")).alias("w"), F.collect_list("b").alias("all"))
@@ -164,7 +167,7 @@ def canonical_values(values: DataFrame, entries: DataFrame, t: float = 0.4, plac
 def mapped_rows(rows: DataFrame, entries: DataFrame, id_col: str, value_col: str, names: DataFrame, table: str, t: float = 0.4, places: bool = False, heavy: int = 100_000) -> DataFrame:
     """``table_name, row_id, entry_id`` for rows whose value is neither null, blank nor literally a name of the list."""
     asked = rows.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(value_col).alias("value")).filter(F.col("value").rlike(r"[^\s 　​﻿]"))
-    asked = asked.join(F.broadcast(names.select(F.col("name").alias("value")).distinct()), "value", "left_anti")
+    asked = asked.join(bounded_broadcast(names.select(F.col("name").alias("value")).distinct()), "value", "left_anti")
     values = asked.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
     mapping = cut_lineage(canonical_values(values, entries, t, places))
     out = heavy_safe_join(asked, mapping.select("value", "n", "entry_id"), ["value"], "n", heavy, "inner")
