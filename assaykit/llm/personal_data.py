@@ -13,6 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,7 @@ _PHONE_FORMS = (
     r"\+\d{1,3}[ .-]?\(0\)[ .-]?\d{1,5}(?:[ ./-]\d{2,6}){1,4}",
     r"\+\d{1,3}(?:[ .-]\(?\d{1,5}\)?){1,6}",
     r"\+\d{9,14}",
+    r"[689]\d{2} \d{2} \d{2} \d{2}",
     r"00[ -]?\d{2}(?:[ -]\d{1,9}){1,5}",
     r"\(\d{3,4}\) ?\d{3}[ .-]\d{4}",
     r"\(0\d{2,4}\) ?\d{6,8}",
@@ -45,7 +47,7 @@ _PHONE_FORMS = (
     r"(?<![\d.])[689]\d{2}[ .-]?\d{3}[ .-]?\d{3}",
     r"1[03-9]\d{9}",
 )
-PHONE = re.compile(r"(?<![\w.,/+-])(?:(?<!\d)" + "|".join(_PHONE_FORMS) + r")(?![\w]|[.,/-]\d)")
+PHONE = re.compile(r"(?<![\w.,/+-])(?:" + "|".join(f if f.startswith("\\+") else rf"(?<!\d )(?:{f})" for f in _PHONE_FORMS) + r")(?![\w]|[.,/-]\d)")
 #: Words after which a number is a number of something else.
 _NOT_PHONE = re.compile(
     r"(?i)(?:drawing|zeichnung|plano|serial|seriennummer|serie|account|konto|cuenta|invoice|rechnung|factura|lot|lote|charge|batch|order|po|bestellung|pedido|contract|vertrag|contrato|silo code|code|substance|stoff|tanker|firmware|version|article|artikel|"
@@ -209,17 +211,18 @@ def term(word: str) -> str:
 
 
 _FOUND_DDL = "doc_id bigint, kind string, a int, b int, found string, first string, second string, total bigint, sure bigint"
+_FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("found", pa.string()), ("first", pa.string()), ("second", pa.string()), ("total", pa.int64()), ("sure", pa.int64())])
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One Arrow pass: finds (``kind`` a kind), candidates for names (``kind`` 'candidate'), and per batch the counts of terms (``kind`` 'term')."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             total: Counter = Counter()
             sure: Counter = Counter()
-            for doc, t in zip(batch[key], batch[text]):
+            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not t:
                     continue
                 fixed = find_fixed(t)
@@ -251,9 +254,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                             a = m.start() + len(" ".join(w[:i])) + (i > 0)
                             rows.append((doc, "candidate", a, m.end(), t[a : m.end()], term(w[i]), term(w[-1]), i, 0))
             rows.extend((None, "term", 0, 0, None, w, None, n, sure.get(w, 0)) for w, n in total.items())
-            yield pd.DataFrame(rows, columns=["doc_id", "kind", "a", "b", "found", "first", "second", "total", "sure"])
+            columns = list(zip(*rows)) if rows else [()] * len(_FOUND_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _FOUND_ARROW)], schema=_FOUND_ARROW)
 
-    return docs.select(F.col(key).cast("bigint").alias(key), text).mapInPandas(run, _FOUND_DDL)
+    return docs.select(F.col(key).cast("bigint").alias(key), text).mapInArrow(run, _FOUND_DDL)
 
 
 def revealing_terms(scanned: DataFrame, bits: float = DISCLOSURE_BITS, least: int = LEAST_SURE, share: float = LEAST_SHARE) -> DataFrame:
