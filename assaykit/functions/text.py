@@ -52,6 +52,13 @@ def identity_seed_name(name: Column) -> Column:
     return F.left(ws_trim(F.regexp_replace(line, r"\s+", " ")), F.lit(120))
 
 
+def search_name(name: Column) -> Column:
+    """The name to search by: the last Latin part behind a slash that is more than 'X Group', else the first part without brackets."""
+    parts = F.transform(F.split(ws_trim(F.coalesce(name, F.lit(""))), r"\s*/\s*"), lambda p: ws_trim(F.regexp_replace(p, r"\s*[(（][^)）]*[)）]\s*", " ")))
+    useful = F.filter(F.slice(parts, 2, 100), lambda p: p.rlike(r"[A-Za-z]{2}") & ~p.rlike(r"(?i)^\S+ group$"))
+    return F.coalesce(F.try_element_at(useful, F.lit(-1)), F.try_element_at(parts, F.lit(1)))
+
+
 def page_tokens(url: Column, text: Column) -> Column:
     """Distinct runs of at least four letters or digits (a-z, 0-9) of the address and the text, in lower case."""
     both = F.lower(F.concat_ws(" ", F.coalesce(url, F.lit("")), F.coalesce(text, F.lit(""))))

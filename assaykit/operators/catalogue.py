@@ -311,13 +311,57 @@ def reserved_sources(spark: SparkSession, d: str) -> DataFrame:
     return rt.reserved_union(rows, "bundle_id", "key", F.coalesce(F.col("source_type") == "官网", F.lit(False)), "source_row", 8).select("bundle_id", "source_row", "place")
 
 
+def folded_names(spark: SparkSession, d: str) -> DataFrame:
+    return load_table(spark, d, "input_records").filter("name is not null").select("record_id", tx.fold_text(F.col("name")).alias("folded"))
+
+
+def seed_names(spark: SparkSession, d: str) -> DataFrame:
+    return load_table(spark, d, "input_records").select("record_id", tx.identity_seed_name(F.col("name")).alias("seed"), tx.search_name(F.col("name")).alias("search_name"))
+
+
+def record_slugs(spark: SparkSession, d: str) -> DataFrame:
+    return load_table(spark, d, "input_records").select("record_id", tx.safe_slug(F.col("name")).alias("slug"))
+
+
+def pack_addresses(spark: SparkSession, d: str) -> DataFrame:
+    return load_table(spark, d, "evidence_bundles").select("bundle_id", F.posexplode(ps.pack_urls(F.col("text"))).alias("pos", "url"))
+
+
+def grade_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = ps.table_rows(ps.pack_sections(load_table(spark, d, "evidence_bundles")), ["bundle_id", "section"])
+    return rows.select("bundle_id", "section", "pos", F.col("cells")[0].alias("grade"), F.col("cells")[1].alias("share"), F.col("cells")[2].alias("density"))
+
+
+def bundle_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return load_table(spark, d, "evidence_bundles").select("bundle_id", "company", F.coalesce(F.size("sources"), F.lit(0)).alias("source_count"), F.length("text").alias("chars"), (F.sha2("text", 256) == F.col("sha256")).alias("hash_holds"))
+
+
+def cached_again(spark: SparkSession, d: str) -> DataFrame:
+    """Packs whose text stands under more than one key: hash, number of packs, first pack."""
+    rows = load_table(spark, d, "evidence_bundles").groupBy(F.sha2("text", 256).alias("text_hash")).agg(F.count(F.lit(1)).alias("packs"), F.min("bundle_id").alias("first_bundle"))
+    return rows.filter("packs > 1")
+
+
+def parsed_answers(spark: SparkSession, d: str) -> DataFrame:
+    """How the retrieval notes parse as one JSON object each: strategy, error, number."""
+    rows = load_table(spark, d, "evidence_bundles").select(ps.json_object("retrieval").alias("p"))
+    return rows.groupBy(F.col("p.strategy").alias("strategy"), F.coalesce("p.error", F.lit("")).alias("error")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def late_results(spark: SparkSession, d: str) -> DataFrame:
+    """Results by run that were loaded more than a day after they were finished."""
+    late = F.col("loaded_at") > F.col("finished_at") + F.make_dt_interval(F.lit(1))
+    return _results(spark, d).groupBy("run_id").agg(F.sum(F.when(late, 1).otherwise(0)).alias("late"), F.count(F.lit(1)).alias("n"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         candidate_sample, contact_counts, weakness_reasons, record_checks, url_normalised, provenance_keys, pages_per_host, path_intents, trusted_sources, company_domains, identity_aliases, page_token_counts, substantive_pages,
         material_signals, levels_of_directions, secrets_redacted, evidence_sections, source_references, uncited_sources, page_relevance, ranked_pages, diverse_pages, interleaved_sources, longest_title_per_host, cache_lookup, repeated_cache_keys,
         resume_pending, overlaid_runs, quote_verification, compact_evidence, gap_reasons, known_directions, confusion_matrix, threshold_scan, best_threshold, average_ranks, score_quality, failure_stages, latency_summary, run_overview,
-        run_companies, queue_filter, selected_roles, report_markdown, lead_round, retrieval_violations, retrieval_totals, title_fallback, reserved_sources,
+        run_companies, queue_filter, selected_roles, report_markdown, lead_round, retrieval_violations, retrieval_totals, title_fallback, reserved_sources, folded_names, seed_names, record_slugs,
+        pack_addresses, grade_rows, bundle_manifest, cached_again, parsed_answers, late_results,
     )
 }
 

@@ -50,8 +50,8 @@ _SIGNALS = " + ".join(f"(case when regexp_matches(lower(coalesce(text, '')), '{p
 _QUANTILE = "list_sort(list(duration_seconds) filter (duration_seconds is not null))"
 _INTENT = "case when regexp_matches(p, '/products?$') then 3 when regexp_matches(p, '/(market-)?applications?$') then 2 when regexp_matches(p, '(^|/)[^/]*(product|application|solution|catalog|portfolio)[^/]*(/|$)') then 1 else 0 end"
 
-_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
-_NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u00a0\u3000"
+_NARROW = ("".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + "  ").replace("'", "''")
 
 
 def _fold(x: str) -> str:
@@ -73,6 +73,20 @@ z as (select *, {_host('n')} as host, {_path('n')} as path, lower({_path('n')})
 array_to_string(list_filter([{_FLAGS}], lambda x: x is not null), ',') as categories, cast(section[2:] as int) as pos from i)"""
 
 ORACLE: dict[str, str] = {
+    "folded_names": f"select record_id, {_fold('name')} as folded from input_records where name is not null",
+    "seed_names": f"""with n as (select record_id, coalesce(name, '') as v, {_trim("coalesce(name, '')")} as t from input_records),
+p as (select *, list_transform(string_split_regex(t, '\\s*/\\s*'), lambda x: {_trim("regexp_replace(x, '\\s*[(（][^)）]*[)）]\\s*', ' ', 'g')")}) as parts from n)
+select record_id, left({_trim("regexp_replace(regexp_replace(regexp_replace(v, '[\"“”„]', '', 'g'), '(?i)\\bsite:\\S+', '', 'g'), '\\s+', ' ', 'g')")}, 120) as seed,
+coalesce(list_filter(parts[2:], lambda x: regexp_matches(x, '[A-Za-z]{{2}}') and not regexp_matches(x, '(?i)^\\S+ group$'))[-1], parts[1]) as search_name from p""",
+    "record_slugs": "select record_id, case when s = '' then 'record' else s end as slug from (select record_id, left(trim(regexp_replace(coalesce(name, ''), '[^\\p{L}\\p{N}._-]+', '-', 'g'), '-._'), 48) as s from input_records)",
+    "pack_addresses": """with u as (select bundle_id, unnest(regexp_extract_all(text, '(?m)^URL:[ \\t]*(\\S.*)$', 1)) as url, generate_subscripts(regexp_extract_all(text, '(?m)^URL:[ \\t]*(\\S.*)$', 1), 1) as k from evidence_bundles),
+d as (select bundle_id, rtrim(url) as url, min(k) as k from u group by 1, 2) select bundle_id, (row_number() over (partition by bundle_id order by k) - 1)::int as pos, url from d""",
+    "grade_rows": f"""with {_SECTIONS}, l as (select bundle_id, section, unnest(string_split(body, chr(10))) as line, generate_subscripts(string_split(body, chr(10)), 1) - 1 as pos from sections),
+c as (select bundle_id, section, pos, list_transform(string_split(regexp_replace(line, '^\\||\\|\\s*$', '', 'g'), '|'), lambda x: trim(x)) as cells from l where regexp_matches(line, '^\\|.*\\|\\s*$'))
+select bundle_id, section, pos::int as pos, cells[1] as grade, cells[2] as share, cells[3] as density from c where len(cells) = 3 and len(list_filter(cells, lambda x: regexp_matches(x, '^\\d+([.,]\\d+)?$'))) > 0""",
+    "bundle_manifest": "select bundle_id, company, coalesce(len(sources), 0)::int as source_count, length(text)::int as chars, sha256(text) = sha256 as hash_holds from evidence_bundles",
+    "cached_again": "select sha256(text) as text_hash, count(*) as packs, min(bundle_id) as first_bundle from evidence_bundles group by 1 having count(*) > 1",
+    "late_results": f"with {_ONCE} select run_id, count(*) filter (loaded_at > finished_at + interval 1 day) as late, count(*) as n from once group by 1",
     "retrieval_violations": """with j as (select bundle_id, retrieval as r, json_type(retrieval, '$.mode') as tm, retrieval ->> '$.mode' as m, json_type(retrieval, '$.pages') as tp, json_type(retrieval, '$.queries') as tq, json_type(retrieval, '$.seconds') as ts,
  try_cast(retrieval ->> '$.pages' as double) as p, try_cast(retrieval ->> '$.queries' as double) as q, try_cast(retrieval ->> '$.seconds' as double) as s from evidence_bundles)
 select bundle_id, case when r is null or not json_valid(r) then 'no JSON' else array_to_string(list_filter([case when not coalesce(tm = 'VARCHAR' and m in ('search', 'cache', 'fallback'), false) then '$.mode: one_of' end, case when not coalesce(tp in ('UBIGINT', 'BIGINT') and p between 1 and 3, false) then '$.pages: integer' end,

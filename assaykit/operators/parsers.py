@@ -68,6 +68,22 @@ def markdown_table(lines: DataFrame, columns: list[str], text: str = "value") ->
     return rows.select(F.col("c")[0].cast("int").alias(columns[0]), *[F.col("c")[i].alias(n) for i, n in enumerate(columns[1:], 1)])
 
 
+def pack_urls(text: Column) -> Column:
+    """Addresses of the URL: lines of a pack, distinct in their order; empty for null."""
+    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?m)^URL:[ \t]*(\S.*)$"), F.lit(1)), lambda x: F.rtrim(x)), lambda x: x != ""))
+
+
+def table_rows(sections: DataFrame, keys: list[str], body: str = "body", width: int = 3) -> DataFrame:
+    """``keys, pos, cells``: rows of Markdown tables of ``width`` columns inside texts; heading and rule lines stay out.
+
+    A heading is a row without any digit-only cell; cells keep their order.
+    """
+    lines = sections.select(*keys, F.posexplode(F.split(F.col(body), "\n")).alias("pos", "line")).filter(F.col("line").rlike(r"^\|.*\|\s*$"))
+    cells = F.transform(F.split(F.regexp_replace("line", r"^\||\|\s*$", ""), r"(?<!\\)\|"), lambda c: F.trim(c))
+    rows = lines.select(*keys, "pos", cells.alias("cells")).filter(F.size("cells") == width)
+    return rows.filter(F.exists("cells", lambda c: c.rlike(r"^\d+([.,]\d+)?$")))
+
+
 class _Page(HTMLParser):
     """Visible text, title and links with their heading and the words before them."""
 
@@ -181,4 +197,4 @@ def json_object(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_object(x) for x in raw], columns=["json", "strategy", "error"], dtype="object")
 
 
-__all__ = ["html_extract", "json_object", "markdown_table", "pack_sections", "parse_object", "query_sections", "search_sections", "search_urls", "site_links"]
+__all__ = ["html_extract", "json_object", "markdown_table", "pack_sections", "pack_urls", "parse_object", "query_sections", "search_sections", "search_urls", "site_links", "table_rows"]

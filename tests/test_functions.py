@@ -78,3 +78,11 @@ def test_small_text_functions(spark):
     assert one(spark, None, lambda c: tx.mapped_level(c, {"high": "高"}, "低")) == "低"
     assert one(spark, "T", lambda c: tx.markdown_link(c, F.lit("https://x.test"))) == "[T](https://x.test)"
     assert one(spark, "T", lambda c: tx.markdown_link(c, F.lit("ftp://x.test"))) == "T"
+
+
+@pytest.mark.parametrize(
+    "name,want",
+    [("Muscat Chemical Industries LLC / Muscat Chemical", "Muscat Chemical"), ("Perfect Solution & Consultant Co., Ltd. / Perfect Group", "Perfect Solution & Consultant Co., Ltd."), ("Acme（AC）", "Acme"), ("甲公司 / Acme Works", "Acme Works"), (None, ""), ("A / 乙", "A")],
+)
+def test_search_name(spark, name, want):
+    assert one(spark, name, tx.search_name) == want
