@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the package to the executors' Python workers, once a context, so that they need not have it installed.
+
+    The archive is served by the driver like any file added to the context; it holds code only, no data.
+    """
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parents[1]
+    if getattr(sc, "_assaykit_shipped", False) or not root.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="assaykit-code-")) / "assaykit.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(str(archive))
+    sc._assaykit_shipped = True
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """True if ``df`` has at most ``rows`` rows; never reads further than one row beyond."""
     return df.limit(rows + 1).count() <= rows
@@ -92,4 +111,4 @@ def ws_trim(c: Column) -> Column:
     return F.regexp_replace(c, r"^[\s 　​﻿]+|[\s 　​﻿]+$", "")
 
 
-__all__ = ["BROADCAST_ROWS", "at_most", "bounded_broadcast", "connected_components", "cut_lineage", "ensure_checkpoint_dir", "heavy_safe_join", "ws_trim"]
+__all__ = ["BROADCAST_ROWS", "at_most", "bounded_broadcast", "connected_components", "cut_lineage", "ensure_checkpoint_dir", "heavy_safe_join", "ship_package", "ws_trim"]
