@@ -31,6 +31,8 @@ TRADES = tuple(
 _OTHER_TRADES = {"trade": "trading", "nf": "nonferrous", "alu": "aluminium", "cmt": "cement", "industry": "industries", "foundries": "foundry", "refractory": "refractories", "technology": "technologies", "metallurgical": "metallurgy", "steel": "steelworks", "glass": "glassworks", "non": "nonferrous"}
 #: Shortest brand whose equality alone says something, in letters.
 LEAST_BRAND = 8
+#: Shortest brand whose equality counts together with trade and country.
+SHORT_BRAND = 5
 Q, T = 4, 0.26
 
 
@@ -159,6 +161,8 @@ def firm_links(keyed: DataFrame, least_similarity: float = 0.85) -> DataFrame:
     """
     firm = keyed.filter(F.length("joined") >= LEAST_BRAND)
     stars = [_star(firm, ["letters", "trade"]), _star(firm, ["letters", "country"]), _star(keyed, ["site"]), _star(keyed, ["profile"])]
+    # Short brands say less: they need trade and country, too.
+    stars.append(_star(keyed.filter(F.length("joined").between(SHORT_BRAND, LEAST_BRAND - 1)), ["joined", "trade", "country"]))
     # A brand that goes with one trade at most is one firm, also where trade and country are missing.
     single = firm.groupBy("letters").agg(F.count_distinct("trade").alias("k"), F.count(F.lit(1)).alias("n")).filter("k <= 1 and n > 1").select("letters", "n")
     stars.append(_star(heavy_safe_join(firm.select("record_id", "letters"), single, ["letters"], "n").drop("n"), ["letters"]))
@@ -194,21 +198,33 @@ def firm_links(keyed: DataFrame, least_similarity: float = 0.85) -> DataFrame:
 def short_forms(keyed: DataFrame, found: DataFrame) -> DataFrame:
     """``a, b``: firms tied by a shortened name of one side: one word of the brand, its blend or its initials.
 
-    The words of a brand come from names of two words and from profile pages. A short form counts only with the same
-    trade and country, and only if all rows it may stand for belong to one firm.
+    The words of a brand come from names of two words and from profile pages; where they are written as one and no
+    page parts them, any cut that leaves four letters on either side may be meant. A short form counts only with the
+    same trade and country (a longer one also where its country is missing), and only if all rows it may stand for
+    belong to one firm.
     """
     rows = keyed.join(found, "record_id")
     words = F.split("brand", " ")
     slug = F.split("profile", "-")
     pair = F.when(F.size(words) == 2, words).when(F.size(slug) == 3, F.slice(slug, 1, 2))
-    full = rows.withColumn("w", pair).filter("w is not null and trade is not null and country is not null")
+    known = rows.filter("trade is not null").withColumn("w", pair)
     v, w = F.col("w")[0], F.col("w")[1]
     first = F.substring("trade", 1, 1)
     forms = F.array(v, w, F.concat(F.substring(v, 1, 3), F.substring(w, 1, 3)), F.concat(F.substring(w, 1, 3), F.substring(v, 1, 3)), F.concat(F.substring(v, 1, 1), F.substring(w, 1, 1), first), F.concat(F.substring(w, 1, 1), F.substring(v, 1, 1), first))
-    stands = full.select("firm_id", "trade", "country", F.explode(forms).alias("joined")).filter(F.length("joined") >= 3)
-    one = stands.groupBy("joined", "trade", "country").agg(F.min("firm_id").alias("b"), F.max("firm_id").alias("top"), F.count(F.lit(1)).alias("n")).filter("b = top").select("joined", "trade", "country", "b", "n")
+    j, n = F.col("joined"), F.length("joined")
+    at = F.sequence(F.lit(5), n - 3)  # where a second word may begin
+    cuts = F.concat(F.transform(at, lambda i: F.left(j, i - 1)), F.transform(at, lambda i: F.substring(j, i, n)), F.transform(at, lambda i: F.concat(F.left(j, F.lit(3)), F.substring(j, i, F.lit(3)))))
+    every = F.when(F.col("w").isNotNull(), forms).when((F.size(words) == 1) & (n >= 10), cuts)
+    stands = known.select("firm_id", "trade", "country", F.explode(every).alias("joined")).filter(F.length("joined") >= 3)
     short = rows.filter(F.size(words) == 1).select("firm_id", "joined", "trade", "country")
-    return heavy_safe_join(short, one, ["joined", "trade", "country"], "n").filter("firm_id <> b").select(F.col("firm_id").alias("a"), "b").distinct()
+
+    def tied(left: DataFrame, keys: list[str]) -> DataFrame:
+        one = stands.dropna(subset=keys).groupBy(*keys).agg(F.min("firm_id").alias("b"), F.max("firm_id").alias("top"), F.count(F.lit(1)).alias("n")).filter("b = top").select(*keys, "b", "n")
+        return heavy_safe_join(left, one, keys, "n").filter("firm_id <> b").select(F.col("firm_id").alias("a"), "b")
+
+    # Without a country only a whole word counts, and it must be the only one of its trade anywhere.
+    alone = short.filter((F.length("joined") >= 7) & F.col("country").isNull())
+    return tied(short, ["joined", "trade", "country"]).unionByName(tied(alone, ["joined", "trade"])).distinct()
 
 
 def firms(keyed: DataFrame) -> DataFrame:
