@@ -151,7 +151,8 @@ def canonical_values(values: DataFrame, entries: DataFrame, t: float = 0.4, plac
     pairs = vp.join(bounded_broadcast(rp), "token").filter(may_reach(F.col("n"), F.col("pos"), F.col("rn"), F.col("rpos"), t)).select("words", "rwords").distinct()
     found = pairs.join(vo, "words").join(bounded_broadcast(r), "rwords")
     found = found.withColumn("jaccard", jaccard(F.col("tokens"), F.col("rtokens"))).filter(F.col("jaccard") >= t - 1e-9)
-    found = found.repartition(tasks, "words", "rwords")
+    # Written before the check, as the optimizer would carry its filter, and with it the check, below the repartition.
+    found = cut_lineage(found.select("words", "rwords", "entry_id", "other", "jaccard").repartition(tasks, "words", "rwords"))
     found = found.withColumn("slips", slips("words", "rwords")).filter("slips < 9")
     per_entry = found.groupBy("words", "entry_id").agg(F.min(F.struct("slips", "other", (-F.col("jaccard")).alias("far"))).alias("b"))
     ranked = per_entry.groupBy("words").agg(F.min(F.struct("b", "entry_id")).alias("w"), F.collect_list("b").alias("all"))
