@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -112,6 +113,14 @@ ANCHORS = [re.compile(x) for x in (
     rf"(?:[Bb]est regards|[Kk]ind regards|[Rr]egards|[Ss]incerely|[Yy]ours|[Cc]heers|[Mm]it freundlichen Grüßen|[Vv]iele Grüße|[Gg]ruß|[Uu]n saludo|[Ss]aludos(?: cordiales)?|[Aa]tentamente),?\s*\n+\s*{_T}{_ANY}(?=\s*(?:\n|$|[,.(]))",
     rf"(?:^|(?<=\n)|(?<=[.!?] ))[—–] ?{_T}{_ANY}(?=\s*(?:\n|$|[,.(]))",
 )]
+#: For each anchor, in order, words one of which its text must hold; they spare most searches.
+_TRIGGERS = (
+    ("confirmed", "asked", "signed", "will be on site", "will send", "shift lead", "ran the", "put it", "called", "wrote", "is on leave", "approved the", "übernimmt ab", "visitó la", "firmó el", "unterschrieb den"),
+    ("poke with", "et with", "alked to"), ("ntil last year",), ("As ",), ("ttended by",), ("drawn up for", "repared for", "ddressed to"), ("handled by",), ("keys ",), ("held by", "owned by"), ("cc ", "cc:", "Cc", "CC"),
+    ("manager:", "person:", "wner:", "director:", "uyer:", "planta:", "contacto:", "erente:", "partner:", "partnerin:", "führer:", "führerin:", "leiter:", "leiterin:"), ("taken by", "repared by", "igned by", "eported by"), ("Laut ",), ("liegen bei", "liegt bei"), (" ist ",),
+    ("Gespräch mit", "gespräch mit", "elefonat mit", "rotokoll", "gezeichnet von", "unterschrieb"), (" lleva ", " tiene ", "firmó ", "atendió ", "atiende "),
+    ("egún ", "ablado con", "eunión con", "irmado por", "sistió ", "cta de ", "propietari", "soci", "ontacto es"), ("egards", "incerely", "ours", "heers", "Grüße", "ruß", "aludo", "tentamente"), ("—", "–"),
+)
 TITLED = re.compile(rf"(?<![\w]){_TITLE}\.? (?:{_TITLE}\.? )*(?P<n>{_CAPSEQ})")
 ZH_NAMES = [re.compile(x) for x in (
     r"(?P<n>[一-鿿]{2,4})(?:先生|女士|小姐|博士|教授|总工|工程师)(?=确认|来电|签|要求|负责|通话|表示|说|[，。])",
@@ -134,6 +143,32 @@ _NO_NAME = frozenset(
 _HAN = re.compile(r"[一-鿿]")
 
 
+#: What a text must hold for the costlier patterns to be tried.
+_AT_SIGN = re.compile(r"@|[(\[{<]\s?(?:at|ät)\s?[)\]}>]| (?:at|AT|ät) [A-Za-z0-9][\w-]*(?:\.\w|\s?[(\[{]|\s(?:dot|DOT|punkt|punto)\b)")
+_ID_WORDS = (
+    "SSN", "ssn", "ecurity", "ECURITY", "assport", "ASSPORT", "ID card", "id card", "ID CARD", "dentity", "ational", "NI n", "ni n", "NINO", "icen", "ICEN", "usweis", "USWEIS", "eisepass", "EISEPASS", "teuer", "TEUER", "ummer", "UMMER", "ührerschein", "ÜHRERSCHEIN",
+    "DNI", "dni", "NIE", "nie", "NIF", "nif", "asaporte", "ASAPORTE", "eguridad", "EGURIDAD", "NUSS", "ermiso", "ERMISO", "carn", "CARN", "身份证", "证件", "护照", "社保", "社会保障", "驾驶证",
+)
+_STREET_WORDS = (
+    "Street", "Road", "Lane", "Avenue", "Drive", "Way", "Court", "Square", "Boulevard", "Terrace", "Close", "Place", "St.", "Rd.", "Ave.", "Box", "Postfach", "Apartado", "Apdo", "straße", "strasse", "str.", "Straße", "Str.", "weg ", "gasse ", "allee ", "platz ",
+    "ring ", "damm ", "ufer ", "hof ", "steig ", "Weg ", "Gasse ", "Allee ", "Platz ", "Ring ", "Am ", "An der ", "Im ", "In der ", "Auf der ", "Zum ", "Zur ", "Alte ", "Neue ", "Hinter der ", "Unter den ", "Calle", "C/", "Avda", "Avenida", "Paseo", "Plaza",
+    "Camino", "Carretera", "Ctra", "Ronda", "Travesía", "Polígono", "Poligono",
+)
+
+
+@lru_cache(maxsize=100_000)
+def _sequence(text: str) -> tuple[tuple[str, ...], tuple[tuple[int, str, str], ...]]:
+    """Terms of a run of capitalised words, and the names it may hold: offset, first and last term."""
+    w = text.split(" ")
+    terms = tuple(term(x) for x in w)
+    names, at = [], 0
+    for i in range(len(w) - 1):  # a sentence may start right before a name
+        if not any(x in _NO_NAME for x in terms[i:]):
+            names.append((at, terms[i], terms[-1]))
+        at += len(w[i]) + 1
+    return terms, tuple(names)
+
+
 def _overlaps(a: int, b: int, taken: list[tuple[int, int]]) -> bool:
     return any(a < y and x < b for x, y in taken)
 
@@ -155,17 +190,19 @@ def find_fixed(text: str) -> list[tuple[int, int, str]]:
             taken.append((a, b))
             out.append((a, b, kind))
 
-    if "@" in text or "at" in text.lower() or "ät" in text:
+    if _AT_SIGN.search(text):
         for m in EMAIL.finditer(text):
             take(m.start(), m.end(), "email")
-    for m in ID_NUMBER.finditer(text):
-        if any(c.isdigit() for c in m[1]):
-            take(m.start(1), m.end(1), "id_number")
+    if any(w in text for w in _ID_WORDS):
+        for m in ID_NUMBER.finditer(text):
+            if any(c.isdigit() for c in m[1]):
+                take(m.start(1), m.end(1), "id_number")
     for m in ID_ALONE.finditer(text):
         take(m.start(), m.end(), "id_number")
-    for m in ADDRESS.finditer(text):
-        take(m.start(), m.end(), "address")
-    if _HAN.search(text):
+    if any(w in text for w in _STREET_WORDS):
+        for m in ADDRESS.finditer(text):
+            take(m.start(), m.end(), "address")
+    if "市" in text or "信箱" in text:
         for m in ADDRESS_ZH.finditer(text):
             a = m.start()
             if lead := _ZH_LEAD.match(text[a : m.end()]):
@@ -192,7 +229,9 @@ def find_anchored(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, in
     for m in TITLED.finditer(text):
         if _plausible(m["n"]):
             take(m.start("n"), m.end("n"))
-    for p in ANCHORS:
+    for p, words in zip(ANCHORS, _TRIGGERS, strict=True):
+        if not any(w in text for w in words):
+            continue
         for m in p.finditer(text):
             if _plausible(m["n"]):
                 take(m.start("n"), m.end("n"))
@@ -222,6 +261,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             rows: list[tuple] = []
             total: Counter = Counter()
             sure: Counter = Counter()
+            runs: Counter = Counter()
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not t:
                     continue
@@ -245,14 +285,14 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                     if not _overlaps(m.start(), m.end(), taken) and not any(x in _NO_NAME for x in w):
                         rows.append((doc, "candidate", m.start(), m.end(), m[0], w[1], w[0], 0, 0))
                 for m in CAP_SEQUENCE.finditer(t):
-                    w = m[0].split(" ")
-                    total.update(term(x) for x in w)
-                    if len(w) > 1 and not _overlaps(m.start(), m.end(), taken):
-                        for i in range(len(w) - 1):  # a sentence may start right before a name
-                            if term(w[i]) in _NO_NAME or any(term(x) in _NO_NAME for x in w[i + 1 :]):
-                                continue
-                            a = m.start() + len(" ".join(w[:i])) + (i > 0)
-                            rows.append((doc, "candidate", a, m.end(), t[a : m.end()], term(w[i]), term(w[-1]), i, 0))
+                    runs[m[0]] += 1
+                    may_be = _sequence(m[0])[1]
+                    if may_be and not _overlaps(m.start(), m.end(), taken):
+                        for at, first, last in may_be:
+                            rows.append((doc, "candidate", m.start() + at, m.end(), m[0][at:], first, last, 0, 0))
+            for run, n in runs.items():
+                for w in _sequence(run)[0]:
+                    total[w] += n
             rows.extend((None, "term", 0, 0, None, w, None, n, sure.get(w, 0)) for w, n in total.items())
             columns = list(zip(*rows)) if rows else [()] * len(_FOUND_ARROW)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _FOUND_ARROW)], schema=_FOUND_ARROW)
