@@ -60,13 +60,16 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if at_most(df, rows) else df
 
 
-def heavy_safe_join(rows: DataFrame, mapping: DataFrame, keys: list[str], count_col: str, heavy: int = 100_000, how: str = "inner") -> DataFrame:
+def heavy_safe_join(rows: DataFrame, mapping: DataFrame, keys: list[str], count_col: str, heavy: int = 100_000, how: str = "inner", total: int | None = None) -> DataFrame:
     """Join ``rows`` with ``mapping`` (one row a key, carrying the number ``count_col`` of matching rows).
 
     Keys of more than ``heavy`` rows are joined by broadcast, so no task gets a hot key whole. Their number is at
     most the number of rows over ``heavy``; should even that exceed the broadcast bound, all go through the
-    shuffle join, where adaptive skew handling applies. ``how`` is inner or left. Null keys match nothing.
+    shuffle join, where adaptive skew handling applies. ``how`` is inner or left. Null keys match nothing. Where the
+    caller knows the number of ``rows`` and it is no more than ``heavy``, no key can be hot and nothing is counted.
     """
+    if total is not None and total <= heavy:
+        return rows.join(mapping, keys, how)
     hot = mapping.filter(F.col(count_col) > heavy)
     n_hot = hot.limit(BROADCAST_ROWS + 1).count()
     if n_hot == 0 or n_hot > BROADCAST_ROWS:
@@ -86,20 +89,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     loops = edges.filter("a = b").select(F.col("a").alias("node")).distinct()
     links = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    signature = None
+    size, signature = links.count(), None
     for _ in range(max_rounds):
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "u"))
-        large = heavy_safe_join(both.filter("v > u"), least, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = heavy_safe_join(both.filter("v > u"), least, ["u"], "n", total=2 * size).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
         least2 = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = heavy_safe_join(large, least2, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = heavy_safe_join(large, least2, ["u"], "n", total=2 * size).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(least2.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         links = cut_lineage(small)
         now = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (now.n, now.h) == signature:
             break
-        signature = (now.n, now.h)
+        size, signature = now.n, (now.n, now.h)
     roots = links.select(F.col("v").alias("node")).distinct()
     found = links.select(F.col("u").alias("node"), F.col("v").alias("component")).groupBy("node").agg(F.min("component").alias("component"))
     alone = loops.union(roots).distinct().join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
