@@ -120,11 +120,11 @@ def firm_keys(rows: DataFrame, countries: DataFrame | None = None) -> DataFrame:
     return cut_lineage(named)
 
 
-def _star(keyed: DataFrame, keys: list[str]) -> DataFrame:
+def _star(keyed: DataFrame, keys: list[str], total: int | None = None) -> DataFrame:
     """Edges from each row to the least row of the same keys; null keys link nothing."""
     known = keyed.select("record_id", *keys).dropna(subset=keys)
     least = known.groupBy(*keys).agg(F.min("record_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return heavy_safe_join(known, least, keys, "n").filter("record_id <> least").select(F.col("record_id").alias("a"), F.col("least").alias("b"))
+    return heavy_safe_join(known, least, keys, "n", total=total).filter("record_id <> least").select(F.col("record_id").alias("a"), F.col("least").alias("b"))
 
 
 def similar_brands(keyed: DataFrame, q: int = Q, t: float = T) -> DataFrame:
@@ -159,14 +159,14 @@ def firm_links(keyed: DataFrame, least_similarity: float = 0.85) -> DataFrame:
     Stars over equal keys; and for similar brands, links between one row of each (brand, trade, country) of both sides.
     Firms that share a brand but differ in trade and country stay apart: such a pair shares no key and is refused below.
     """
+    total = max(keyed.count(), 2)
     firm = keyed.filter(F.length("joined") >= LEAST_BRAND)
-    stars = [_star(firm, ["letters", "trade"]), _star(firm, ["letters", "country"]), _star(keyed, ["site"]), _star(keyed, ["profile"])]
+    stars = [_star(firm, ["letters", "trade"], total), _star(firm, ["letters", "country"], total), _star(keyed, ["site"], total), _star(keyed, ["profile"], total)]
     # Short brands say less: they need trade and country, too.
-    stars.append(_star(keyed.filter(F.length("joined").between(SHORT_BRAND, LEAST_BRAND - 1)), ["joined", "trade", "country"]))
+    stars.append(_star(keyed.filter(F.length("joined").between(SHORT_BRAND, LEAST_BRAND - 1)), ["joined", "trade", "country"], total))
     # A brand that goes with one trade at most is one firm, also where trade and country are missing.
     single = firm.groupBy("letters").agg(F.count_distinct("trade").alias("k"), F.count(F.lit(1)).alias("n")).filter("k <= 1 and n > 1").select("letters", "n")
-    stars.append(_star(heavy_safe_join(firm.select("record_id", "letters"), single, ["letters"], "n").drop("n"), ["letters"]))
-    total = max(keyed.count(), 2)
+    stars.append(_star(heavy_safe_join(firm.select("record_id", "letters"), single, ["letters"], "n", total=total).drop("n"), ["letters"], total))
     brand_df = keyed.groupBy("joined").agg(F.count(F.lit(1)).alias("brand_df"))
     trade_df = keyed.groupBy("trade").agg(F.count(F.lit(1)).alias("trade_df"))
     kinds = firm.groupBy("joined", "trade", "country").agg(F.min("record_id").alias("record_id"), F.min("site").alias("site"), F.min("profile").alias("profile"))
@@ -188,14 +188,14 @@ def firm_links(keyed: DataFrame, least_similarity: float = 0.85) -> DataFrame:
     bare = known("country") & ~clash("trade") & (F.col("slips") == 1) & ~(clash("site") & clash("profile"))
     fuzzy = pairs.filter(helped | fits | bare).select(F.col("record_id_x").alias("a"), F.col("record_id_y").alias("b"))
     # Within equal brands the least row of a (brand, trade, country) stands for its rows: tie them to it.
-    own = _star(firm.select("record_id", "joined", F.coalesce("trade", F.lit("-")).alias("trade"), F.coalesce(F.col("country").cast("string"), F.lit("-")).alias("country")), ["joined", "trade", "country"])
+    own = _star(firm.select("record_id", "joined", F.coalesce("trade", F.lit("-")).alias("trade"), F.coalesce(F.col("country").cast("string"), F.lit("-")).alias("country")), ["joined", "trade", "country"], total)
     out = own.unionByName(fuzzy)
     for s in stars:
         out = out.unionByName(s)
     return out
 
 
-def short_forms(keyed: DataFrame, found: DataFrame) -> DataFrame:
+def short_forms(keyed: DataFrame, found: DataFrame, total: int | None = None) -> DataFrame:
     """``a, b``: firms tied by a shortened name of one side: one word of the brand, its blend or its initials.
 
     The words of a brand come from names of two words and from profile pages; where they are written as one and no
@@ -220,7 +220,7 @@ def short_forms(keyed: DataFrame, found: DataFrame) -> DataFrame:
 
     def tied(left: DataFrame, keys: list[str]) -> DataFrame:
         one = stands.dropna(subset=keys).groupBy(*keys).agg(F.min("firm_id").alias("b"), F.max("firm_id").alias("top"), F.count(F.lit(1)).alias("n")).filter("b = top").select(*keys, "b", "n")
-        return heavy_safe_join(left, one, keys, "n").filter("firm_id <> b").select(F.col("firm_id").alias("a"), "b")
+        return heavy_safe_join(left, one, keys, "n", total=total).filter("firm_id <> b").select(F.col("firm_id").alias("a"), "b")
 
     # Without a country only a whole word counts, and it must be the only one of its trade anywhere.
     alone = short.filter((F.length("joined") >= 7) & F.col("country").isNull())
@@ -229,15 +229,19 @@ def short_forms(keyed: DataFrame, found: DataFrame) -> DataFrame:
 
 def firms(keyed: DataFrame) -> DataFrame:
     """``record_id, firm_id, links``: the firm of each row with a name (its least record_id) and the number of other rows of it."""
+    total = keyed.count()
     edges = firm_links(keyed).unionByName(keyed.select(F.col("record_id").alias("a"), F.col("record_id").alias("b")))
     found = cut_lineage(connected_components(cut_lineage(edges)).select(F.col("node").alias("record_id"), F.col("component").alias("firm_id")))
-    moved = connected_components(cut_lineage(short_forms(keyed, found))).select(F.col("node").alias("firm_id"), "component")
+    # A firm that a short form ties to another one takes its id; a tie to a firm that is tied itself is followed once.
+    ties = short_forms(keyed, found, total).select(F.greatest("a", "b").alias("firm_id"), F.least("a", "b").alias("to")).groupBy("firm_id").agg(F.min("to").alias("to"))
+    ties = cut_lineage(ties)
+    further = ties.select(F.col("firm_id").alias("to"), F.col("to").alias("further"))
     sizes = found.groupBy("firm_id").agg(F.count(F.lit(1)).alias("n"))
-    moved = cut_lineage(moved.join(sizes, "firm_id"))
-    found = heavy_safe_join(found, moved, ["firm_id"], "n", how="left").select("record_id", F.coalesce("component", "firm_id").alias("firm_id"))
+    moved = ties.join(further, "to", "left").select("firm_id", F.coalesce("further", "to").alias("target")).join(sizes, "firm_id")
+    found = heavy_safe_join(found, moved, ["firm_id"], "n", how="left", total=total).select("record_id", F.coalesce("target", "firm_id").alias("firm_id"))
     found = cut_lineage(found)
     sizes = found.groupBy("firm_id").agg(F.count(F.lit(1)).alias("n"))
-    return heavy_safe_join(found, sizes, ["firm_id"], "n").select("record_id", "firm_id", (F.col("n") - 1).alias("links"))
+    return heavy_safe_join(found, sizes, ["firm_id"], "n", total=total).select("record_id", "firm_id", (F.col("n") - 1).alias("links"))
 
 
 def firm_pairs(found: DataFrame) -> DataFrame:
