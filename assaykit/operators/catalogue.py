@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -56,6 +56,11 @@ def url_normalised(spark: SparkSession, d: str) -> DataFrame:
     return load_table(spark, d, "sources").select("source_row", u.normalise_url(F.col("url")).alias("url_norm"))
 
 
+def _page_key() -> Column:
+    """The provenance key of rows that ``with_url_parts`` has prepared."""
+    return F.struct(F.regexp_replace("url_host", r"^www\.", "").alias("host"), F.col("url_path").alias("path"), F.concat_ws("&", "url_fields").alias("query"))
+
+
 def provenance_keys(spark: SparkSession, d: str) -> DataFrame:
     rows = u.with_url_parts(load_table(spark, d, "sources").select("source_row", "url"), "url")
     return rows.filter("url_norm <> ''").select("source_row", F.regexp_replace("url_host", r"^www\.", "").alias("host"), F.concat_ws("&", "url_fields").alias("query"))
@@ -150,9 +155,9 @@ def diverse_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def interleaved_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Round robin over the types of a bundle's sources, distinct by host and path, the first 8."""
+    """Round robin over the types of a bundle's sources, distinct by provenance key, the first 8."""
     rows = u.with_url_parts(load_table(spark, d, "sources").select("source_row", "bundle_id", "url", F.coalesce("source_type", F.lit("")).alias("slot")), "url").filter("url_norm <> ''")
-    rows = rows.select("source_row", "bundle_id", "slot", F.concat(F.regexp_replace("url_host", r"^www\.", ""), "url_path").alias("key"))
+    rows = rows.select("source_row", "bundle_id", "slot", _page_key().alias("key"))
     return rk.interleave(rows, "bundle_id", "slot", "source_row", ["key"], 8).select("bundle_id", "source_row", "turn")
 
 
@@ -305,9 +310,9 @@ def title_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reserved_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Official pages of a bundle first, then the others, distinct by host and path, the first 8."""
+    """Official pages of a bundle first, then the others, distinct by provenance key, the first 8."""
     rows = u.with_url_parts(load_table(spark, d, "sources").select("source_row", "bundle_id", "url", "source_type"), "url").filter("url_norm <> ''")
-    rows = rows.select("source_row", "bundle_id", "source_type", F.concat(F.regexp_replace("url_host", r"^www\.", ""), "url_path").alias("key"))
+    rows = rows.select("source_row", "bundle_id", "source_type", _page_key().alias("key"))
     return rt.reserved_union(rows, "bundle_id", "key", F.coalesce(F.col("source_type") == "官网", F.lit(False)), "source_row", 8).select("bundle_id", "source_row", "place")
 
 
