@@ -49,12 +49,20 @@ _PHONE_FORMS = (
     r"1[03-9]\d{9}",
 )
 PHONE = re.compile(r"(?<![\w.,/+-])(?:" + "|".join(f if f.startswith("\\+") else rf"(?<!\d )(?:{f})" for f in _PHONE_FORMS) + r")(?![\w]|[.,/-]\d)")
-#: Words after which a number is a number of something else.
+#: What may stand between a word and the number it names: no sentence end, bracket or line break.
+_TO_NUMBER = r"[ \t\u00a0\u3000:：#]*$"
+#: Left end of a Latin word; Han characters may stand before it.
+_LATIN_START = r"(?<![A-Za-zÀ-ÖØ-öø-ɏ])"
+#: Words after which a number is a number of something else. German nouns end compounds; EN and PO are labels in capitals only, abbreviations may have a full stop.
 _NOT_PHONE = re.compile(
-    r"(?i)(?:drawing|zeichnung|plano|serial|seriennummer|serie|account|konto|cuenta|invoice|rechnung|factura|lot|lote|charge|batch|order|po|bestellung|pedido|contract|vertrag|contrato|silo code|code|substance|stoff|tanker|firmware|version|article|artikel|"
-    r"part|item|norm|standard|en|iso|din|cas|heat|number|nummer|nr|no|num|account no|ref|reference|steuer-id|ssn|security number|dni|nie|passport|pasaporte|reisepass|ausweis|licen[cs]e|图纸编号|编号|发票号|合同|订单|批号|身份证号?|证件号码|护照号?|账号|型号)\W*$"
+    rf"(?i)(?:{_LATIN_START}(?:drawing|plano|serial|serie|account|cuenta|invoice|factura|lot|lote|charge|batch|order|(?-i:PO)|pedido|contract|contrato|(?:bar|post|zip|stoff|waren|zoll)?code|substance|stoff|tanker|firmware|version|article|artikel|"
+    r"part|item|norm|standard|(?-i:EN)|iso|din|cas|heat|number|(?:no|num|ref)\.?|reference|steuer-id|ssn|dni|nie|passport|pasaporte|reisepass|licen[cs]e|[^\W\d_]*(?:nummer|nr\.?|zeichnung|rechnung|bestellung|vertrag|ausweis|konto))|"
+    rf"图纸编号|编号|发票号|合同|订单|批号|身份证号?|证件号码|护照号?|账号|型号){_TO_NUMBER}"
+)
+#: Words that make a number a phone although "number" follows them.
+_SURE_PHONE = re.compile(
+    rf"(?i){_LATIN_START}(?:(?:tele)?phone|[^\W\d_]*telefon|tel|fax|telefax|mobile|cell|contact|whatsapp|switchboard|hotline|(?:rück|not|an)?ruf|handy|mobil|mobilfunk|festnetz|durchwahl|teléfono|móvil)\.?[ -]?(?:number|nummer|nr|no|num)\.?{_TO_NUMBER}"
 )
-_SURE_PHONE = re.compile(r"(?i)(?:tel|phone|fax|telefon|mobile|móvil|handy|mobil|whatsapp|call|llamar al|erreichbar unter|reachable under|switchboard is|message on|durchwahl|teléfono|电话|手机|致电|传真|use)\W*$")
 
 # --- numbers a state gives ----------------------------------------------------------------------------------------
 _ID_LABEL = (
