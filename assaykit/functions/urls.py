@@ -33,12 +33,16 @@ def url_host(c: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":\d*$", ""), r"\.+$", ""))
 
 
+def _upper_escapes(path: Column) -> Column:
+    pieces = F.split(path, "%")
+    return F.concat_ws("%", F.transform(pieces, lambda p, i: F.when((i > 0) & p.rlike("^[0-9A-Fa-f]{2}"), F.concat(F.upper(F.substring(p, 1, 2)), p.substr(F.lit(3), F.length(p)))).otherwise(p)))
+
+
 def url_path(c: Column) -> Column:
     """Path of the normal form: slashes collapsed, none at the end, ``;params`` dropped, %xx in upper case, '/' if empty."""
     raw = F.regexp_extract(normalise_url(c), r"^(?i:https?)://[^/?#]*([^?#]*)", 1)
     raw = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r";[^/]*$", ""), r"/+", "/"), r"/$", "")
-    pieces = F.split(raw, "%")
-    upper = F.concat_ws("%", F.transform(pieces, lambda p, i: F.when((i > 0) & p.rlike("^[0-9A-Fa-f]{2}"), F.concat(F.upper(F.substring(p, 1, 2)), p.substr(F.lit(3), F.length(p)))).otherwise(p)))
+    upper = _upper_escapes(raw)
     return F.when(upper == "", F.lit("/")).otherwise(upper)
 
 
@@ -78,7 +82,8 @@ def with_url_parts(df: DataFrame, address: str) -> DataFrame:
         return (f != "") & ~name.isin(*TRACKING_FIELDS) & ~name.startswith(TRACKING_PREFIX)
 
     out = out.withColumn("url_host", F.lower(F.regexp_replace(F.regexp_replace(F.col("_authority"), r"^.*@", ""), r"\.*(:\d*)?$", "")))
-    out = out.withColumn("url_path", F.when(F.col("_path").isin("", "/"), F.lit("/")).otherwise(F.rtrim(F.col("_path"), F.lit("/"))))
+    out = out.withColumn("_path", F.when(F.col("_path").isin("", "/"), F.lit("/")).otherwise(F.rtrim(F.col("_path"), F.lit("/"))))
+    out = out.withColumn("url_path", F.when(F.col("_path").contains("%"), _upper_escapes(F.col("_path"))).otherwise(F.col("_path")))
     out = out.withColumn("url_fields", F.when(F.col("_query") == "", F.array().cast("array<string>")).otherwise(F.filter(F.split("_query", "&"), kept)))
     return out.drop("_rest", "_authority", "_query", "_path")
 

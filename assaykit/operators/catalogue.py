@@ -63,7 +63,7 @@ def _page_key() -> Column:
 
 def provenance_keys(spark: SparkSession, d: str) -> DataFrame:
     rows = u.with_url_parts(load_table(spark, d, "sources").select("source_row", "url"), "url")
-    return rows.filter("url_norm <> ''").select("source_row", F.regexp_replace("url_host", r"^www\.", "").alias("host"), F.concat_ws("&", "url_fields").alias("query"))
+    return rows.filter("url_norm <> ''").select("source_row", _page_key().alias("key")).select("source_row", "key.host", "key.path", "key.query")
 
 
 def pages_per_host(spark: SparkSession, d: str) -> DataFrame:

@@ -1,7 +1,13 @@
 """Queries over pages on tables of a few rows, where the SQL comparison cannot tell right from short."""
 
+import re
+from pathlib import Path
+from urllib.parse import urlparse
+
 import pytest
+from pyspark.sql import functions as F
 
+from assaykit.functions import urls as u
 from assaykit.operators.catalogue import QUERIES
 
 
@@ -22,3 +28,39 @@ def test_pages_told_apart_by_query(spark, sources, name):
         (3, 1, "http://www.a.test/listing/?utm_source=x&firm=70#top", "官网"),
     ])
     assert sorted(r["source_row"] for r in QUERIES[name](spark, d).collect()) == [1, 2]
+
+
+def brute_key(url):
+    """Host, path and query of an address, step by step; None where there is no address."""
+    url = (url or "").strip()
+    url = url if "://" in url else f"https://{url}"
+    parsed = urlparse(urlparse(url)._replace(fragment="").geturl().rstrip("/"))
+    if parsed.scheme not in ("http", "https") or not parsed.netloc:
+        return None
+    path = re.sub(r"/+", "/", parsed.path or "/").rstrip("/") or "/"
+    path = re.sub("%[0-9a-fA-F]{2}", lambda m: m[0].upper(), path)
+    names = ((f, f.split("=")[0].lower()) for f in parsed.query.split("&") if f)
+    return parsed.hostname.rstrip(".").removeprefix("www."), path, "&".join(f for f, n in names if n not in u.TRACKING_FIELDS and not n.startswith(u.TRACKING_PREFIX))
+
+
+ADDRESSES = [
+    "https://a.test/x/y", "https://a.test//x///y/", "https://a.test/x%2fy%c3%a4", "https://a.test/x;v=1", "https://a.test/x;v=1/y;w=2", "http://WWW.a.test:8080/x?b=1&utm_source=q&a=2#f", "a.test", "", None, "ftp://a.test/x", "https://a.test/100%zz%2f", "https://a.test/?firm=70",
+]
+
+
+def test_provenance_keys_have_the_path(spark, sources):
+    d = sources([(i, 1, a, None) for i, a in enumerate(ADDRESSES)])
+    got = {r["source_row"]: (r["host"], r["path"], r["query"]) for r in QUERIES["provenance_keys"](spark, d).collect()}
+    assert got == {i: k for i, a in enumerate(ADDRESSES) if (k := brute_key(a))}
+    assert got[0][1] == got[1][1] == "/x/y" and got[2][1] == "/x%2Fy%C3%A4" and got[3][1] == "/x"
+
+
+DATA = Path("/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="test tables are not there")
+def test_provenance_keys_of_whole_table(spark):
+    rows = spark.read.parquet(str(DATA / "sources.parquet")).select("source_row", "url", u.provenance_key(F.col("url")).alias("k")).collect()
+    got = {r["source_row"]: (r["host"], r["path"], r["query"]) for r in QUERIES["provenance_keys"](spark, str(DATA)).collect()}
+    assert got == {r["source_row"]: tuple(r["k"]) for r in rows if r["k"]}
+    assert got == {r["source_row"]: k for r in rows if (k := brute_key(r["url"]))}
