@@ -232,12 +232,10 @@ def firms(keyed: DataFrame) -> DataFrame:
     total = keyed.count()
     edges = firm_links(keyed).unionByName(keyed.select(F.col("record_id").alias("a"), F.col("record_id").alias("b")))
     found = cut_lineage(connected_components(cut_lineage(edges)).select(F.col("node").alias("record_id"), F.col("component").alias("firm_id")))
-    # A firm that a short form ties to another one takes its id; a tie to a firm that is tied itself is followed once.
-    ties = short_forms(keyed, found, total).select(F.greatest("a", "b").alias("firm_id"), F.least("a", "b").alias("to")).groupBy("firm_id").agg(F.min("to").alias("to"))
-    ties = cut_lineage(ties)
-    further = ties.select(F.col("firm_id").alias("to"), F.col("to").alias("further"))
+    # Firms that short forms tie, also over several ties, take the least id of them all.
+    ties = connected_components(cut_lineage(short_forms(keyed, found, total)))
     sizes = found.groupBy("firm_id").agg(F.count(F.lit(1)).alias("n"))
-    moved = ties.join(further, "to", "left").select("firm_id", F.coalesce("further", "to").alias("target")).join(sizes, "firm_id")
+    moved = ties.filter("node <> component").select(F.col("node").alias("firm_id"), F.col("component").alias("target")).join(sizes, "firm_id")
     found = heavy_safe_join(found, moved, ["firm_id"], "n", how="left", total=total).select("record_id", F.coalesce("target", "firm_id").alias("firm_id"))
     found = cut_lineage(found)
     sizes = found.groupBy("firm_id").agg(F.count(F.lit(1)).alias("n"))
