@@ -153,9 +153,10 @@ _HAN = re.compile(r"[一-鿿]")
 
 #: What a text must hold for the costlier patterns to be tried.
 _AT_SIGN = re.compile(r"@|[(\[{<]\s?(?:at|ät)\s?[)\]}>]| (?:at|AT|ät) [A-Za-z0-9][\w-]*(?:\.\w|\s?[(\[{]|\s(?:dot|DOT|punkt|punto)\b)")
+#: Casefolded, for the labels ignore case; one for every alternative of ``_ID_LABEL``.
 _ID_WORDS = (
-    "SSN", "ssn", "ecurity", "ECURITY", "assport", "ASSPORT", "ID card", "id card", "ID CARD", "dentity", "ational", "NI n", "ni n", "NINO", "icen", "ICEN", "usweis", "USWEIS", "eisepass", "EISEPASS", "teuer", "TEUER", "ummer", "UMMER", "ührerschein", "ÜHRERSCHEIN",
-    "DNI", "dni", "NIE", "nie", "NIF", "nif", "asaporte", "ASAPORTE", "eguridad", "EGURIDAD", "NUSS", "ermiso", "ERMISO", "carn", "CARN", "身份证", "证件", "护照", "社保", "社会保障", "驾驶证",
+    "ssn", "social security", "passport", "id card", "identity card", "national i", "ni n", "nino", "driving licen", "licence", "license", "ausweis", "reisepass", "steuer", "versicherungsnummer", "sv-nummer", "führerschein",
+    "dni", "nie", "nif", "pasaporte", "seguridad social", "nuss", "permiso de conducir", "carne de conducir", "carné de conducir", "身份证", "证件号码", "护照", "社保号", "社会保障号", "驾驶证",
 )
 _STREET_WORDS = (
     "Street", "Road", "Lane", "Avenue", "Drive", "Way", "Court", "Square", "Boulevard", "Terrace", "Close", "Place", "St.", "Rd.", "Ave.", "Box", "Postfach", "Apartado", "Apdo", "straße", "strasse", "str.", "Straße", "Str.", "weg ", "gasse ", "allee ", "platz ",
@@ -201,7 +202,8 @@ def find_fixed(text: str) -> list[tuple[int, int, str]]:
     if _AT_SIGN.search(text):
         for m in EMAIL.finditer(text):
             take(m.start(), m.end(), "email")
-    if any(w in text for w in _ID_WORDS):
+    folded = text.casefold().replace("i\u0307", "i").replace("ı", "i")  # as the pattern takes dotted and dotless i for one
+    if any(w in folded for w in _ID_WORDS):
         for m in ID_NUMBER.finditer(text):
             if any(c.isdigit() for c in m[1]):
                 take(m.start(1), m.end(1), "id_number")

@@ -34,3 +34,23 @@ def test_phones_kept(text, number):
 )
 def test_other_numbers_left(text):
     assert found(text) == set()
+
+
+LABELS = (
+    "SSN|social security number|social security no.|passport|passport no.|passport number|ID card|ID card no.|ID card number|identity card|identity card no.|identity card number|national ID|national ID no.|national insurance|national insurance number|NI number|NI no.|NINO|"
+    "driving licence|driving license no.|driver's licence|drivers license number|driver license|Personalausweis|Personalausweisnummer|Personalausweis-Nr.|Reisepass|Reisepassnummer|Reisepass-Nr.|Steuer-ID|SteuerID|Steuer-ID-Nr.|Steuernummer|Steuer-Identifikationsnummer|"
+    "Sozialversicherungsnummer|SV-Nummer|Rentenversicherungsnummer|Führerschein|Führerscheinnummer|Ausweis|Ausweisnummer|Ausweis-Nr.|DNI|NIE|NIF|pasaporte|número de la seguridad social|seguridad social|NUSS|permiso de conducir|carne de conducir|carné de conducir|"
+    "身份证|身份证号|身份证号码|证件号码|护照|护照号|社保号|社保号码|社会保障号码|驾驶证|驾驶证号"
+).split("|")
+
+
+@pytest.mark.parametrize("write", [str, str.upper, str.lower, str.capitalize, str.title])
+def test_each_label_leads_to_a_find(write):
+    for label in LABELS:
+        text = f"{write(label)}: AB1234567"
+        assert pd8.ID_NUMBER.search(text), text
+        assert ("id_number", "AB1234567") in found(text), text
+
+
+def test_dotted_capital_i():
+    assert found("NİNO: AB1234567") == {("id_number", "AB1234567")}
