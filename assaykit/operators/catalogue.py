@@ -135,7 +135,7 @@ def uncited_sources(spark: SparkSession, d: str) -> DataFrame:
 def _scored_pages(spark: SparkSession, d: str) -> DataFrame:
     packs = load_table(spark, d, "evidence_bundles")
     pages = ps.pack_sections(packs).join(packs.select("bundle_id", tx.company_terms(F.col("company")).alias("terms")), "bundle_id")
-    pages = pages.withColumn("locator", tx.fold_text(F.concat_ws(" ", "url", "title"))).withColumn("folded", tx.fold_text(F.left("body", F.lit(6000))))
+    pages = pages.withColumn("locator", tx.fold_text(F.concat_ws(" ", "url", "title"))).withColumn("folded", tx.fold_text(F.col("body")))
     pages = pages.withColumn("relevance", rk.page_relevance(F.col("url"), F.col("locator"), F.col("folded"), F.lit(None).cast("string"), F.col("terms")))
     return pages.withColumn("categories", rk.category_flags(F.col("locator"), F.col("folded")))
 
@@ -150,7 +150,7 @@ def ranked_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def diverse_pages(spark: SparkSession, d: str) -> DataFrame:
-    pages = _scored_pages(spark, d).withColumn("tokens", tx.page_tokens(F.col("url"), F.left("body", F.lit(6000))))
+    pages = _scored_pages(spark, d).withColumn("tokens", tx.page_tokens(F.col("url"), F.col("body")))
     return rk.mmr_select(pages, "bundle_id", 3)
 
 

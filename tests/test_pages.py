@@ -64,3 +64,13 @@ def test_provenance_keys_of_whole_table(spark):
     got = {r["source_row"]: (r["host"], r["path"], r["query"]) for r in QUERIES["provenance_keys"](spark, str(DATA)).collect()}
     assert got == {r["source_row"]: tuple(r["k"]) for r in rows if r["k"]}
     assert got == {r["source_row"]: k for r in rows if (k := brute_key(r["url"]))}
+
+
+def test_long_pages_are_read_to_their_end(spark, tmp_path):
+    filler = "plain words " * 600
+    text = f"Company: Acme\n\n## S1\nURL: https://a.test/one\nTitle: One\n{filler}products and furnace distributor datasheet uncommonword\n\n## S2\nURL: https://a.test/two\nTitle: Two\n{filler}\n"
+    spark.createDataFrame([(1, "Acme", text)], "bundle_id bigint, company string, text string").write.parquet(str(tmp_path / "evidence_bundles.parquet"))
+    got = {r["section"]: (r["relevance"], r["categories"]) for r in QUERIES["page_relevance"](spark, str(tmp_path)).collect()}
+    assert got["S1"] == (got["S2"][0] + 68, "channel,process,product,technical") and got["S2"][1] == ""
+    assert {r["section"]: r["rank"] for r in QUERIES["ranked_pages"](spark, str(tmp_path)).collect()} == {"S1": 1, "S2": 2}
+    assert [r["relevance"] for r in QUERIES["diverse_pages"](spark, str(tmp_path)).collect()][0] == got["S1"][0]
