@@ -1,9 +1,9 @@
 """Problem 8: personal information inside free text.
 
-Addresses, phones, e-mails and state numbers are found by their form and their labels. Names are protected entities:
-anchors (titles, signatures, phrases that take a person) give sure occurrences, and over the whole corpus each term's
-co-occurrence with anchors estimates how strongly it reveals a person: log2 of P(person | term) against P(person).
-Terms beyond the disclosure threshold make any capitalised sequence that starts with them a name, wherever it stands.
+Candidates come by form: e-mails, phones, numbers a state gives, addresses, runs of words that may name a person. What
+a candidate's surroundings and its own terms disclose is estimated from co-occurrence with sure persons and sure phones
+over the whole corpus (``disclosure``): one pass over the texts counts, a second one finds. Names are taken where a title or
+sign-off makes them sure, where their context discloses a person, or where they begin or end with a disclosing term.
 """
 
 from __future__ import annotations
@@ -11,17 +11,18 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass, field
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.plans.runtime import bounded_broadcast, cut_lineage
+from assaykit.llm.disclosure import PARTICLES, TITLE, Text, number_keys, person_keys, runs, seeded, term
+from assaykit.plans.runtime import cut_lineage
 
-#: Bits by which a term must raise the probability of a person, the least sure occurrences and the least share of them.
-DISCLOSURE_BITS, LEAST_SURE, LEAST_SHARE = 3.0, 2, 0.3
+#: Most words of a name, particles and initials included.
+MOST_WORDS = 6
 
 # --- e-mail -----------------------------------------------------------------------------------------------------
 _LOCAL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+'-]*[A-Za-z0-9_+])?"
@@ -90,46 +91,6 @@ ADDRESS_ZH = re.compile(r"(?:(?:邮编)?\d{6}\s?)?[一-鿿]{2,4}?(?:省[一-鿿]
 _ZH_LEAD = re.compile(r"^[^市]*(?:寄|往|至|到|位于|址[:：为是]?|点[:：]?在|在|于|[:：])(?=[一-鿿]+市)")
 
 # --- persons ------------------------------------------------------------------------------------------------------
-_TITLE = r"(?:Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Engr|Eng|Ing|Dipl\.-Ing|Herrn?|Frau|Hr|Fr|Sr|Sra|Srta|Don|Doña|Sir|Madam)"
-_WORD = r"[^\W\d_][^\W\d_'’]*(?:['’-][^\W\d_]+)*"
-_NAMEWORD = rf"(?:[^\W\d_]\.|{_WORD})"
-_CAPNAME = r"(?:[A-ZÀ-ÖØ-Þ]\.|(?:[A-ZÀ-ÖØ-Þ]['’])?[A-ZÀ-ÖØ-Þ][^\W\d_]*(?:['’-][^\W\d_]+)*)"
-_PART = r"(?:el|al|ben|bin|ibn|van|von|de|der|den|di|da|del|la|le|ter|ten|zu|dos|EL|BEN|VAN|DE|AL|VON)"
-_CAPSEQ = rf"{_CAPNAME}(?: (?:{_PART} )?{_CAPNAME}){{0,3}}"
-_ANY = rf"(?P<n>{_CAPNAME}, {_CAPNAME}(?: [A-Z]\.)?|{_NAMEWORD}(?: {_NAMEWORD}){{0,4}}?)"
-_T = rf"(?:{_TITLE}\.? )*"
-#: Phrases that take a person, ahead of it, behind it or around it.
-ANCHORS = [re.compile(x) for x in (
-    rf"(?:^|(?<=[.!?:] )|(?<=\n)|(?<=[）)] )){_T}{_ANY} (?:\([^()\n]{{3,30}}\) (?:confirmed|asked|signed|wrote|called)\b|signed the\b|will be on site\b|will send\b|asked for a\b|confirmed the\b|and the shift lead\b|ran the\b|put it\b|called back\b|wrote that\b|is on leave\b|approved the\b|übernimmt ab\b|visitó la\b|firmó el\b|unterschrieb den\b)",
-    rf"(?:[Ss]poke with|[Mm]et with|[Tt]alked to) {_T}{_ANY} (?:about|on|from|yesterday|today)\b",
-    rf"(?:[Uu]ntil last year) {_T}{_ANY} ran\b",
-    rf"\bAs {_T}{_ANY} put it\b",
-    rf"(?:[Aa]ttended by) {_T}{_ANY}(?= and\b|[.,;\n]|$)",
-    rf"(?:[Oo]ffer drawn up for|[Pp]repared for|[Aa]ddressed to) {_T}{_ANY}(?=[,.;\n]|$)",
-    rf"(?:is handled by|are handled by|was handled by) {_T}{_ANY} (?:at|in|from|since)\b",
-    rf"(?:keys are with|keys lie with) {_T}{_ANY} (?:until|till|since)\b",
-    rf"(?:[Ss]hares are held by|is owned by) {_T}{_ANY} and\b",
-    rf"\b(?:cc|Cc|CC):? {_T}{_ANY}(?=,)",
-    rf"(?:[Pp]lant manager|[Cc]ontact person|[Oo]wner|[Mm]anaging director|[Bb]uyer|[Pp]urchasing manager|[Rr]esponsable de planta|[Pp]ersona de contacto|[Gg]erente|[Aa]nsprechpartner(?:in)?|[Gg]eschäftsführer(?:in)?|[Bb]etriebsleiter(?:in)?|[Ww]erksleiter(?:in)?|[Ee]inkaufsleiter(?:in)?): {_T}{_ANY}(?=[.,;\n(]|$)",
-    rf"(?:[Mm]inutes taken by|[Pp]repared by|[Ss]igned by|[Rr]eported by) {_T}{_ANY}(?=[.,;\n]|$)",
-    rf"\bLaut {_T}{_ANY} (?:ist|wird|hat|kommt|bleibt)\b",
-    rf"(?:liegen bei|liegt bei) {_T}{_ANY} im\b",
-    rf"(?:[Gg]esellschafter|[Aa]nsprechpartner|[Ii]nhaber|[Gg]eschäftsführer|[Bb]etriebsleiter|[Ww]erksleiter|[Ll]eiter)(?:in)? ist {_T}{_ANY}(?=[.,;\n]|$)",
-    rf"(?:[Gg]espräch mit|[Tt]elefonat mit|[Pp]rotokoll(?: von|:)|gezeichnet von|unterschrieb) {_T}{_ANY}(?=[.,;\n]| (?:am|über|zum)\b|$)",
-    rf"(?:la lleva|las tiene|lo lleva|la tiene|firmó|atendió|atiende) {_T}{_ANY}(?=[.,;\n]|$| (?:en|hasta|desde)\b)",
-    rf"(?:[Ss]egún|[Hh]ablado con|[Rr]eunión con|[Ff]irmado por|[Aa]sistió|[Aa]cta de|propietari[oa] es|soci[oa] es|[Cc]ontacto es) {_T}{_ANY}(?=[.,;\n]|$| (?:el|la|sobre|en|hasta|desde|y)\b)",
-    rf"(?:[Bb]est regards|[Kk]ind regards|[Rr]egards|[Ss]incerely|[Yy]ours|[Cc]heers|[Mm]it freundlichen Grüßen|[Vv]iele Grüße|[Gg]ruß|[Uu]n saludo|[Ss]aludos(?: cordiales)?|[Aa]tentamente),?\s*\n+\s*{_T}{_ANY}(?=\s*(?:\n|$|[,.(]))",
-    rf"(?:^|(?<=\n)|(?<=[.!?] ))[—–] ?{_T}{_ANY}(?=\s*(?:\n|$|[,.(]))",
-)]
-#: For each anchor, in order, words one of which its text must hold; they spare most searches.
-_TRIGGERS = (
-    ("confirmed", "asked", "signed", "will be on site", "will send", "shift lead", "ran the", "put it", "called", "wrote", "is on leave", "approved the", "übernimmt ab", "visitó la", "firmó el", "unterschrieb den"),
-    ("poke with", "et with", "alked to"), ("ntil last year",), ("As ",), ("ttended by",), ("drawn up for", "repared for", "ddressed to"), ("handled by",), ("keys ",), ("held by", "owned by"), ("cc ", "cc:", "Cc", "CC"),
-    ("manager:", "person:", "wner:", "director:", "uyer:", "planta:", "contacto:", "erente:", "partner:", "partnerin:", "führer:", "führerin:", "leiter:", "leiterin:"), ("taken by", "repared by", "igned by", "eported by"), ("Laut ",), ("liegen bei", "liegt bei"), (" ist ",),
-    ("Gespräch mit", "gespräch mit", "elefonat mit", "rotokoll", "gezeichnet von", "unterschrieb"), (" lleva ", " tiene ", "firmó ", "atendió ", "atiende "),
-    ("egún ", "ablado con", "eunión con", "irmado por", "sistió ", "cta de ", "propietari", "soci", "ontacto es"), ("egards", "incerely", "ours", "heers", "Grüße", "ruß", "aludo", "tentamente"), ("—", "–"),
-)
-TITLED = re.compile(rf"(?<![\w]){_TITLE}\.? (?:{_TITLE}\.? )*(?P<n>{_CAPSEQ})")
 ZH_NAMES = [re.compile(x) for x in (
     r"(?P<n>[一-鿿]{2,4})(?:先生|女士|小姐|博士|教授|总工|工程师)(?=确认|来电|签|要求|负责|通话|表示|说|[，。])",
     r"已与(?P<n>[一-鿿]{2,4}?)(?:先生|女士|小姐|博士)?(?:通话|会面|沟通|见面)",
@@ -140,8 +101,6 @@ ZH_NAMES = [re.compile(x) for x in (
     r"(?:采购经理|采购员|销售经理|总经理|厂长|经理|工程师|主任)(?P<n>[一-鿿]{2,3}?)(?=要求|确认|表示|来电|签字|负责|说|认为|将)",
 )]
 _ZH_FRONT = re.compile(r"^(?:与|由|和|为|是|据|请|向|已与)(?=[一-鿿]{2})")
-SURNAME_FIRST = re.compile(rf"(?<![\w.@'’-]){_CAPNAME}, {_CAPNAME}(?: [A-Z]\.)?(?![\w@]| (?:{_PART} )?{_CAPNAME})")
-CAP_SEQUENCE = re.compile(rf"(?<![\w.@'’-]){_CAPSEQ}(?![\w@])")
 #: Words that cannot be part of a person's name, as streets, firms, trades and forms carry them.
 _NO_NAME = frozenset(
     "street road lane avenue drive way court square boulevard terrace close place box unit the a an and or of for in on at to by with from is are was der die das und oder von mit für bei im am el la los las un una del y o con para por se en "
@@ -165,32 +124,40 @@ _STREET_WORDS = (
 )
 
 
-@lru_cache(maxsize=100_000)
-def _sequence(text: str) -> tuple[tuple[str, ...], tuple[tuple[int, str, str], ...]]:
-    """Terms of a run of capitalised words, and the names it may hold: offset, first and last term."""
-    w = text.split(" ")
-    terms = tuple(term(x) for x in w)
-    names, at = [], 0
-    for i in range(len(w) - 1):  # a sentence may start right before a name
-        if not any(x in _NO_NAME for x in terms[i:]):
-            names.append((at, terms[i], terms[-1]))
-        at += len(w[i]) + 1
-    return terms, tuple(names)
-
-
 def _overlaps(a: int, b: int, taken: list[tuple[int, int]]) -> bool:
     return any(a < y and x < b for x, y in taken)
 
 
-def _plausible(name: str) -> bool:
-    """A name of one to five words, none of which belongs to streets, firms or running text."""
-    w = name.split(" ")
-    low = [x.lower().strip(".,'") for x in w]
-    return 0 < len(w) <= 5 and low[0] not in _NO_NAME and not any(x in _NO_NAME and x not in ("el", "la", "de", "von") for x in low) and sum(len(x) > 1 for x in low) >= 1
+def _plausible(words: list[str]) -> bool:
+    """Words of a name: none of those that belong to streets, firms or running text, and one longer than an initial."""
+    low = [term(x) for x in words]
+    return 0 < len(low) <= MOST_WORDS and not any(x in _NO_NAME and x not in PARTICLES for x in low) and low[0] not in PARTICLES - {"el", "ben", "van", "von", "de"} and any(len(x) > 1 for x in low)
+
+
+@dataclass
+class Model:
+    """What the corpus discloses: contexts and terms of persons, contexts of numbers that are no phones."""
+
+    pair: frozenset[str] = frozenset()
+    left: frozenset[str] = frozenset()
+    right: frozenset[str] = frozenset()
+    first: frozenset[str] = frozenset()
+    last: frozenset[str] = frozenset()
+    number: frozenset[str] = frozenset()
+    before: frozenset[str] = field(init=False)
+    after: frozenset[str] = field(init=False)
+
+    def __post_init__(self) -> None:
+        pairs = [x.split("|", 1) for x in self.pair]
+        self.before = frozenset(x.rsplit(" ", 1)[-1] for x in [*self.left, *(p[0] for p in pairs)])
+        self.after = frozenset(x.split(" ", 1)[0] for x in [*self.right, *(p[1] for p in pairs)])
 
 
-def find_fixed(text: str) -> list[tuple[int, int, str]]:
-    """Spans found by form and label: e-mail, id_number, address, phone; earlier kinds win where spans meet."""
+def find_fixed(text: str, against: frozenset[str] = frozenset(), t: Text | None = None) -> list[tuple[int, int, str]]:
+    """Spans found by form and label: e-mail, id_number, address, phone; earlier kinds win where spans meet.
+
+    ``against`` holds left contexts of numbers that are no phones, as the corpus tells; a dialling code or a label outweighs it.
+    """
     out: list[tuple[int, int, str]] = []
     taken: list[tuple[int, int]] = []
 
@@ -219,104 +186,148 @@ def find_fixed(text: str) -> list[tuple[int, int, str]]:
                 a += lead.end()
             take(a, m.end(), "address")
     for m in PHONE.finditer(text):
+        if _overlaps(m.start(), m.end(), taken):
+            continue
         before = text[max(0, m.start() - 30) : m.start()]
-        if _NOT_PHONE.search(before) and not _SURE_PHONE.search(before):
+        labelled = bool(_SURE_PHONE.search(before))
+        sure = labelled or m[0][0] == "+" or m[0].startswith("00")
+        if _NOT_PHONE.search(before) and not labelled:
+            sure = None
+        if sure is None or not sure and against and (t := t or Text(text)).left_of(m.start()) in against:
             continue
         take(m.start(), m.end(), "phone")
     return out
 
 
-def find_anchored(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans of names that stand in a phrase or beside a title that takes a person."""
-    out: list[tuple[int, int]] = []
+def _inverted(t: Text, i: int, j: int) -> int | None:
+    """End of a name whose surname stands first, with a comma behind it: the run ``i`` to ``j`` is the surname."""
+    n = len(t.tokens)
+    if j + 1 >= n or t.tokens[j] != "," or t.start[j + 1] != t.end(j) + 1 or not t.tokens[j + 1][0].isupper() or TITLE.match(t.tokens[j + 1]):
+        return None
+    k = j + 2
+    if k < n and re.fullmatch(r"[^\W\d_]\.?", t.tokens[k]) and t.tokens[k][0].isupper() and t.start[k] == t.end(k - 1) + 1:
+        k += 2 if len(t.tokens[k]) == 1 and k + 1 < n and t.tokens[k + 1] == "." else 1
+    return k
+
 
-    def take(a: int, b: int) -> None:
-        while b > a and text[b - 1] in ".,;:" and not re.search(r"(?:^| )[^\W\d_]\.$", text[a:b]):
-            b -= 1
-        if b > a and not _overlaps(a, b, taken) and not _overlaps(a, b, out):
-            out.append((a, b))
+def _spoken(words: list[str], inverted: bool) -> tuple[str, str]:
+    """First and last term of a name; a surname that stands first counts as the last."""
+    if inverted:
+        k = words.index(",")
+        return term(words[k + 1]), term(words[k - 1])
+    w = [x for x in map(term, words) if x]
+    w = [x for x in w if len(x) > 1] or w
+    return w[0], w[-1]
 
-    for m in TITLED.finditer(text):
-        if _plausible(m["n"]):
-            take(m.start("n"), m.end("n"))
-    for p, words in zip(ANCHORS, _TRIGGERS, strict=True):
-        if not any(w in text for w in words):
+
+def candidates(t: Text, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, bool, bool]]:
+    """``(from, to, inverted, whole)`` token ranges that may name a person: each run, its tails of two words and more, inverted names."""
+    for i, j in runs(t):
+        if _overlaps(t.start[i], t.end(j - 1), taken):
+            continue
+        for k in range(i, j):
+            if k == i or t.low[k] not in PARTICLES:
+                # A tail of one word, or one that begins with an initial, is a name only right behind the word that begins a sentence.
+                if k == i or k == i + 1 or j - k > 1 and len(term(t.tokens[k])) > 1:
+                    turned = _inverted(t, k, j) if j - k <= 3 else None
+                    if turned and _plausible([x for x in t.tokens[k:turned] if x not in ",."]) and not _overlaps(t.start[k], t.end(turned - 1), taken):
+                        yield k, turned, True, True
+                if (k == i or j - k > 1 and (k == i + 1 or len(term(t.tokens[k])) > 1)) and _plausible(t.tokens[k:j]):
+                    yield k, j, False, k == i
+
+
+def find_names(t: Text, taken: list[tuple[int, int]], model: Model) -> list[tuple[int, int]]:
+    """Spans of names: sure ones, those in a context and those with a term that the model knows."""
+    found: list[tuple[int, int]] = []
+
+    def take(i: int, j: int) -> None:
+        a, b = t.start[i], t.end(j - 1)
+        if t.tokens[j - 1] == ".":
+            pass
+        elif j < len(t.tokens) and t.tokens[j] == "." and len(t.tokens[j - 1]) == 1 and t.start[j] == b:
+            b += 1  # an initial at the end
+        if not _overlaps(a, b, taken) and not _overlaps(a, b, found):
+            found.append((a, b))
+
+    every = [(i, j, inverted, whole, t.left(i), t.right(j)) for i, j, inverted, whole in candidates(t, taken)]
+    every.sort(key=lambda x: (f"{x[4]}|{x[5]}" not in model.pair and x[4] not in model.left, not x[2], x[0], -x[1]))
+    for i, j, inverted, whole, left, right in every:
+        first, last = _spoken(t.tokens[i:j], inverted)
+        many = inverted or sum(1 for x in t.tokens[i:j] if x[0].isupper()) > 1
+        context = f"{left}|{right}" in model.pair or (whole or many) and (left in model.left or whole and right in model.right)
+        if inverted:
+            if first in model.first and (context or seeded(t, i) or last in model.last or (last not in model.first)):
+                take(i, j)
+        elif whole and seeded(t, i) or context or many and (first in model.first or last in model.last and len(term(t.tokens[i])) == 1):
+            take(i, j)
+    # Names in small letters stand in contexts only.
+    n = len(t.tokens)
+    for i in range(n):
+        word = t.tokens[i]
+        if not word[0].islower() or word[0] == "_" or not ((before := t.low[i - 1] if i else "<s>") in model.before or i == 0 or before in ")—–" or t.ends_sentence(i - 1) or TITLE.match(t.tokens[i - 1])):
             continue
-        for m in p.finditer(text):
-            if _plausible(m["n"]):
-                take(m.start("n"), m.end("n"))
-    if _HAN.search(text):
+        left = None
+        for j in range(i + 1, min(i + 5, n) + 1):
+            if j > i + 1 and (t.start[j - 1] != t.end(j - 2) + 1 or not t.tokens[j - 1][0].isalpha()):
+                break
+            if j < n and t.low[j] not in model.after and t.low[j] not in (".", ",", "\n", "("):
+                continue
+            left = t.left(i) if left is None else left
+            right = t.right(j)
+            if (f"{left}|{right}" in model.pair or seeded(t, i) and right[0] in ".,(" or left in model.left and (right in model.right or right[0] in ".,(")) and _plausible(t.tokens[i:j]) and (j - i > 1 or TITLE.match(t.tokens[i - 1] if i else "")):
+                take(i, j)
+                break
+    if _HAN.search(t.text):
         for p in ZH_NAMES:
-            for m in p.finditer(text):
+            for m in p.finditer(t.text):
                 a, b = m.span("n")
-                while b - a > 2 and (lead := _ZH_FRONT.match(text[a:b])):
+                while b - a > 2 and (lead := _ZH_FRONT.match(t.text[a:b])):
                     a += lead.end()
-                take(a, b)
-    return out
+                if not _overlaps(a, b, taken) and not _overlaps(a, b, found):
+                    found.append((a, b))
+    return found
 
 
-def term(word: str) -> str:
-    return word.casefold().strip(".,'’")
+_STATS_DDL = "kind string, left string, right string, first string, last string, sure boolean, n bigint"
+_STATS_ARROW = pa.schema([("kind", pa.string()), ("left", pa.string()), ("right", pa.string()), ("first", pa.string()), ("last", pa.string()), ("sure", pa.bool_()), ("n", pa.int64())])
 
 
-_FOUND_DDL = "doc_id bigint, kind string, a int, b int, found string, first string, second string, total bigint, sure bigint"
-_FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("found", pa.string()), ("first", pa.string()), ("second", pa.string()), ("total", pa.int64()), ("sure", pa.int64())])
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema)], schema=schema)
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One Arrow pass: finds (``kind`` a kind), candidates for names (``kind`` 'candidate'), and per batch the counts of terms (``kind`` 'term')."""
+def counted(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Contexts and terms of all candidates with counts, combined by batch: ``kind`` 'name' or 'number'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            total: Counter = Counter()
-            sure: Counter = Counter()
-            runs: Counter = Counter()
-            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not t:
+            seen: Counter = Counter()
+            for s in batch.column(0).to_pylist():
+                if not s:
                     continue
-                fixed = find_fixed(t)
-                rows.extend((doc, kind, a, b, t[a:b], None, None, 0, 0) for a, b, kind in fixed)
-                taken = [(a, b) for a, b, _ in fixed]
-                names = find_anchored(t, taken)
-                taken += names
-                for a, b in names:
-                    rows.append((doc, "name", a, b, t[a:b], None, None, 0, 0))
-                    w = [term(x) for x in t[a:b].split(" ")]
-                    w = [x for x in w if len(x) > 1]
-                    w = w[1:] + w[:1] if "," in t[a:b] else w
-                    sure.update(w[:1])
-                    total.update(w[:1])
-                    if len(w) > 1:
-                        sure.update(["+" + w[-1]])
-                        total.update(["+" + w[-1]])
-                for m in SURNAME_FIRST.finditer(t):
-                    w = [term(x) for x in m[0].split(" ")]
-                    if not _overlaps(m.start(), m.end(), taken) and not any(x in _NO_NAME for x in w):
-                        rows.append((doc, "candidate", m.start(), m.end(), m[0], w[1], w[0], 0, 0))
-                for m in CAP_SEQUENCE.finditer(t):
-                    runs[m[0]] += 1
-                    may_be = _sequence(m[0])[1]
-                    if may_be and not _overlaps(m.start(), m.end(), taken):
-                        for at, first, last in may_be:
-                            rows.append((doc, "candidate", m.start() + at, m.end(), m[0][at:], first, last, 0, 0))
-            for run, n in runs.items():
-                for w in _sequence(run)[0]:
-                    total[w] += n
-            rows.extend((None, "term", 0, 0, None, w, None, n, sure.get(w, 0)) for w, n in total.items())
-            columns = list(zip(*rows)) if rows else [()] * len(_FOUND_ARROW)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _FOUND_ARROW)], schema=_FOUND_ARROW)
-
-    return docs.select(F.col(key).cast("bigint").alias(key), text).mapInArrow(run, _FOUND_DDL)
-
-
-def revealing_terms(scanned: DataFrame, bits: float = DISCLOSURE_BITS, least: int = LEAST_SURE, share: float = LEAST_SHARE) -> DataFrame:
-    """``term, bits, sure, total``: terms whose occurrence raises the probability of a person beyond the threshold."""
-    counts = scanned.filter("kind = 'term'").groupBy(F.col("first").alias("term")).agg(F.sum("total").alias("total"), F.sum("sure").alias("sure"))
-    base = counts.agg(F.sum("sure").alias("sure"), F.sum("total").alias("total")).first()
-    p = max((base["sure"] or 0) / max(base["total"] or 1, 1), 1e-12)
-    scored = counts.filter(F.col("sure") >= least).withColumn("bits", F.log2(F.col("sure") / F.col("total") / F.lit(p)))
-    return scored.filter((F.col("bits") >= bits) & (F.col("sure") >= share * F.col("total"))).select("term", "bits", "sure", "total")
+                t = Text(s)
+                for m in PHONE.finditer(s):
+                    seen["number", t.left_of(m.start()), None, None, None, m[0][0] == "+" or m[0].startswith("00")] += 1
+                for i, j, inverted, whole in candidates(t, []):
+                    seen["name", t.left(i), t.right(j), *_spoken(t.tokens[i:j], inverted), whole and seeded(t, i)] += 1
+            yield _batch([(*k, n) for k, n in seen.items()], _STATS_ARROW)
+
+    return docs.select(text).mapInArrow(run, _STATS_DDL).groupBy("kind", "left", "right", "first", "last", "sure").agg(F.sum("n").alias("n"))
+
+
+def learned_model(docs: DataFrame, text: str = "text") -> Model:
+    """The model of a corpus. Its keys hold a fixed least share of all entities each, so the driver gets a bounded number."""
+    stats = cut_lineage(counted(docs, text))
+    names = person_keys(stats.filter("kind = 'name'").drop("kind"))
+    got: dict[str, set[str]] = {}
+    for r in names.select("kind", "key").unionByName(number_keys(stats.filter("kind = 'number'")).select(F.lit("number").alias("kind"), "key")).toLocalIterator():
+        got.setdefault(r["kind"], set()).add(r["key"])
+    return Model(**{k: frozenset(v) for k, v in got.items()})
+
+
+_FOUND_DDL = "doc_id bigint, kind string, a int, b int, found string"
+_FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("found", pa.string())])
 
 
 def personal_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -324,13 +335,22 @@ def personal_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Null and empty texts have none. Kinds: email, phone, id_number, address, name. Repeats within a text are kept here.
     """
-    scanned = cut_lineage(scan(docs, key, text))
-    terms = revealing_terms(scanned).filter(~F.col("term").startswith("+")).select(F.col("term").alias("first"), "bits")
-    sure = scanned.filter(~F.col("kind").isin("candidate", "term")).select("doc_id", "kind", "a", "b", "found")
-    likely = scanned.filter("kind = 'candidate'").join(bounded_broadcast(terms), "first")
-    # Of candidates that end alike the one that starts first counts.
-    likely = likely.groupBy("doc_id", "b").agg(F.min(F.struct("a", "found")).alias("x")).select("doc_id", F.lit("name").alias("kind"), "x.a", "b", "x.found")
-    return sure.unionByName(likely)
+    model = learned_model(docs, text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if not s:
+                    continue
+                t = Text(s)
+                fixed = find_fixed(s, model.number, t)
+                taken = [(a, b) for a, b, _ in fixed]
+                spans = fixed + [(a, b, "name") for a, b in find_names(t, taken, model)]
+                rows.extend((doc, kind, a, b, s[a:b]) for a, b, kind in spans)
+            yield _batch(rows, _FOUND_ARROW)
+
+    return docs.select(F.col(key).cast("bigint").alias("doc_id"), text).mapInArrow(run, _FOUND_DDL)
 
 
 def personal_values(spans: DataFrame) -> DataFrame:
