@@ -1,7 +1,7 @@
-"""Lines of a page section: what the wording alone says about content and site furniture.
+"""Lines of a page section that speak for themselves: what is sure to be content or site furniture by wording or form.
 
-``line_cost`` is a linear classifier over cues of wording and form; positive speaks for main content, negative for what
-a site puts around it. The cue lists are fixed values, stated as text; the weights are parameters beside them.
+``seed`` labels such lines; all others, and the costs of all, are left to the fitted model (``line_model``) and the cut. The cue
+lists are fixed values, stated as text.
 """
 
 from __future__ import annotations
@@ -18,14 +18,11 @@ NAV_LABELS = frozenset(x.casefold() for x in (
     "Inicio|Productos|Aplicaciones|Empresa|Noticias|Descargas|Contacto|Empleo|Calidad|Delegaciones|Referencias|Sostenibilidad|Prensa|Tienda|Acceso|Buscar|Menú|Servicio|Medios|"
     "首页|产品中心|应用领域|关于我们|新闻动态|资料下载|联系我们|人才招聘|质量体系|在线留言|导航|搜索|公司简介|新闻中心|菜单|登录").split("|"))
 
-#: Headings of side boxes and single items of frames.
-BOX_HEADS = frozenset(x.casefold() for x in (
-    "Related reading|In the press|Case stories|Events|Recent posts|Others viewed|From the blog|Most read|Share this page|Latest news|All news|You may also like|Show all products|Categories|Leave a reply|Archive|"
-    "Name * E-mail * Website|Subscribe to our newsletter|Your e-mail|Sign up|Need help? Our team answers within one working day.|Request a quote|Back to top|Skip to content|Mail · Print · Copy link|« Previous article|Next article »|🔍|Related products|Quick links|"
-    "Nach oben|Das könnte Sie auch interessieren|Weitere Beiträge|Zuletzt angesehen|Termine|Aktuelle Meldungen|Alle Meldungen|Seite teilen|Drucken · Mailen|Newsletter abonnieren|Ihre E-Mail-Adresse|Anmelden|Zum Inhalt springen|Ähnliche Produkte|"
-    "Volver arriba|También le puede interesar|Artículos relacionados|Compartir|Imprimir · Enviar|Últimas noticias|Todas las noticias|Suscríbase al boletín|Su correo electrónico|Saltar al contenido|"
-    "返回顶部|相关产品|更多文章|推荐阅读|热门新闻|最新动态|更多>>|更多|分享到：微信 微博|友情链接|订阅|上一篇|下一篇|"
-    "Made to be hot|One furnace, one team|Linings that last|Strength in heat|Grain by grain|以质取胜|Fuertes ante el calor|Grano a grano|Where fire meets stone|Calor con oficio|精工耐火|高温之选|Steine mit Verstand|Stark im Feuer|Korn für Korn").split("|"))
+#: What stands alone in frames of pages everywhere.
+FRAME_LINES = frozenset(x.casefold() for x in (
+    "Related articles|Related posts|Recent posts|Most read|Share this page|Latest news|All news|You may also like|Categories|Leave a reply|Archive|Subscribe to our newsletter|Sign up|Back to top|Skip to content|Related products|Quick links|"
+    "Nach oben|Das könnte Sie auch interessieren|Weitere Beiträge|Seite teilen|Newsletter abonnieren|Anmelden|Zum Inhalt springen|Ähnliche Produkte|Volver arriba|También le puede interesar|Artículos relacionados|Compartir|Últimas noticias|Saltar al contenido|"
+    "返回顶部|相关产品|推荐阅读|友情链接|上一篇|下一篇").split("|"))
 
 #: Buttons, headings and wording of consent notices (lower case).
 _CONSENT_START = re.compile(
@@ -60,18 +57,13 @@ _BREADCRUMB = re.compile(r"^(?:home|startseite|inicio|首页)\s*[>/»›]\s*\S")
 _BANNER = re.compile(r"^(?:some functions of this page need javascript|einige funktionen dieser seite benötigen javascript|algunas funciones requieren javascript|部分功能需要启用javascript|本站部分功能)")
 _LANGS = re.compile(r"^(?:(?:EN|DE|ES|FR|IT|中文|English|Deutsch|Español)(?:\s+|\s*[|/·]\s*|$)){2,}$")
 _TEASER = re.compile(r"…|\[\.\.\.\]|\.\.\.$|(?:» more|read on >|details|read more|mehr »|weiterlesen|leer más|阅读全文|详情)\s*$")
-_BOX_ITEM = re.compile(r"\((?:pdf|doc|zip|xls)\b[^)]*\)|^[^.]{2,30} \(\d+\)$|^\d+ (?:comments?|kommentare?|comentarios?)$|^\d+条评论|^(?:tags|schlagwörter|etiquetas|热门标签|标签)\s*[:：]|^(?:archive?|archiv|archivo) \d{4}$|^\d{4}年存档$|^(?:more from|mehr von|más de|更多来自) ?\S|^\d\. \S[^.]*$|foundry fair|neues silo in betrieb|new silo commissioned|gießereimesse|feria de fundición|展会 \d{4}|nuevo silo|新料仓")
-_SLOGAN = re.compile(r"(?:^|[:–-] )(?:made to be hot|one furnace, one team|linings that last|strength in heat|grain by grain|your partner above \d+ degrees|fuertes ante el calor|grano a grano|korn für korn|where fire meets stone|calor con oficio|heiss seit \d+|steine mit verstand|stark im feuer|以质取胜|精工耐火|高温之选)$")
-_HEADING = re.compile(
-    r"^#{1,6}\s*\S|^\*\*[^*]+\*\*$|^(?:from raw material to lining|technical data|application notes|production in .+|our [a-z ]+|vom rohstoff zur zustellung|technische daten|anwendungshinweise|fertigung in .+|unsere? .+|"
-    r"de la materia prima al revestimiento|datos técnicos|notas de aplicación|producción en .+|nuestr[ao]s? .+|技术参数|应用说明|.+生产基地|从原料到砌筑|我们的.+|.+在.+中的应用)$"
-)
-_FOR = re.compile(r"^[A-ZÄÖÜ][\w\s-]{3,50} (?:for|für|para) [\w\s-]{3,50}$")
+#: Files to load, counters of comments, lists of tags.
+_BOX_ITEM = re.compile(r"\((?:pdf|doc|zip|xls)\b[^)]*\)|^\d+ (?:comments?|kommentare?|comentarios?)$|^\d+条评论|^(?:tags|schlagwörter|etiquetas|标签)\s*[:：]")
 _SPEC = re.compile(r"^[A-Za-z][A-Za-z0-9]{0,9}\s*[:：]\s*[\d.,]+\s*(?:%|ppm|g|mm|°C)?$")
-_LIST_VALUE = re.compile(r"\d+-\d+ mm$|^[*•-]?\s*[^()]{3,60} ?\([^()\d]{2,40}\)$")
+#: Units behind a figure at the end of a line.
+_MEASURE = re.compile(r"\d\s?(?:mm|cm|m|µm|kg|g|t|l|%|°C|K|MPa|bar)$")
 _BULLET = re.compile(r"^(?:[*•·\-–]|\d+[.)])\s+")
 _LINK = re.compile(r"\[([^\]]*)\]\([^)]*\)")
-_HAN_CHAR = re.compile(r"[一-鿿]")
 _ENDS = (".", "。", "!", "?", "！", "？", ":", "：", ";")
 
 
@@ -83,46 +75,23 @@ def nav_only(s: str) -> int:
     return len(parts) if parts and all(p in NAV_LABELS for p in parts) else 0
 
 
-@lru_cache(maxsize=200_000)
-def line_cost(line: str) -> float:
-    """Evidence for content (positive) or furniture (negative) from the line alone; 0 for blank lines."""
+@lru_cache(maxsize=100_000)
+def seed(line: str) -> int:
+    """1 for lines that are sure to be content, -1 for furniture, 0 for all others; messages in place of a body are none of both."""
     s = line.strip()
-    if not s:
-        return 0.0
-    n = len(s)
-    if n >= 260:
-        return 4.0
     low = s.casefold()
-    if s[0] == "|" and s[-1] == "|" and s.count("|") >= 3:
-        return 4.0
-    if n < 220 and ("…" in s or n < 130) and _TEASER.search(low):
-        return 0.5 if n < 80 and is_message(s) else -4.0
-    if n < 130:
-        if low in BOX_HEADS or _LANGS.match(s) or _BREADCRUMB.match(low) or _BANNER.match(low) or _SLOGAN.search(low):
-            return -6.0
-    if n < 250:
-        k = nav_only(s) if n < 130 or s[0] == "[" or "  " in s or "•" in s or "|" in s or "·" in s else 0
-        if k:
-            return -5.0 if k > 1 or s != _BULLET.sub("", s) or "](" in s else -3.5
+    if not s or is_message(s):
+        return 0
+    if s[0] == "|" and s[-1] == "|" and s.count("|") >= 3 or _SPEC.match(s) or _MEASURE.search(s) or s[0] == "#" and s.lstrip("#")[:1] == " " or s[:2] == "**" == s[-2:]:
+        return 1
+    sure_text = s.endswith(_ENDS) and (len(s) > 60 or len(s) > 25 and not s.isascii())
+    if _BREADCRUMB.match(low) or _BANNER.match(low) or _LANGS.match(s) or low in FRAME_LINES or _TEASER.search(low) or _BOX_ITEM.search(low) and not sure_text:
+        return -1
+    if k := nav_only(s):
+        return -1 if k > 1 or s != _BULLET.sub("", s) or "](" in s else 0
     if _consent(low) or _footer(low):
-        return 0.5 if is_message(s) else -5.0  # a demand for scripts and cookies is no consent notice
-    if n < 200:
-        parts = [p for p in _FOOTER_PARTS.split(low) if p]
-        if len(parts) > 1 and sum(1 for p in parts if p in NAV_LABELS or _footer(p) or _consent(p)) * 2 >= len(parts):
-            return -5.0
-    if n < 90:
-        if _HEADING.match(low):
-            return 4.0 if s[0] in "#*" else 2.5
-        if _FOR.match(s):
-            return 2.5
-        if _SPEC.match(s):
-            return 4.0
-    if n < 130:
-        if _LIST_VALUE.search(s) and not (s[-1] == ")" and s[-2].isdigit()):
-            return 3.5
-        if _BOX_ITEM.search(low):
-            return -4.0
-    size = n + 2 * len(_HAN_CHAR.findall(s)) if n < 150 and not s.isascii() else n
-    if s.endswith(_ENDS) or size > 150:
-        return 4.0 if size > 60 else 2.0 if size > 30 else 0.6
-    return 0.8 if size > 90 else -0.7
+        return -1
+    parts = [p for p in _FOOTER_PARTS.split(low) if p]
+    if len(parts) > 1 and sum(1 for p in parts if p in NAV_LABELS or _footer(p) or _consent(p)) * 2 >= len(parts):
+        return -1
+    return 1 if sure_text else 0

@@ -37,8 +37,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = pb.residue_sections(_parts(spark, sf_dir)).select(F.lit("evidence_bundles").alias("table_name"), F.col("bundle_id").cast("bigint").alias("row_id"), "section")
-    titles = pb.residue_titles(load_table(spark, sf_dir, "sources"), "source_row", "title").select(F.lit("sources").alias("table_name"), "row_id", F.lit("").alias("section"))
+    parts = _parts(spark, sf_dir)
+    messages = cut_lineage(pb.message_templates(pb.section_units(parts)))
+    pages = pb.residue_sections(parts, messages).select(F.lit("evidence_bundles").alias("table_name"), F.col("bundle_id").cast("bigint").alias("row_id"), "section")
+    titles = pb.residue_titles(load_table(spark, sf_dir, "sources"), "source_row", "title", messages).select(F.lit("sources").alias("table_name"), "row_id", F.lit("").alias("section"))
     return pages.unionByName(titles)
 
 
