@@ -9,33 +9,36 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 from math import exp
 
 import numpy as np
 
 from assaykit.llm.page_lines import seed
+from assaykit.llm.textforms import words_of
 
 #: Rounds of fitting (the first on seeds, the others on labels of the cut), steps a round, and the pull of weights to 0.
 ROUNDS, STEPS, RIDGE = 2, 60, 2e-5
-#: A feature must stand on so many lines of the sample; log-odds are bounded by CLIP; seeds add PRIOR.
-LEAST_LINES, CLIP, PRIOR = 3, 4.0, 1.0
+#: A feature must stand on so many lines of the sample; log-odds are bounded by CLIP.
+LEAST_LINES, CLIP = 3, 4.0
+
+#: Size from which a line's beginning, end and marks say no more than its words.
+LONG = 128
 
-_WORDS = re.compile(r"[^\W\d_一-鿿]+|[一-鿿]")
-_DIGITS = re.compile(r"\d+(?:[.,:/-]\d+)*")
 _SEPARATORS = re.compile(r"\s[|·•-]\s|\s{2,}|\s\|")
-_HAN = re.compile(r"[一-鿿]")
+_NUMBERS = re.compile(r"\d+(?:[.,:/-]\d+)*")
+_MARKS = re.compile(r"[©…»(%|·]|\]\(|  |\d")
 _BULLET = re.compile(r"^(?:[*•·–-]|\d+[.)])\s+")
 _SENTENCE_END = (".", "。", "!", "?", "！", "？", ":", "：", ";", ")")
 
 
 def size(s: str) -> int:
-    """Length of a line as Latin letters would take it."""
-    return len(s) if s.isascii() else len(s) + 2 * len(_HAN.findall(s))
+    """Length of a line in bytes, so that a Han character counts as three letters."""
+    return len(s) if s.isascii() else len(s.encode())
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=30_000)
 def shape(line: str) -> str:
     """Form of a line: table row, heading, link, bullet, value, running text, parts, figures, bare words."""
     s = line.strip()
@@ -59,27 +62,35 @@ def shape(line: str) -> str:
     return "figures" if any(c.isdigit() for c in s) else "words"
 
 
-@lru_cache(maxsize=100_000)
-def line_features(line: str) -> tuple[str, ...]:
-    """Features of a line by itself: form, size, ending, its words, its beginning, and short lines as a whole."""
+def form_features(line: str, words: tuple[str, ...]) -> list[str]:
+    """Features of a line's form: shape, size, ending; of lines below ``LONG`` also marks, beginning and end; short lines as a whole."""
     s = line.strip()
-    low = _DIGITS.sub("0", s.lower())
-    words = _WORDS.findall(low)
     n = size(s)
-    out = {f"s:{shape(line)}", f"n:{n.bit_length()}", f"e:{s[-1] if not s[-1].isalnum() else 'a'}", f"k:{min(len(words), 12)}"}
-    out.update(f"m:{m}" for m in ("©", "…", "»", "»", "(", "%", "0", "|", "·", "](", "  ") if m in low)
-    out.update(f"w:{w}" for w in words)
-    out.update((f"a:{' '.join(words[:2])}", f"z:{' '.join(words[-2:])}"))
+    if n >= LONG:
+        return [f"s:{shape(line)}", f"n:{n.bit_length()}", f"e:{s[-1] if not s[-1].isalnum() else 'a'}"]
+    out = [f"s:{shape(line)}", f"n:{n.bit_length()}", f"e:{s[-1] if not s[-1].isalnum() else 'a'}", f"k:{min(len(words), 12)}", f"a:{' '.join(words[:2])}", f"z:{' '.join(words[-2:])}"]
+    out.extend({"0" if m.isdigit() else m for m in _MARKS.findall(s)})
     if n < 60:
-        out.add(f"t:{_BULLET.sub('', low).strip('#* ')}")
-    if s.isupper():
-        out.add("upper")
-    return tuple(sorted(out))
+        out.append(f"t:{_NUMBERS.sub('0', _BULLET.sub('', s.lower()).strip('#* '))}")
+        if s.isupper():
+            out.append("s:upper")
+    return out
+
+
+def line_features(line: str) -> tuple[str, ...]:
+    """All features of a line by itself: its form and its words, which are features by themselves."""
+    words = words_of(line)
+    return (*form_features(line, words), *sorted(set(words)))
+
 
+#: A line's place: lines above it up to six, below it up to six, lines of its block up to four, whether it has the site's own name.
+Place = tuple[int, int, int, bool]
 
-def place_features(i: int, n: int, block: int, brand: bool) -> tuple[str, ...]:
-    """Features of a line's place: from the top, from the bottom, lines of its block, the site's own name."""
-    return (f"u:{min(i, 6)}", f"d:{min(n - 1 - i, 6)}", f"b:{min(block, 4)}", f"brand:{brand}")
+
+@lru_cache(maxsize=1_000)
+def place_features(place: Place) -> tuple[str, ...]:
+    above, below, block, brand = place
+    return (f"u:{above}", f"d:{below}", f"b:{block}", f"brand:{brand}")
 
 
 class LineModel:
@@ -87,17 +98,26 @@ class LineModel:
 
     def __init__(self, weights: dict[str, float] | None = None) -> None:
         self.weights = weights or {}
-        get = self.weights.get
-
-        @lru_cache(maxsize=100_000)
+        get, known = self.weights.get, self.weights.keys()
+        @lru_cache(maxsize=50_000)
         def own(line: str) -> float:
-            return sum(get(f, 0.0) for f in line_features(line)) + PRIOR * seed(line) + get("", 0.0)
+            words = words_of(line)
+            x = get("", 0.0)
+            for f in known & set(words):
+                x += self.weights[f]
+            for f in form_features(line, words):
+                x += get(f, 0.0)
+            return x
 
-        self._own = own
+        @lru_cache(maxsize=1_000)
+        def at(place: Place) -> float:
+            return sum(get(f, 0.0) for f in place_features(place))
 
-    def cost(self, line: str, place: tuple[str, ...]) -> float:
-        get = self.weights.get
-        return max(-CLIP, min(CLIP, self._own(line) + sum(get(f, 0.0) for f in place)))
+        self._own, self._at = own, at
+
+    def cost(self, line: str, place: Place) -> float:
+        x = self._own(line) + self._at(place)
+        return -CLIP if x < -CLIP else CLIP if x > CLIP else x
 
 
 def logistic(rows: list[tuple[str, ...]], labels: np.ndarray, least: int = LEAST_LINES) -> dict[str, float]:
@@ -122,16 +142,16 @@ def logistic(rows: list[tuple[str, ...]], labels: np.ndarray, least: int = LEAST
     return {"": float(w[0]), **{f: float(w[k]) for f, k in index.items() if abs(w[k]) > 0.01}}
 
 
-def fit(sections: list[list[tuple[str, tuple[str, ...]]]], cut: Callable[[LineModel, list[tuple[str, tuple[str, ...]]]], Iterator[float]]) -> LineModel:
-    """The model of sections given as ``(line, place features)``; ``cut(model, section)`` labels a section, 1 content, 0 furniture, between 0 and 1 neither."""
-    model = LineModel()
+def fit(sections: list[list[tuple[str, Place]]], cut: Callable[[LineModel, list[tuple[str, Place]]], list[float]]) -> LineModel:
+    """The model of sections given as ``(line, place)``; ``cut(model, section)`` labels a section, 1 content, 0 furniture, between 0 and 1 neither."""
+    model, features = LineModel(), [[(*line_features(line), *place_features(place)) for line, place in section] for section in sections]
     for turn in range(ROUNDS):
         rows, labels = [], []
-        for section in sections:
-            marks = [(seed(line) + 1) / 2 for line, _ in section] if not turn else list(cut(model, section))
-            for (line, place), y in zip(section, marks):
+        for section, known in zip(sections, features):
+            marks = [(seed(line) + 1) / 2 for line, _ in section] if not turn else cut(model, section)
+            for row, y in zip(known, marks):
                 if y in (0.0, 1.0):
-                    rows.append((*line_features(line), *place))
+                    rows.append(row)
                     labels.append(y)
         model = LineModel(logistic(rows, np.asarray(labels)))
     return model
@@ -144,16 +164,16 @@ class MessageModel:
         self.weights = weights or {}
         get = self.weights.get
 
-        @lru_cache(maxsize=100_000)
+        @lru_cache(maxsize=30_000)
         def score(line: str) -> float:
             p = 1 / (1 + exp(-max(-30.0, min(30.0, sum(get(f, 0.0) for f in message_features(line)) + get("", -30.0)))))
-            return p if len(_WORDS.findall(line)) > 2 else p / 2  # one or two words say little
+            return p if len(words_of(line)) > 2 else p / 2  # one or two words say little
 
         self.score = score
 
 
 def message_features(line: str) -> tuple[str, ...]:
-    words = _WORDS.findall(_DIGITS.sub("0", line.strip().lower()))
+    words = words_of(line)
     return tuple(sorted({*words, *(f"{a} {b}" for a, b in zip(words, words[1:])), f"#{min(len(words), 16) // 4}"}))
 
 

@@ -67,6 +67,12 @@ def min_cut(costs: list[float], edges: list[tuple[int, int, float]]) -> list[boo
     fixed and folded into their neighbours, again and again. What is left falls into small components for the max-flow.
     """
     n = len(costs)
+    pull = [0.0] * n
+    for a, b, w in edges:
+        pull[a] += w
+        pull[b] += w
+    if all(abs(c) >= w for c, w in zip(costs, pull)):
+        return [c >= 0 for c in costs]
     own = list(costs)
     near: list[dict[int, float]] = [{} for _ in range(n)]
     for a, b, w in edges:

@@ -21,9 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.llm.mincut import min_cut
-from assaykit.llm.line_model import LineModel, MessageModel, fit, fit_messages, place_features, shape, size
+from assaykit.llm.line_model import LineModel, MessageModel, Place, fit, fit_messages, shape, size
 from assaykit.llm.page_lines import seed
-from assaykit.llm.residue import has_open_slot, is_bad_title, is_message, title_parts
+from assaykit.llm.residue import LONGEST, has_open_slot, is_bad_part, is_message, lorem_like, title_parts
+from assaykit.llm.textforms import words_of
 from assaykit.plans.runtime import bounded_broadcast, cut_lineage, heavy_safe_join
 
 #: Weights of the smoothness edges: neighbours of one form, bare words and what follows them, other neighbours, next but one; share of it across a blank line.
@@ -32,15 +33,13 @@ SAME, LEADS, OTHER, BLOCK, ACROSS = 1.5, 1.5, 0.8, 0.4, 0.3
 FIT_PACKS = 1000
 #: Prefix tree: words that lead to a leaf after the number of words, most words of a line that merges with others, share of words in which it must agree.
 DEPTH, MOST_WORDS, AGREE = 2, 40, 0.5
-#: A section is lone if its content, messages aside, has at most this size; a template is a message if so large a share of it stands in lone sections, and its lines sound so much like one on average.
+#: A section is lone if its content, messages aside, has at most this size; a template is a message if so large a share of it stands in lone sections, and they sound so much like one there on average.
 LONE, LONE_SHARE, SOUNDS = 160, 0.5, 0.2
 #: Cost below which a line is furniture for sure.
 SURE = -3.0
 
 _HEAD = re.compile(r"^## (S\d+)\s*$")
 _COMPANY = re.compile(r"^Company:\s*(.*\S)\s*$")
-_DIGITS = re.compile(r"\d+(?:[.,:/-]\d+)*")
-_TOKENS = re.compile(r"[一-鿿]+|[^\W_]+|<\*>|[{}\[\]<>$%#_]+")
 
 SECTION_DDL = "bundle_id bigint, section string, furniture array<int>, lone boolean, leaf array<string>, line array<string>, score array<double>, mark array<int>"
 _ARROW = pa.schema([("bundle_id", pa.int64()), ("section", pa.string()), ("furniture", pa.list_(pa.int32())), ("lone", pa.bool_()), ("leaf", pa.list_(pa.string())), ("line", pa.list_(pa.string())), ("score", pa.list_(pa.float64())), ("mark", pa.list_(pa.int32()))])
@@ -49,24 +48,24 @@ CONTENT, SLOTTED, WORDED = 1, 2, 4
 _SCRIPTS = re.compile(r"(?i)\bscript(?:s|ing)?\b|javascript|\bjs\b")
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def leaf_of(line: str) -> tuple[str, str]:
-    """Leaf of the prefix tree, and the line as words parted by blanks: lower case, numbers as wildcards.
+    """Leaf of the prefix tree, and the line as words parted by blanks: lower case, without numbers.
 
     Lines of more than ``MOST_WORDS`` words have a leaf each, by a hash of all their words.
     """
-    tokens = _TOKENS.findall(_DIGITS.sub("<*>", line.strip().lower()))
-    words = " ".join(tokens)
-    if len(tokens) > MOST_WORDS:
-        return "long", blake2b(words.encode(), digest_size=12).hexdigest()
-    return f"{len(tokens)}|{' '.join(tokens[:DEPTH])}", words
+    words = words_of(line)
+    text = " ".join(words)
+    if len(words) > MOST_WORDS:
+        return "long", blake2b(text.encode(), digest_size=12).hexdigest()
+    return f"{len(words)}|{' '.join(words[:DEPTH])}", text
 
 
 def sections(text: str) -> Iterator[tuple[str, str, list[tuple[int, str]]]]:
     """``(section, brand, lines with numbers)`` of a pack; URL and Title lines right after the head are left out."""
     brand, section, lines, head = "", None, [], 0
     for no, line in enumerate(text.split("\n"), 1):
-        m = _HEAD.match(line)
+        m = _HEAD.match(line) if line.startswith("## S") else None
         if m:
             if section:
                 yield section, brand, lines
@@ -85,8 +84,8 @@ def _brand_words(company: str) -> tuple[str, ...]:
     return tuple(w for w in re.findall(r"[^\W\d_]{4,}", company)[:3])
 
 
-def placed(lines: list[tuple[int, str]], company: str) -> tuple[list[tuple[int, str, bool]], list[tuple[str, ...]]]:
-    """``(number, line, blank line above)`` of the non-blank lines of a section, and the features of their places."""
+def placed(lines: list[tuple[int, str]], company: str) -> tuple[list[tuple[int, str, bool]], list[Place]]:
+    """``(number, line, blank line above)`` of the non-blank lines of a section, and their places."""
     nodes, gap = [], True
     for no, line in lines:
         if line.strip():
@@ -100,7 +99,7 @@ def placed(lines: list[tuple[int, str]], company: str) -> tuple[list[tuple[int,
         if i == n or nodes[i][2]:
             blocks[start:i] = [i - start] * (i - start)
             start = i
-    return nodes, [place_features(i, n, blocks[i], bool(brand) and len(nodes[i][1]) < 90 and any(b in nodes[i][1] for b in brand)) for i in range(n)]
+    return nodes, [(min(i, 6), min(n - 1 - i, 6), min(blocks[i], 4), len(x[1]) < 90 and any(map(x[1].__contains__, brand))) for i, x in enumerate(nodes)]
 
 
 def smoothness(nodes: list[tuple[int, str, bool]]) -> list[tuple[int, int, float]]:
@@ -132,7 +131,7 @@ def fitted(texts: Iterable[str]) -> tuple[LineModel, MessageModel]:
             edges.append(smoothness(nodes))
     at = {id(x): e for x, e in zip(found, edges)}
 
-    def cut(model: LineModel, section: list[tuple[str, tuple[str, ...]]]) -> list[float]:
+    def cut(model: LineModel, section: list[tuple[str, Place]]) -> list[float]:
         costs = [model.cost(line, place) for line, place in section]
         return [0.5 if is_message(line) else float(x) for (line, _), x in zip(section, min_cut(costs, at[id(section)]))]
 
@@ -160,21 +159,29 @@ def line_models(packs: DataFrame, most: int = FIT_PACKS) -> tuple[LineModel, Mes
     return LineModel({r["feature"]: r["weight"] for r in got if r["model"] == 0}), MessageModel({r["feature"]: r["weight"] for r in got if r["model"] == 1})
 
 
+def body_units(rows: list[tuple[int, str, float, bool]], messages: MessageModel) -> tuple[bool, list[tuple[str, str, float, int]]]:
+    """Whether the section is lone, and its units: leaf, line, how much it sounds like a message (asked in lone sections only), mark.
+
+    A section with a line of content longer than any known wording, and no filler, has a body whatever stands beside it; its
+    other lines are not asked for wording and slots, they count for their templates only.
+    """
+    if any(content and len(line) > LONGEST and not lorem_like(line) for _, line, _, content in rows):
+        return False, [(*leaf_of(line), 0.0, CONTENT * content) for _, line, cost, content in rows if content or cost > SURE]
+    units, left = [], 0
+    for _, line, cost, content in rows:
+        worded, slotted = is_message(line), has_open_slot(line)
+        if content and not worded and not slotted:
+            left += size(line.strip())
+        if content or cost > SURE or worded or slotted or _SCRIPTS.search(line) and seed(line) == 0:
+            units.append((line, worded, CONTENT * (content and not worded) + SLOTTED * slotted + WORDED * worded))
+    lone = left <= LONE
+    return lone, [(*leaf_of(line), (1.0 if worded else messages.score(line)) if lone else 0.0, mark) for line, worded, mark in units]
+
+
 def parsed(packs: DataFrame, most: int = FIT_PACKS) -> DataFrame:
     """One row a section of ``packs(bundle_id, text)``; null and empty texts and texts without sections give none."""
     lines_, messages_ = (m.weights for m in line_models(packs, most))
 
-    def body(rows: list[tuple[int, str, float, bool]], messages: MessageModel) -> tuple[bool, list[tuple[str, str, float, int]]]:
-        """Whether the section is lone, and its units: leaf, line, how much it sounds like a message, mark."""
-        out, left = [], 0
-        for _, line, cost, content in rows:
-            worded, slotted = is_message(line), has_open_slot(line)
-            if content and not worded and not slotted:
-                left += size(line.strip())
-            if content or cost > SURE or worded or slotted or seed(line) == 0 and _SCRIPTS.search(line):
-                out.append((*leaf_of(line), messages.score(line), CONTENT * (content and not worded) + SLOTTED * slotted + WORDED * worded))
-        return left <= LONE, out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, messages = LineModel(lines_), MessageModel(messages_)
         for batch in batches:
@@ -184,7 +191,7 @@ def parsed(packs: DataFrame, most: int = FIT_PACKS) -> DataFrame:
                     continue
                 for section, company, lines in sections(text):
                     rows = labelled(lines, company, model)
-                    lone, units = body(rows, messages)
+                    lone, units = body_units(rows, messages)
                     for column, x in zip(out, (bundle, section, [no for no, _, _, content in rows if not content], lone, *([u[k] for u in units] for k in range(4)))):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, _ARROW)], schema=_ARROW)
@@ -203,8 +210,7 @@ def message_templates(units: DataFrame) -> DataFrame:
     ``units(leaf, line, score, mark, lone)``, one row an occurrence. The template of a leaf has at each place the word most frequent in
     lone sections; lines that agree with it are one template, any other line is one by itself. Ties go to the greater word.
     """
-    said = F.when(F.col("mark").bitwiseAND(WORDED) > 0, 1.0).otherwise(F.col("score"))
-    lines = units.filter(F.col("mark").bitwiseAND(SLOTTED) == 0).groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("lone").cast("int")).alias("lone"), F.sum(said).alias("said"))
+    lines = units.filter(F.col("mark").bitwiseAND(SLOTTED) == 0).groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("lone").cast("int")).alias("lone"), F.sum(F.when(F.col("lone"), F.col("score")).otherwise(0.0)).alias("said"))
     lines = cut_lineage(lines)
     # Leaves that never stood alone and hold no message by wording give none.
     words = lines.filter("lone > 0 and leaf <> 'long'").select("leaf", "lone", F.posexplode(F.split("line", " ")).alias("pos", "word"))
@@ -214,7 +220,7 @@ def message_templates(units: DataFrame) -> DataFrame:
     merged = heavy_safe_join(lines, cut_lineage(templates), ["leaf"], "rows", how="left").drop("rows")
     merged = merged.withColumn("template", F.when(_agree(F.col("line"), F.col("template")) >= AGREE, F.col("template"))).withColumn("key", F.when(F.col("template").isNull(), F.col("line")))
     total = merged.groupBy("leaf", "key").agg(F.sum("n").alias("seen"), F.sum("lone").alias("alone"), F.sum("said").alias("said"), F.count(F.lit(1)).alias("rows"))
-    bad = total.filter((F.col("said") >= SOUNDS * F.col("seen")) & (F.col("alone") >= LONE_SHARE * F.col("seen"))).withColumn("key", F.coalesce("key", F.lit("")))
+    bad = total.filter((F.col("alone") > 0) & (F.col("said") >= SOUNDS * F.col("alone")) & (F.col("alone") >= LONE_SHARE * F.col("seen"))).withColumn("key", F.coalesce("key", F.lit("")))
     marked = merged.withColumn("key", F.coalesce("key", F.lit("")))
     return heavy_safe_join(marked, cut_lineage(bad.select("leaf", "key", "rows")), ["leaf", "key"], "rows").select("leaf", "line", "template", "n", "lone")
 
@@ -251,7 +257,7 @@ def residue_titles(rows: DataFrame, key: str, title: str, messages: DataFrame |
     def parts(t: pd.Series) -> pd.Series:
         def one(x: str) -> list[dict]:
             every = dict.fromkeys([x.strip(), *title_parts(x)])
-            return [dict(zip(("leaf", "line"), leaf_of(p)), bad=is_bad_title(p)) for p in every]
+            return [dict(zip(("leaf", "line"), leaf_of(p)), bad=is_bad_part(p)) for p in every]
 
         return t.map(one)
 
@@ -261,9 +267,9 @@ def residue_titles(rows: DataFrame, key: str, title: str, messages: DataFrame |
     bad = found.filter("bad").select("title", "n")
     if messages is not None:
         templates = messages.groupBy("leaf", "template").agg(F.max(F.when(F.col("template").isNull(), F.col("line"))).alias("line")).filter("template is not null").select("leaf", "template")
-        single = messages.filter("template is null").select("leaf", "line")
-        fits = found.join(bounded_broadcast(templates), "leaf").filter(_agree(F.col("line"), F.col("template")) >= AGREE)
-        bad = bad.unionByName(fits.select("title", "n")).unionByName(found.join(bounded_broadcast(single), ["leaf", "line"], "left_semi").select("title", "n"))
+        single = messages.filter("template is null and leaf <> 'long'").select("leaf", "line")
+        fits = found.join(bounded_broadcast(templates, 20_000), "leaf").filter(_agree(F.col("line"), F.col("template")) >= AGREE)
+        bad = bad.unionByName(fits.select("title", "n")).unionByName(found.join(single, ["leaf", "line"], "left_semi").select("title", "n"))
     return heavy_safe_join(asked, cut_lineage(bad.distinct()), ["title"], "n").select("row_id")
 
 

@@ -63,6 +63,8 @@ _SPEC = re.compile(r"^[A-Za-z][A-Za-z0-9]{0,9}\s*[:：]\s*[\d.,]+\s*(?:%|ppm|g|m
 #: Units behind a figure at the end of a line.
 _MEASURE = re.compile(r"\d\s?(?:mm|cm|m|µm|kg|g|t|l|%|°C|K|MPa|bar)$")
 _BULLET = re.compile(r"^(?:[*•·\-–]|\d+[.)])\s+")
+#: What menus and footers of several parts cannot do without.
+_FRAME_MARKS = re.compile(r"[|•·»>/]|\]\(|\s{2}|\s-\s")
 _LINK = re.compile(r"\[([^\]]*)\]\([^)]*\)")
 _ENDS = (".", "。", "!", "?", "！", "？", ":", "：", ";")
 
@@ -75,7 +77,7 @@ def nav_only(s: str) -> int:
     return len(parts) if parts and all(p in NAV_LABELS for p in parts) else 0
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=30_000)
 def seed(line: str) -> int:
     """1 for lines that are sure to be content, -1 for furniture, 0 for all others; messages in place of a body are none of both."""
     s = line.strip()
@@ -85,11 +87,11 @@ def seed(line: str) -> int:
     if s[0] == "|" and s[-1] == "|" and s.count("|") >= 3 or _SPEC.match(s) or _MEASURE.search(s) or s[0] == "#" and s.lstrip("#")[:1] == " " or s[:2] == "**" == s[-2:]:
         return 1
     sure_text = s.endswith(_ENDS) and (len(s) > 60 or len(s) > 25 and not s.isascii())
+    if sure_text and not _FRAME_MARKS.search(s):
+        return -1 if _BANNER.match(low) or _TEASER.search(low) or _consent(low) or _footer(low) else 1
     if _BREADCRUMB.match(low) or _BANNER.match(low) or _LANGS.match(s) or low in FRAME_LINES or _TEASER.search(low) or _BOX_ITEM.search(low) and not sure_text:
         return -1
-    if k := nav_only(s):
-        return -1 if k > 1 or s != _BULLET.sub("", s) or "](" in s else 0
-    if _consent(low) or _footer(low):
+    if nav_only(s) or _consent(low) or _footer(low):
         return -1
     parts = [p for p in _FOOTER_PARTS.split(low) if p]
     if len(parts) > 1 and sum(1 for p in parts if p in NAV_LABELS or _footer(p) or _consent(p)) * 2 >= len(parts):

@@ -9,6 +9,8 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+from assaykit.llm.textforms import words_of
+
 _STATUS = r"(?:not found|bad request|forbidden|unauthorized|gone|internal server error|bad gateway|gateway time-?out|service (?:temporarily )?unavailable|too many requests|request time-?out|connection timed out|unknown error|(?:access )?denied|method not allowed)"
 
 #: Messages that stand where content should be.
@@ -53,12 +55,19 @@ _OPENERS = re.compile(r"[{<\[%#_]")
 _FRAME = re.compile(r"(?i)^(?:welcome to|contact .* for|since .*:|founded in .*we serve customers|our .* plant makes|.* is a leading supplier of .* in|willkommen bei|bienvenidos? a|欢迎)")
 
 
+#: Characters of the longest line that is asked for known wordings; longer ones are messages by their templates or as filler.
+LONGEST = 240
+
+
 def lorem_like(text: str) -> bool:
-    w = re.findall(r"[a-zA-Z]+", text.lower())
-    return len(w) >= 3 and sum(x in _LOREM for x in w) >= 0.6 * len(w)
+    words = words_of(text)
+    if _LOREM.isdisjoint(words):
+        return False
+    latin = [w for w in words if w[0] < "\u2e80"]
+    return len(latin) >= 3 and sum(w in _LOREM for w in latin) >= 0.6 * len(latin)
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=30_000)
 def is_message(text: str) -> bool:
     """True for the text of a message, notice or filler; long running text is only tested for filler words."""
     t = text.strip()
@@ -66,7 +75,7 @@ def is_message(text: str) -> bool:
         return False
     if lorem_like(t):
         return True
-    return len(t) <= 240 and bool(MESSAGE.match(t) or FILLER.match(t))
+    return len(t) <= LONGEST and bool(MESSAGE.match(t) or FILLER.match(t))
 
 
 def has_open_slot(text: str) -> bool:
@@ -87,12 +96,13 @@ def title_parts(title: str) -> list[str]:
     return [p.strip() for p in re.split(r"\s+[|–—-]\s+|\s*\|\s*", title) if p.strip()]
 
 
+@lru_cache(maxsize=50_000)
+def is_bad_part(part: str) -> bool:
+    """A part of a title, or a whole one, that is a message, filler, an unset default or holds an open slot for sure."""
+    return bool(part) and bool(DEFAULT_TITLE.match(part) or is_message(part) or SLOT.fullmatch(part) or _SURE_SLOT.search(part))
+
+
 def is_bad_title(title: str) -> bool:
     """A title that is a message, filler, an unset default or an unfilled slot, with or without a name beside it."""
     t = title.strip()
-    if not t:
-        return False
-    whole = [t, *title_parts(t)]
-    if any(DEFAULT_TITLE.match(x) or is_message(x) for x in whole):
-        return True
-    return any(SLOT.fullmatch(x) for x in whole) or bool(_SURE_SLOT.search(t))
+    return any(map(is_bad_part, [t, *title_parts(t)])) if t else False

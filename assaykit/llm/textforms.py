@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 _EXTRA = str.maketrans({"ß": "ss", "ø": "o", "đ": "d", "ł": "l", "æ": "ae", "œ": "oe", "ı": "i", "’": "'", "：": ":", "（": "(", "）": ")", "，": ",", "／": "/"})
 _WORD = re.compile(r"[^\W_]+")
@@ -58,3 +59,15 @@ def osa(a: str, b: str, most: int = 3) -> int:
             return most + 1
         before, last = last, row
     return last[-1]
+
+
+_LINE_WORDS = re.compile(r"[^\W\d_一-鿿]+|[一-鿿]")
+#: ASCII marks and digits become blanks, so that a plain split parts words.
+_BLANKED = {ord(c): " " for c in map(chr, range(128)) if not c.isalpha()}
+
+
+@lru_cache(maxsize=20_000)
+def words_of(line: str) -> tuple[str, ...]:
+    """Words of a line in lower case: Latin words and single Han characters; numbers are left out, as they vary."""
+    low = line.lower()
+    return tuple(low.translate(_BLANKED).split() if low.isascii() else _LINE_WORDS.findall(low))
