@@ -1,23 +1,26 @@
 """Problem 4: rows of one firm under different spellings of its name.
 
-Names part into brand, trade and legal form. Brands meet in a prefix-filtered similarity join on letter 4-grams; each
-candidate is verified by a soft weighted token similarity in which a token weighs the logarithm of its rarity, and by
-trade, country, site and profile page. Equal keys (brand with trade, brand with country, site, profile page) are linked
-as stars to the least row, never pairwise; connected components then give each row its firm.
+Names part into brand, trade and legal form. Brands meet in a prefix-filtered similarity join on letter q-grams (2 for short
+brands, 3 for long ones, both in between, so that a slip is never out of reach); each candidate is verified by a soft weighted
+token similarity over brand, trade and country, in which a token weighs the logarithm of its rarity and a misspelt one
+counts in part, and by the information that agrees: it must outweigh the number of rows a stranger could be among. Equal
+keys under the same demand are linked as stars to the least row, never pairwise; connected components then give each row its
+firm.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.setjoin import in_rarity_order, jaccard, may_reach, rarity, with_prefix
+from assaykit.llm.setjoin import in_rarity_order, jaccard, may_reach, met_pairs, rarity, with_prefix
 from assaykit.llm.textforms import fold, osa
-from assaykit.plans.runtime import connected_components, cut_lineage, heavy_safe_join
+from assaykit.plans.runtime import bounded_broadcast, connected_components, cut_lineage, heavy_safe_join
 
 #: Words of legal forms and others that name no firm.
 LEGAL = frozenset(
@@ -29,11 +32,12 @@ TRADES = tuple(
     "abrasives alloys aluminium castings cement ceramics chemicals engineering foundry furnaces glassworks industries insulation kilns limestone logistics materials metallurgy minerals nonferrous refractories steelworks technologies trading mining metals tools plastics foods textiles energy systems".split()
 )
 _OTHER_TRADES = {"trade": "trading", "nf": "nonferrous", "alu": "aluminium", "cmt": "cement", "industry": "industries", "foundries": "foundry", "refractory": "refractories", "technology": "technologies", "metallurgical": "metallurgy", "steel": "steelworks", "glass": "glassworks", "non": "nonferrous"}
-#: Shortest brand whose equality alone says something, in letters.
-LEAST_BRAND = 8
-#: Shortest brand whose equality counts together with trade and country.
-SHORT_BRAND = 5
-Q, T = 4, 0.26
+#: Least Jaccard of q-grams, least soft similarity, what a missing trade or country counts of its weight.
+T, SOFT, MISSING = 0.4, 0.72, 0.4
+#: Information in natural units: of a letter of a brand, taken away by a slip, and by which agreement must exceed the logarithm of the number of rows.
+LETTER, SLIP, MARGIN = 1.5, 4.0, 2.0
+#: Longest brand with 2-grams and shortest with 3-grams; lengths between have both, as slips change the length by two at most.
+TWO, THREE = 13, 10
 
 
 def _within(short: str, long: str) -> bool:
@@ -120,79 +124,93 @@ def firm_keys(rows: DataFrame, countries: DataFrame | None = None) -> DataFrame:
     return cut_lineage(named)
 
 
-def _star(keyed: DataFrame, keys: list[str], total: int | None = None) -> DataFrame:
-    """Edges from each row to the least row of the same keys; null keys link nothing."""
-    known = keyed.select("record_id", *keys).dropna(subset=keys)
-    least = known.groupBy(*keys).agg(F.min("record_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return heavy_safe_join(known, least, keys, "n", total=total).filter("record_id <> least").select(F.col("record_id").alias("a"), F.col("least").alias("b"))
+def _stars(keys: DataFrame, total: int) -> DataFrame:
+    """Edges from each row of ``keys(key, record_id)`` to the least row of the same key."""
+    least = keys.groupBy("key").agg(F.min("record_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return heavy_safe_join(keys, least, ["key"], "n", total=total).filter("record_id <> least").select(F.col("record_id").alias("a"), F.col("least").alias("b"))
 
 
-def similar_brands(keyed: DataFrame, q: int = Q, t: float = T) -> DataFrame:
-    """``x, y, slips``: distinct brands that are one or two slips apart, by the prefix-filtered join on letter q-grams.
+def weighted(keyed: DataFrame, total: int) -> DataFrame:
+    """``keyed`` with ``w_trade`` and ``w_country``: logarithms of the rarity of a row's trade and country, 0 where there is none."""
+    out = keyed
+    for c in ("trade", "country"):
+        df = keyed.filter(F.col(c).isNotNull()).groupBy(c).agg(F.log(F.lit(total) / F.count(F.lit(1))).alias(f"w_{c}"))
+        out = out.join(bounded_broadcast(df), c, "left").withColumn(f"w_{c}", F.coalesce(f"w_{c}", F.lit(0.0)))
+    return out
+
 
-    Rows of equal brands are one set; brands shorter than ``LEAST_BRAND`` are compared by their keys only. Brands meet
+def similar_brands(keyed: DataFrame, t: float = T, total: int | None = None) -> DataFrame:
+    """``x, y, slips``: distinct brands at most two slips apart, by the prefix-filtered join on letter q-grams.
+
+    Rows of equal brands are one set. A brand's grams come from its words, so that words in another order or run
+    together keep most of them, and so do the slips: one slip in six letters or two in fourteen leave a Jaccard of 0.4. Brands meet
     only if a trade or a country is common to rows of both, as no other pair is ever accepted; so a gram's pairs grow
     with the firms of a trade or country, not with all firms that share the gram.
     """
-    brands = keyed.filter(F.length("joined") >= LEAST_BRAND).select(F.col("joined").alias("w")).distinct()
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("w") - q + 1), lambda i: F.substring("w", i, F.lit(q))))
-    sets = brands.select("w", grams.alias("tokens"))
-    ordered = cut_lineage(in_rarity_order(sets, rarity(sets), "w"))
-    pre = cut_lineage(with_prefix(ordered, "w", t))
+    brands = keyed.filter("joined <> ''").groupBy(F.col("joined").alias("w")).agg(F.min("brand").alias("brand"))
+    words, n = F.split("brand", " "), F.length("w")
+    grams = lambda q, pad: F.flatten(F.transform(words, lambda v: F.when(F.length(F.concat(F.lit(pad), v, F.lit(pad))) >= q, F.transform(F.sequence(F.lit(1), F.length(v) + 2 * len(pad) - q + 1), lambda i: F.concat(F.lit(f"{q}"), F.substring(F.concat(F.lit(pad), v, F.lit(pad)), i, F.lit(q))))).otherwise(F.array(F.concat(F.lit(f"{q}"), v)))))
+    kinds = F.array_compact(F.array(F.when(n <= TWO, F.struct(F.lit(2).alias("q"), grams(2, "^").alias("tokens"))), F.when(n >= THREE, F.struct(F.lit(3).alias("q"), grams(3, "").alias("tokens")))))
+    sets = brands.select("w", F.explode(kinds).alias("k")).select(F.concat_ws("|", "k.q", "w").alias("id"), "w", F.array_distinct("k.tokens").alias("tokens"))
+    sets = cut_lineage(sets)
+    ordered = cut_lineage(in_rarity_order(sets, rarity(sets), "id").withColumn("w", F.substring("id", 3, 1_000_000_000)))
+    pre = with_prefix(ordered, "id", t).withColumn("w", F.substring("id", 3, 1_000_000_000))
     named = [F.concat(F.lit(f"{c}:"), F.col(c).cast("string")) for c in ("trade", "country")]
     blocks = keyed.select(F.col("joined").alias("w"), F.explode(F.array_compact(F.array(*named))).alias("block")).distinct()
-    placed = pre.join(blocks, "w").select(F.xxhash64("token", "block").alias("token"), "w", "n", "pos")
-    busy = placed.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token")
-    left = cut_lineage(placed.join(busy, "token", "left_semi"))
-    right = left.select(F.col("w").alias("y"), F.col("n").alias("m"), F.col("pos").alias("qos"), "token")
-    met = left.select(F.col("w").alias("x"), "n", "pos", "token").join(right, "token").filter("x < y").filter(may_reach(F.col("n"), F.col("pos"), F.col("m"), F.col("qos"), t))
-    near = met.filter((F.abs(F.length("x") - F.length("y")) <= 2) & (F.levenshtein("x", "y", 2) >= 0)).select("x", "y").distinct()
-    a = ordered.select(F.col("w").alias("x"), F.col("tokens").alias("s"))
-    b = ordered.select(F.col("w").alias("y"), F.col("tokens").alias("r"))
-    exact = near.join(a, "x").join(b, "y").filter(jaccard(F.col("s"), F.col("r")) >= t - 1e-9)
-    return exact.select("x", "y", F.levenshtein("x", "y", 2).alias("slips"))
-
-
-def firm_links(keyed: DataFrame, least_similarity: float = 0.85) -> DataFrame:
+    placed = cut_lineage(pre.join(blocks, "w").select(F.xxhash64("token", "block").alias("token"), "id", "w", "n", "pos"))
+    met = met_pairs(placed, ["token"], {"id": "i", "w": "x", "n": "n", "pos": "pos"}, {"id": "j", "w": "y", "n": "m", "pos": "qos"}, total)
+    met = met.filter("x < y").filter(may_reach(F.col("n"), F.col("pos"), F.col("m"), F.col("qos"), t) & (F.abs(F.length("x") - F.length("y")) <= 2))
+    near = met.select("i", "j", "x", "y").distinct()
+    a = ordered.select(F.col("id").alias("i"), F.col("tokens").alias("s"))
+    b = ordered.select(F.col("id").alias("j"), F.col("tokens").alias("r"))
+    exact = near.join(a, "i").join(b, "j").filter(jaccard(F.col("s"), F.col("r")) >= t - 1e-9).select("x", "y").distinct()
+    both = exact.join(brands.select(F.col("w").alias("x"), F.col("brand").alias("bx")), "x")
+    turned = F.array_join(F.reverse(F.split("bx", " ")), "")
+    slips = F.array_min(F.filter(F.array(F.levenshtein("x", "y", 2), F.levenshtein(turned, F.col("y"), 2)), lambda d: d >= 0))
+    return both.select("x", "y", slips.alias("slips")).filter("slips is not null")
+
+
+def firm_links(keyed: DataFrame) -> DataFrame:
     """``a, b``: links between rows of one firm.
 
-    Stars over equal keys; and for similar brands, links between one row of each (brand, trade, country) of both sides.
-    Firms that share a brand but differ in trade and country stay apart: such a pair shares no key and is refused below.
+    Stars over equal sites, profile pages, and brands with trade, country or both, as far as the information that agrees
+    suffices; and for similar brands, links between one row of each (brand, trade, country) of both sides. Firms that share a brand
+    but differ in trade and country stay apart: such a pair shares no key and is refused by its soft similarity.
     """
     total = max(keyed.count(), 2)
-    firm = keyed.filter(F.length("joined") >= LEAST_BRAND)
-    stars = [_star(firm, ["letters", "trade"], total), _star(firm, ["letters", "country"], total), _star(keyed, ["site"], total), _star(keyed, ["profile"], total)]
-    # Short brands say less: they need trade and country, too.
-    stars.append(_star(keyed.filter(F.length("joined").between(SHORT_BRAND, LEAST_BRAND - 1)), ["joined", "trade", "country"], total))
+    need = F.lit(math.log(total) + MARGIN)
+    rows = cut_lineage(weighted(keyed, total))
+    brand = LETTER * F.length("joined")
+    key = lambda name, *cs: F.concat_ws("|", F.lit(name), *[F.col(c).cast("string") for c in cs])
+    known = lambda *cs: reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cs])
+    keys = [
+        F.when(known("site"), key("s", "site")), F.when(known("profile"), key("p", "profile")),
+        F.when(known("trade") & (brand + F.col("w_trade") >= need), key("t", "letters", "trade")), F.when(known("country") & (brand + F.col("w_country") >= need), key("c", "letters", "country")),
+        F.when(known("trade", "country") & (brand + F.col("w_trade") + F.col("w_country") >= need), key("b", "joined", "trade", "country")),
+        # Within equal brands the least row of a (brand, trade, country) stands for its rows: tie them to it.
+        F.when((F.col("joined") != "") & (brand >= need), F.concat_ws("|", F.lit("k"), "joined", F.coalesce("trade", F.lit("-")), F.coalesce(F.col("country").cast("string"), F.lit("-")))),
+    ]
+    stars = _stars(rows.select(F.explode(F.array_compact(F.array(*keys))).alias("key"), "record_id"), total)
     # A brand that goes with one trade at most is one firm, also where trade and country are missing.
-    single = firm.groupBy("letters").agg(F.count_distinct("trade").alias("k"), F.count(F.lit(1)).alias("n")).filter("k <= 1 and n > 1").select("letters", "n")
-    stars.append(_star(heavy_safe_join(firm.select("record_id", "letters"), single, ["letters"], "n", total=total).drop("n"), ["letters"], total))
-    brand_df = keyed.groupBy("joined").agg(F.count(F.lit(1)).alias("brand_df"))
-    trade_df = keyed.groupBy("trade").agg(F.count(F.lit(1)).alias("trade_df"))
-    kinds = firm.groupBy("joined", "trade", "country").agg(F.min("record_id").alias("record_id"), F.min("site").alias("site"), F.min("profile").alias("profile"))
-    kinds = cut_lineage(kinds.join(brand_df, "joined").join(F.broadcast(trade_df), "trade", "left"))
-    weight = lambda df: F.log(F.lit(total) / F.col(df)) + 0.1
-    side = lambda s: kinds.select(F.col("joined").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("trade", "country", "record_id", "site", "profile", "brand_df", "trade_df")])
-    pairs = similar_brands(keyed).join(side("x"), "x").join(side("y"), "y")
+    single = rows.filter(brand >= need).groupBy("letters").agg(F.count_distinct("trade").alias("k"), F.count(F.lit(1)).alias("n")).filter("k <= 1 and n > 1").select("letters", "n")
+    stars = stars.unionByName(_stars(heavy_safe_join(rows.filter(brand >= need).select("record_id", "letters"), single, ["letters"], "n", total=total).select(F.col("letters").alias("key"), "record_id"), total))
+    brand_df = rows.groupBy("joined").agg(F.count(F.lit(1)).alias("brand_df"))
+    kinds = rows.filter("joined <> ''").groupBy("joined", "trade", "country").agg(F.min("record_id").alias("record_id"), F.min("site").alias("site"), F.min("profile").alias("profile"), F.max("w_trade").alias("w_trade"), F.max("w_country").alias("w_country"))
+    kinds = cut_lineage(kinds.join(brand_df, "joined"))
+    side = lambda s: kinds.select(F.col("joined").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("trade", "country", "record_id", "site", "profile", "brand_df", "w_trade", "w_country")])
+    pairs = similar_brands(rows, total=total).join(side("x"), "x").join(side("y"), "y")
     same = lambda c: F.col(f"{c}_x") == F.col(f"{c}_y")
-    brand_w = F.greatest(weight("brand_df_x"), weight("brand_df_y"))
-    trade_w = F.coalesce(F.greatest(weight("trade_df_x"), weight("trade_df_y")), F.lit(0.0))
-    trade_sim = F.when(same("trade"), 1.0).when(same("trade").isNull(), 0.5).otherwise(0.0)
-    brand_sim = 1 - F.col("slips") / F.greatest(F.length("x"), F.length("y"))
-    soft = (brand_w * brand_sim + trade_w * trade_sim) / (brand_w + trade_w)
-    pairs = pairs.withColumn("soft", soft)
-    known = lambda c: F.coalesce(same(c), F.lit(False))
-    clash = lambda c: F.coalesce(~same(c), F.lit(False))
-    helped = known("site") | known("profile")
-    fits = (F.col("soft") >= least_similarity) & known("trade") & (~clash("country") | (F.col("slips") == 1)) & ~(clash("site") & clash("profile"))
-    bare = known("country") & ~clash("trade") & (F.col("slips") == 1) & ~(clash("site") & clash("profile"))
-    fuzzy = pairs.filter(helped | fits | bare).select(F.col("record_id_x").alias("a"), F.col("record_id_y").alias("b"))
-    # Within equal brands the least row of a (brand, trade, country) stands for its rows: tie them to it.
-    own = _star(firm.select("record_id", "joined", F.coalesce("trade", F.lit("-")).alias("trade"), F.coalesce(F.col("country").cast("string"), F.lit("-")).alias("country")), ["joined", "trade", "country"], total)
-    out = own.unionByName(fuzzy)
-    for s in stars:
-        out = out.unionByName(s)
-    return out
+    brand_w = F.log(F.lit(total) / F.least("brand_df_x", "brand_df_y")) + 0.1
+    weight = lambda c: F.when(same(c), F.col(f"w_{c}_x")).otherwise(F.greatest(f"w_{c}_x", f"w_{c}_y"))
+    credit = lambda c: F.when(same(c), 1.0).when(same(c).isNull(), MISSING).otherwise(0.0)
+    letters = F.least(F.length("x"), F.length("y"))
+    soft = (brand_w * (1 - F.col("slips") / F.greatest(F.length("x"), F.length("y"))) + weight("trade") * credit("trade") + weight("country") * credit("country")) / (brand_w + weight("trade") + weight("country"))
+    agree = LETTER * letters - SLIP * F.col("slips") + F.when(same("trade"), weight("trade")).otherwise(0.0) + F.when(same("country"), weight("country")).otherwise(0.0)
+    yes = lambda c: F.coalesce(same(c), F.lit(False))
+    no = lambda c: F.coalesce(~same(c), F.lit(False))
+    alike = (soft >= SOFT) & (agree >= need) & (yes("trade") | yes("country")) & ~(no("site") & no("profile"))
+    fuzzy = pairs.filter(yes("site") | yes("profile") | alike).select(F.col("record_id_x").alias("a"), F.col("record_id_y").alias("b"))
+    return stars.unionByName(fuzzy)
 
 
 def short_forms(keyed: DataFrame, found: DataFrame, total: int | None = None) -> DataFrame:
@@ -244,6 +262,6 @@ def firms(keyed: DataFrame) -> DataFrame:
 
 def firm_pairs(found: DataFrame) -> DataFrame:
     """``record_id_a, record_id_b`` of all pairs of rows of a firm, smaller id first; the result asked for is these pairs."""
-    many = found.filter("links > 0")
-    other = many.select(F.col("record_id").alias("record_id_b"), "firm_id")
-    return many.select(F.col("record_id").alias("record_id_a"), "firm_id").join(other, "firm_id").filter("record_id_a < record_id_b").select("record_id_a", "record_id_b")
+    many = found.filter("links > 0").select("record_id", "firm_id")
+    pairs = met_pairs(many, ["firm_id"], {"record_id": "record_id_a"}, {"record_id": "record_id_b"})
+    return pairs.filter("record_id_a < record_id_b").select("record_id_a", "record_id_b")

@@ -9,6 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assaykit.plans.runtime import heavy_safe_join
+
+#: Rows of a key that one task may meet with one another.
+TOGETHER = 1_000
+
 
 def rarity(sets: DataFrame, tokens: str = "tokens") -> DataFrame:
     """``token, df`` over all sets, combined map-side; rare tokens first in the global order (df, token)."""
@@ -45,3 +50,17 @@ def may_reach(na: Column, pa: Column, nb: Column, pb: Column, t: float) -> Colum
 def jaccard(a: Column, b: Column) -> Column:
     shared = F.size(F.array_intersect(a, b))
     return shared / (F.size(a) + F.size(b) - shared)
+
+
+def met_pairs(rows: DataFrame, keys: list[str], left: dict[str, str], right: dict[str, str], total: int | None = None, together: int = TOGETHER) -> DataFrame:
+    """All pairs of ``rows`` with equal ``keys``, columns renamed by ``left`` and ``right``; the caller filters pairs.
+
+    The self-join of a key with n rows is parted into about n / ``together`` parts: its left rows go to all parts, its right
+    rows to one each, so a hot key is met by many tasks and no pair is lost. Keys of one row meet nothing and leave first.
+    """
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    parts = F.ceil(F.col("_n") / F.lit(together)).cast("int")
+    sized = heavy_safe_join(rows, counts, keys, "_n", total=total)
+    one = sized.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).select(*keys, "_part", *[F.col(c).alias(n) for c, n in left.items()])
+    other = sized.withColumn("_part", F.pmod(F.xxhash64(*right), parts)).select(*keys, "_part", *[F.col(c).alias(n) for c, n in right.items()])
+    return one.join(other, [*keys, "_part"]).drop("_part")
