@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
+from math import prod
 from pathlib import Path
 
 import pandas as pd
@@ -22,8 +24,8 @@ from assaykit.plans.runtime import bounded_broadcast, cut_lineage, heavy_safe_jo
 
 DATA = Path(__file__).parent / "data"
 
-#: Shortened words of trade and their full forms.
-SHORT_WORDS = {"snd": "sand", "pwdr": "powder", "cstbl": "castable", "brd": "board", "zirc": "zirconia", "alum": "alumina", "graph": "graphite", "sil": "silicon", "cer": "ceramic", "undens": "undensified", "amorph": "amorphous", "insul": "insulating", "calc": "calcined", "conc": "concentrate", "fiber": "fibre", "fibers": "fibre", "pet": "petroleum", "stabilised": "stabilized", "mold": "mould", "molding": "moulding"}
+#: Combinations of readings of shortened words up to which all are looked up; a value with more has its unambiguous words read only.
+READINGS = 64
 
 #: Remarks that stand beside a value and do not change what it names.
 _REMARKS = re.compile(
@@ -39,12 +41,28 @@ _FILLER = {"the", "of", "and", "for", "in", "la", "de", "en", "rep", "republic"}
 _APART = {"north", "south", "east", "west", "new", "or", "and", "oder", "o", "und", "y"}
 
 
+def _within(short: str, long: str) -> bool:
+    it = iter(long)
+    return all(c in it for c in short)
+
+
+@lru_cache(maxsize=50_000)
+def readings(word: str, known: frozenset[str]) -> tuple[str, ...]:
+    """Words of the list that a word may be short for: the same beginning and its letters in their order. A word of the list stands for itself."""
+    if word in known or len(word) < 3:
+        return (word,)
+    shorter = 1 if not re.search("[aeiou]", word) else 2
+    found = tuple(sorted(v for v in known if v[0] == word[0] and len(v) >= len(word) + shorter and (v.startswith(word) or shorter == 1 and _within(word, v))))
+    return found or (word,)
+
+
 @lru_cache(maxsize=100_000)
-def forms(value: str, places: bool = False) -> tuple[tuple[int, tuple[str, ...]], ...]:
+def forms(value: str, places: bool = False, known: frozenset[str] = frozenset()) -> tuple[tuple[int, tuple[str, ...]], ...]:
     """``(level, words)`` under which a value is looked up.
 
     Level 0: as it stands; 1: without remarks; 2: its parts at / ( ) , dashes and between scripts; 3, only
-    for ``places``: its first or last words, as a town may stand beside the country. Lower levels go first.
+    for ``places``: its first or last words, as a town may stand beside the country. Lower levels go first. Words that may be
+    short for some of ``known``, the words of the list, are looked up in each reading as well.
     """
     value = value.strip()
     camel = _CAMEL.sub(" ", value) if re.fullmatch(r"(?:[A-Z][a-z]+){2,}", value) else value
@@ -52,10 +70,14 @@ def forms(value: str, places: bool = False) -> tuple[tuple[int, tuple[str, ...]]
 
     def add(text: str, level: int) -> None:
         text = _LEET0.sub("o", _LEET.sub("i", re.sub(r"(?<=\b[a-z])\.(?=[a-z]\b|$|\s|\))", "", text)))
-        w = tuple(SHORT_WORDS.get(x, x) for x in words(text) if x)
+        w = tuple(x for x in words(text) if x)
         w = tuple(x for x in w if x not in _FILLER) or w
-        if w and all(w != x for _, x in out):
-            out.append((level, w))
+        each = [readings(x, known) for x in w]
+        if prod(map(len, each)) > READINGS:
+            each = [r if len(r) == 1 else (x,) for r, x in zip(each, w)]
+        for read in dict.fromkeys([w, *product(*each)]):
+            if read and all(read != x for _, x in out):
+                out.append((level, read))
 
     text = fold(camel)
     add(text, 0)
@@ -120,14 +142,18 @@ def canonical_values(values: DataFrame, entries: DataFrame, t: float = 0.4, plac
     """``value, n, entry_id, jaccard, slips`` for each row of ``values(value, n)`` (distinct values and their counts).
 
     ``entries(entry_id, form, other)`` is the reference list, ``other`` 1 for writings beside the list's own names. Of all
-    candidates the fewest slips win, then own names, then the highest Jaccard;
+    candidates that pass the edit check the highest Jaccard wins, then the fewest slips, then own names;
     entry_id is 0 where no entry passes, where the best entries tie, and where parts of the value name different
     entries. Null and blank values must be filtered before. Empty tables give empty results; very long values fit
     nothing, as their sets fail the length filter.
     """
 
+    # The list is fixed and small; words of four letters and more of its own names may be shortened in values.
+    own = entries.filter("other = 0").select("form").collect() if not places else []
+    known = frozenset(w for r in own for w in words(fold(r["form"])) if len(w) >= 4 and w.isascii())
+
     def struct_of(x: str) -> list[dict]:
-        return [{"level": k, "words": " ".join(w), "tokens": pair_grams(sorted(w))} for k, w in forms(x, places)]
+        return [{"level": k, "words": " ".join(w), "tokens": pair_grams(sorted(w))} for k, w in forms(x, places, known)]
 
     @F.pandas_udf("array<struct<level:int,words:string,tokens:array<string>>>")
     def looked_up(v: pd.Series) -> pd.Series:
@@ -154,7 +180,7 @@ def canonical_values(values: DataFrame, entries: DataFrame, t: float = 0.4, plac
     # Written before the check, as the optimizer would carry its filter, and with it the check, below the repartition.
     found = cut_lineage(found.select("words", "rwords", "entry_id", "other", "jaccard").repartition(tasks, "words", "rwords"))
     found = found.withColumn("slips", slips("words", "rwords")).filter("slips < 9")
-    per_entry = found.groupBy("words", "entry_id").agg(F.min(F.struct("slips", "other", (-F.col("jaccard")).alias("far"))).alias("b"))
+    per_entry = found.groupBy("words", "entry_id").agg(F.min(F.struct((-F.col("jaccard")).alias("far"), "slips", "other")).alias("b"))
     ranked = per_entry.groupBy("words").agg(F.min(F.struct("b", "entry_id")).alias("w"), F.collect_list("b").alias("all"))
     won = ranked.select("words", "w.b", F.when(F.size(F.filter("all", lambda x: x == F.col("w.b"))) == 1, F.col("w.entry_id")).otherwise(F.lit(0)).alias("entry_id"))
     hits = asked.select("value", "level", "words").join(won, "words")
