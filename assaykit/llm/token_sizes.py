@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import importlib
 import os
 from functools import lru_cache
 
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 #: Folder and file of the vocabulary used where none is given.
 TOKENIZER_DIR = os.environ.get("ASSAYKIT_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Fixed value: the pre-tokenisation pattern of byte-level BPE, used if the vocabulary's package gives none.
+#: Fixed value: the pre-tokenisation pattern of byte-level BPE; the same on every machine, as sizes depend on it.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -24,11 +23,7 @@ def _encoding(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    try:
-        pattern = importlib.import_module("public_tokenizers").PATTERN
-    except (ImportError, AttributeError):
-        pattern = PATTERN
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def count_tokens(text: str | None, path: str) -> int:
