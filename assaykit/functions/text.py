@@ -55,7 +55,7 @@ def identity_seed_name(name: Column) -> Column:
 def search_name(name: Column) -> Column:
     """The name to search by: the last Latin part behind a slash that is more than 'X Group', else the first part without brackets."""
     parts = F.transform(F.split(ws_trim(F.coalesce(name, F.lit(""))), r"\s*/\s*"), lambda p: ws_trim(F.regexp_replace(p, r"\s*[(（][^)）]*[)）]\s*", " ")))
-    useful = F.filter(F.slice(parts, 2, 100), lambda p: p.rlike(r"[A-Za-z]{2}") & ~p.rlike(r"(?i)^\S+ group$"))
+    useful = F.filter(F.slice(parts, F.lit(2), F.size(parts)), lambda p: p.rlike(r"[A-Za-z]{2}") & ~p.rlike(r"(?i)^\S+ group$"))
     return F.coalesce(F.try_element_at(useful, F.lit(-1)), F.try_element_at(parts, F.lit(1)))
 
 
@@ -81,9 +81,13 @@ def substantive(text: Column) -> Column:
     return ok
 
 
+#: Names of secrets, and what stands between a name and its value.
+SECRETS = r"(?i)(api[_-]?key|access[_-]?token|secret)\s*[:=]\s*[^\s,;]+"
+
+
 def redact_secrets(text: Column) -> Column:
     """Values after api key, access token and secret become ``[redacted]``."""
-    return F.regexp_replace(text, r"(?i)(api[_-]?key|access[_-]?token|secret)\s*[:=]\s*[^\s,;]+", "$1=[redacted]")
+    return F.regexp_replace(text, SECRETS, "$1=[redacted]")
 
 
 def signal_count(text: Column, patterns: list[str]) -> Column:

@@ -101,12 +101,22 @@ def host_suffixes(host: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat_ws(".", F.slice(parts, i, F.size(parts))))
 
 
-def path_intent(c: Column) -> Column:
+def clean_search_url(c: Column) -> Column:
+    """Normal form of an address out of a search result: punctuation at its end is no part of it."""
+    return normalise_url(F.regexp_replace(ws_trim(F.coalesce(c, F.lit(""))), r"[.,;:!?'\"\])}>]+$", ""))
+
+
+def intent_of_path(path: Column) -> Column:
     """3: ends in product(s); 2: ends in (market-)application(s); 1: a segment on products, applications, solutions or a catalogue; else 0."""
-    p = F.lower(url_path(c))
+    p = F.lower(path)
     return (
         F.when(p.rlike(r"/products?$"), 3)
         .when(p.rlike(r"/(market-)?applications?$"), 2)
         .when(p.rlike(r"(^|/)[^/]*(product|application|solution|catalog|portfolio)[^/]*(/|$)"), 1)
         .otherwise(0)
     )
+
+
+def path_intent(c: Column) -> Column:
+    """``intent_of_path`` of an address."""
+    return intent_of_path(url_path(c))

@@ -19,7 +19,9 @@ from assaykit.operators import review as rv
 from assaykit.operators import retrieval as rt
 from assaykit.operators import roles, sampling
 from assaykit.operators import validation as va
-from assaykit.operators.oracle import ORACLE
+from assaykit.operators import texts
+from assaykit.operators.oracle import ORACLE as _ORACLE
+from assaykit.operators.oracle_texts import ORACLE as _TEXTS
 from assaykit.plans.provider import ReplayProvider, rounds
 from assaykit.plans.runtime import bounded_broadcast, ws_trim
 from assaykit.sources.records import record_violations
@@ -72,14 +74,24 @@ def pages_per_host(spark: SparkSession, d: str) -> DataFrame:
 
 
 def path_intents(spark: SparkSession, d: str) -> DataFrame:
-    return load_table(spark, d, "sources").groupBy(u.path_intent(F.col("url")).alias("intent")).agg(F.count(F.lit(1)).alias("pages"))
+    rows = u.with_url_parts(load_table(spark, d, "sources").select("url"), "url")
+    return rows.groupBy(u.intent_of_path(F.col("url_path")).alias("intent")).agg(F.count(F.lit(1)).alias("pages"))
 
 
 def trusted_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Sources on the site of their bundle's record: hosts meet by equi-join on exploded suffixes, not by a theta join."""
-    sites = load_table(spark, d, "evidence_bundles").select("bundle_id", "record_id").join(load_table(spark, d, "input_records").select("record_id", F.regexp_replace(u.url_host(F.col("website")), r"^www\.", "").alias("site")).filter(F.col("site").contains(".")), "record_id").select("bundle_id", "site")
-    rows = load_table(spark, d, "sources").select("source_row", "bundle_id", F.explode(u.host_suffixes(u.url_host(F.col("url")))).alias("site"))
-    return rows.join(sites, ["bundle_id", "site"]).select("source_row", "bundle_id").distinct()
+    """Sources on the site of their bundle's record. A bundle has one record and a record one site, so no source is met twice."""
+    return _own_rows(spark, d).select("source_row", "bundle_id")
+
+
+def _sites(spark: SparkSession, d: str) -> DataFrame:
+    """``bundle_id, site``: host of the record's website without www., where it has a dot."""
+    records = load_table(spark, d, "input_records").select("record_id", F.regexp_replace(u.url_host(F.col("website")), r"^www\.", "").alias("site")).filter(F.col("site").contains("."))
+    return load_table(spark, d, "evidence_bundles").select("bundle_id", "record_id").join(records, "record_id").select("bundle_id", "site")
+
+
+def _own_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = u.with_url_parts(load_table(spark, d, "sources").select("source_row", "bundle_id", "url"), "url").select("source_row", "bundle_id", "url_host")
+    return rows.join(_sites(spark, d), "bundle_id").filter((F.col("url_host") == F.col("site")) | F.endswith("url_host", F.concat(F.lit("."), F.col("site"))))
 
 
 def company_domains(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +124,9 @@ def levels_of_directions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def secrets_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return load_table(spark, d, "documents").select("doc_id", tx.redact_secrets(F.concat(F.lit("api_key: k"), F.col("doc_id").cast("string"), F.lit(" "), F.coalesce("text", F.lit("")))).alias("text"))
+    """Texts with a secret of one of three names ahead of them, as the tables hold none, redacted."""
+    name = F.element_at(F.array(F.lit("api_key: k"), F.lit("ACCESS-TOKEN=t"), F.lit("secret : s")), F.pmod("doc_id", F.lit(3)).cast("int") + 1)
+    return load_table(spark, d, "documents").select("doc_id", tx.redact_secrets(F.concat(name, F.col("doc_id").cast("string"), F.lit(", "), F.coalesce("text", F.lit("")))).alias("text"))
 
 
 def evidence_sections(spark: SparkSession, d: str) -> DataFrame:
@@ -132,20 +146,26 @@ def uncited_sources(spark: SparkSession, d: str) -> DataFrame:
     return load_table(spark, d, "sources").join(parts, ["bundle_id", "id"], "left_anti").select("source_row", "bundle_id", "id")
 
 
-def _scored_pages(spark: SparkSession, d: str) -> DataFrame:
+def _scored_pages(spark: SparkSession, d: str, own: bool = False) -> DataFrame:
     packs = load_table(spark, d, "evidence_bundles")
-    pages = ps.pack_sections(packs).join(packs.select("bundle_id", tx.company_terms(F.col("company")).alias("terms")), "bundle_id")
+    heads = packs.select("bundle_id", tx.company_terms(F.col("company")).alias("terms"))
+    heads = heads.join(_sites(spark, d).withColumnRenamed("site", "domain"), "bundle_id", "left") if own else heads.withColumn("domain", F.lit(None).cast("string"))
+    pages = u.with_url_parts(ps.pack_sections(packs), "url").join(heads, "bundle_id")
     pages = pages.withColumn("locator", tx.fold_text(F.concat_ws(" ", "url", "title"))).withColumn("folded", tx.fold_text(F.col("body")))
-    pages = pages.withColumn("relevance", rk.page_relevance(F.col("url"), F.col("locator"), F.col("folded"), F.lit(None).cast("string"), F.col("terms")))
-    return pages.withColumn("categories", rk.category_flags(F.col("locator"), F.col("folded")))
+    return rk.with_relevance(pages)
 
 
 def page_relevance(spark: SparkSession, d: str) -> DataFrame:
     return _scored_pages(spark, d).select("bundle_id", "section", "relevance", F.array_join("categories", ",").alias("categories"))
 
 
+def own_page_relevance(spark: SparkSession, d: str) -> DataFrame:
+    """Relevance with the site of the bundle's record as the company's own host."""
+    return _scored_pages(spark, d, True).select("bundle_id", "section", "relevance", F.array_join("categories", ",").alias("categories"))
+
+
 def ranked_pages(spark: SparkSession, d: str) -> DataFrame:
-    rows = _scored_pages(spark, d).withColumn("key", F.concat_ws("|", F.regexp_replace(u.url_host(F.col("url")), r"^www\.", ""), u.url_path(F.col("url")), F.concat_ws("&", u.url_query_fields(F.col("url")))))
+    rows = _scored_pages(spark, d).select("bundle_id", "section", "pos", "relevance", _page_key().alias("key"))
     return rk.ranked_distinct(rows, "bundle_id", ["key"], "relevance", "pos").select("bundle_id", "section", "relevance", "rank")
 
 
@@ -363,11 +383,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         candidate_sample, contact_counts, weakness_reasons, record_checks, url_normalised, provenance_keys, pages_per_host, path_intents, trusted_sources, company_domains, identity_aliases, page_token_counts, substantive_pages,
-        material_signals, levels_of_directions, secrets_redacted, evidence_sections, source_references, uncited_sources, page_relevance, ranked_pages, diverse_pages, interleaved_sources, longest_title_per_host, cache_lookup, repeated_cache_keys,
+        material_signals, levels_of_directions, secrets_redacted, evidence_sections, source_references, uncited_sources, page_relevance, own_page_relevance, ranked_pages, diverse_pages, interleaved_sources, longest_title_per_host, cache_lookup, repeated_cache_keys,
         resume_pending, overlaid_runs, quote_verification, compact_evidence, gap_reasons, known_directions, confusion_matrix, threshold_scan, best_threshold, average_ranks, score_quality, failure_stages, latency_summary, run_overview,
         run_companies, queue_filter, selected_roles, report_markdown, lead_round, retrieval_violations, retrieval_totals, title_fallback, reserved_sources, folded_names, seed_names, record_slugs,
         pack_addresses, grade_rows, bundle_manifest, cached_again, parsed_answers, late_results,
     )
-}
+} | texts.QUERIES
+ORACLE: dict[str, str] = _ORACLE | _TEXTS
 
 __all__ = ["ORACLE", "QUERIES"]

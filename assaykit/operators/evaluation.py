@@ -81,3 +81,21 @@ def failure_stage(score: Column, errors: Column) -> Column:
     """'' if scored, retrieval for missing evidence or timeouts, structured_extraction for unreadable answers, else scoring."""
     text = F.array_join(F.coalesce(errors, F.array().cast("array<string>")), ";")
     return F.when(score.isNotNull(), "").when(text.contains("evidence") | text.contains("timeout"), "retrieval").when(text.contains("JSON"), "structured_extraction").otherwise("scoring")
+
+
+def assembled(manual: DataFrame, baseline: DataFrame, candidate: DataFrame, key: str) -> DataFrame:
+    """One row a key that all three tables have, with ``change`` of the score where both results have one."""
+    rows = manual.join(baseline, key).join(candidate, key)
+    return rows.withColumn("change", F.col("candidate") - F.col("baseline"))
+
+
+def size_summary(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """``calls, median, p95, longest`` by group, from counts by distinct value; the median of an even number is the mean of the middle two."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("k"))
+    w = Window.partitionBy(*by)
+    run = counts.withColumn("upto", F.sum("k").over(w.orderBy(value))).withColumn("n", F.sum("k").over(w))
+    at = lambda i: F.min(F.when(F.col("upto") > i, F.col(value)))
+    n = F.col("n")
+    low, high, top = F.floor((n - 1) / 2), F.floor(n / 2), F.least(n - 1, F.floor(n * F.lit(0.95)))
+    out = run.groupBy(*by, "n").agg(at(low).alias("low"), at(high).alias("high"), at(top).alias("p95"), F.max(value).alias("longest"))
+    return out.select(*by, F.col("n").alias("calls"), ((F.col("low") + F.col("high")) / 2).alias("median"), "p95", "longest")

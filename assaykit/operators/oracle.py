@@ -66,12 +66,20 @@ _TERMS = f"list_filter(regexp_extract_all({_fold("coalesce(company, '')")}, '[\\
 _POINTS = " + ".join(f"(case when regexp_matches(locator, '{p}') or regexp_matches(folded, '{p}') then {n} else 0 end)" for p, n in _CATS.values())
 _MINUS = " + ".join(f"(case when contains(locator, '{w}') then 120 else 0 end)" for w in _NOISE)
 _FLAGS = ", ".join(f"case when regexp_matches(locator, '{p}') or regexp_matches(folded, '{p}') then '{n}' end" for n, (p, _) in sorted(_CATS.items()))
-_SCORED = f"""{_SECTIONS}, y as (select s.*, {_TERMS} as terms, {_norm('url')} as n, {_fold("url || ' ' || title")} as locator, {_fold('left(body, 6000)')} as folded from sections s join evidence_bundles b using (bundle_id)),
+
+def _scored(own: bool) -> str:
+    """Scored pages; with the site of the record as the company's host, or without any."""
+    dom = f""", dom as (select bundle_id, site from (select b.bundle_id, regexp_replace({_host('n')}, '^www\\.', '') as site from (select b.bundle_id, {_norm('i.website')} as n from evidence_bundles b join input_records i using (record_id)) b) where contains(site, '.'))""" if own else ""
+    domain, join = ("d.site", "left join dom d using (bundle_id)") if own else ("null::varchar", "")
+    return f"""{_SECTIONS}{dom}, y as (select s.*, {_TERMS} as terms, {_norm('url')} as n, {_fold("url || ' ' || title")} as locator, {_fold('body')} as folded, {domain} as domain from sections s join evidence_bundles b using (bundle_id) {join}),
 z as (select *, {_host('n')} as host, {_path('n')} as path, lower({_path('n')}) as p from y), i as (select *, {_INTENT} as intent from z), scored as (select *,
-({_POINTS} + case when {_LOW} then -25 else 0 end + least(15, 5 * len(list_filter(terms, lambda t: contains(locator, t)))) + case when len(list_filter(terms, lambda t: contains(host, t))) > 0 then 25 else 0 end - ({_MINUS})
+({_POINTS} + case when coalesce(host = domain or ends_with(host, '.' || domain), false) then 35 when {_LOW} then -25 else 0 end + least(15, 5 * len(list_filter(terms, lambda t: contains(locator, t)))) + case when len(list_filter(terms, lambda t: contains(host, t))) > 0 then 25 else 0 end - ({_MINUS})
   + case intent when 1 then 24 when 2 then 32 when 3 then 36 else 0 end - case when regexp_matches(p, 'history|timeline|milestone') then 24 else 0 end + case when p = '/' then 4 else 0 end)::int as relevance,
 array_to_string(list_filter([{_FLAGS}], lambda x: x is not null), ',') as categories, cast(section[2:] as int) as pos from i)"""
 
+
+_SCORED, _SCORED_OWN = _scored(False), _scored(True)
+
 ORACLE: dict[str, str] = {
     "folded_names": f"select record_id, {_fold('name')} as folded from input_records where name is not null",
     "seed_names": f"""with n as (select record_id, coalesce(name, '') as v, {_trim("coalesce(name, '')")} as t from input_records),
@@ -94,10 +102,11 @@ select bundle_id, case when r is null or not json_valid(r) then 'no JSON' else a
     "retrieval_totals": """select coalesce(retrieval ->> '$.mode', '') as mode, count(*) as packs, sum((retrieval ->> '$.pages')::int)::bigint as pages, sum((retrieval ->> '$.queries')::int)::bigint as queries, round(avg((retrieval ->> '$.seconds')::double), 4) as mean_seconds from evidence_bundles group by 1""",
     "title_fallback": f"""with {_SECTIONS}, e as (select bundle_id, id, 1 as priority, title from sources union all select bundle_id, s.id, 2, s.title from (select bundle_id, unnest(sources) as s from evidence_bundles) union all select bundle_id, section, 3, title from sections),
 g as (select bundle_id, id, priority, max(title) as title from e group by all), k as (select *, row_number() over (partition by bundle_id, id order by priority) as m from g where {_trim("coalesce(title, '')")} <> '') select bundle_id, id, priority, title from k where m = 1""",
-    "reserved_sources": f"""with {_HOSTED}, k as (select source_row, bundle_id, case when source_type = '官网' then 0 else 1 end as p, host || {_path('n')} as key from hosted),
+    "reserved_sources": f"""with {_HOSTED}, k as (select source_row, bundle_id, case when source_type = '官网' then 0 else 1 end as p, host || ' ' || {_path('n')} || ' ' || array_to_string({_fields('n')}, '&') as key from hosted),
 o as (select * from (select *, row_number() over (partition by bundle_id, key order by p, source_row) as m from k) where m = 1)
 select bundle_id, source_row, place::int as place from (select *, row_number() over (partition by bundle_id order by p, source_row) as place from o) where place <= 8""",
     "page_relevance": f"with {_SCORED} select bundle_id, section, relevance, categories from scored",
+    "own_page_relevance": f"with {_SCORED_OWN} select bundle_id, section, relevance, categories from scored",
     "ranked_pages": f"""with {_SCORED}, k as (select *, row_number() over (partition by bundle_id, regexp_replace(host, '^www\\.', ''), path, array_to_string({_fields('n')}, '&') order by pos) as m from scored)
 select bundle_id, section, relevance, (row_number() over (partition by bundle_id order by relevance desc, pos))::int as rank from k where m = 1""",
     "company_domains": f"""with t as (select bundle_id, {_TERMS} as terms from evidence_bundles), h as (select source_row, bundle_id, {_host('n')} as host from (select source_row, bundle_id, {_norm('url')} as n from sources)),
@@ -117,7 +126,7 @@ select record_id, case when t = '' then 'blank' else array_to_string(list_filter
 union all select record_id, 'blank name' from input_records where {_trim("coalesce(name, '')")} = ''
 union all select record_id, 'website without host' from (select record_id, website, {_norm('website')} as n from input_records) where {_trim("coalesce(website, '')")} <> '' and not contains({_host('n')}, '.')""",
     "url_normalised": f"select source_row, {_norm('url')} as url_norm from sources",
-    "provenance_keys": f"with {_HOSTED} select source_row, host, array_to_string({_fields('n')}, '&') as query from hosted",
+    "provenance_keys": f"with {_HOSTED} select source_row, host, {_path('n')} as path, array_to_string({_fields('n')}, '&') as query from hosted",
     "pages_per_host": f"with {_HOSTED} select host, count(*) as pages from hosted group by 1",
     "path_intents": f"with a as (select {_norm('url')} as n from sources), b as (select lower({_path('n')}) as p from a) select {_INTENT}::int as intent, count(*) as pages from b group by 1",
     "trusted_sources": f"""with s as (select bundle_id, regexp_replace({_host('n')}, '^www\\.', '') as site from (select b.bundle_id, {_norm('i.website')} as n from evidence_bundles b join input_records i using (record_id)))
@@ -132,11 +141,11 @@ select record_id, (row_number() over (partition by record_id order by k) - 1)::i
 length(t) >= 80 and not regexp_matches(t, 'captcha|cloudflare|verify you are human|access denied|enable javascript|checking your browser|unusual traffic|security check') and not regexp_matches(t, '^(error|api key|not found|unauthorized|extract_invalid_content)') as substantive from l""",
     "material_signals": f"select doc_id, ({_SIGNALS})::int as signals from documents",
     "levels_of_directions": f"select direction_id, case lower({_trim('coalesce(priority, chr(32))')}) when '高' then 'high' when 'high' then 'high' when '中' then 'medium' when 'medium' then 'medium' else 'low' end as level from directions",
-    "secrets_redacted": r"select doc_id, regexp_replace('api_key: k' || doc_id || ' ' || coalesce(text, ''), '(?i)(api[_-]?key|access[_-]?token|secret)\s*[:=]\s*[^\s,;]+', '\1=[redacted]', 'g') as text from documents",
+    "secrets_redacted": r"select doc_id, regexp_replace(['api_key: k', 'ACCESS-TOKEN=t', 'secret : s'][doc_id % 3 + 1] || doc_id || ', ' || coalesce(text, ''), '(?i)(api[_-]?key|access[_-]?token|secret)\s*[:=]\s*[^\s,;]+', '\1=[redacted]', 'g') as text from documents",
     "evidence_sections": f"with {_SECTIONS} select bundle_id, section, url, title, length(body)::int as chars from sections",
     "source_references": f"with {_SECTIONS}, k as (select bundle_id, list_transform(sources, lambda x: x.id) as known from evidence_bundles) select distinct s.bundle_id, s.section from sections s join k using (bundle_id) where not coalesce(list_contains(known, s.section), false)",
     "uncited_sources": f"with {_SECTIONS} select source_row, bundle_id, id from sources s where not exists (select 1 from sections p where p.bundle_id = s.bundle_id and p.section = s.id)",
-    "interleaved_sources": f"""with {_HOSTED}, k as (select source_row, bundle_id, coalesce(source_type, '') as slot, host || {_path('n')} as key from hosted),
+    "interleaved_sources": f"""with {_HOSTED}, k as (select source_row, bundle_id, coalesce(source_type, '') as slot, host || ' ' || {_path('n')} || ' ' || array_to_string({_fields('n')}, '&') as key from hosted),
 r as (select *, row_number() over (partition by bundle_id, slot order by source_row) as r from k), o as (select * from (select *, row_number() over (partition by bundle_id, key order by r, slot, source_row) as m from r) where m = 1)
 select bundle_id, source_row, turn::int as turn from (select *, row_number() over (partition by bundle_id order by r, slot, source_row) as turn from o) where turn <= 8""",
     "longest_title_per_host": f"with {_HOSTED} select host, title from (select host, coalesce(title, '') as title, row_number() over (partition by host order by length(coalesce(title, '')) desc, source_row) as m from hosted) where m = 1",
@@ -178,4 +187,13 @@ j as (select l.record_id, case when not l.v or l.s is null then 'lead not review
 select record_id, case when reason = 'verdict for other' then 'other' else 'lead' end as selected_role, reason from j""",
     "report_markdown": f"with {_ONCE} select run_id, '| ' || run_id || ' | ' || count(*) || ' | ' || count(*) filter (lower(trim(status)) = 'valid') || ' | ' || count(*) filter (lower(trim(coalesce(status, ''))) <> 'valid') || ' |' as line from once group by run_id",
     "lead_round": f"with {_ONCE} select run_id || '/' || idx as key, 'lead' as role, case when status = 'valid' then 1 else 2 end as attempt, status as answer, coalesce(status = 'valid', false) as accepted from once",
+    "parsed_answers": """with j as (select retrieval as r, case when json_valid(retrieval) then json_type(retrieval) end as t from evidence_bundles)
+select case when t is null then 'none' else 'strict' end as strategy, case when t is null then 'no object' when t = 'OBJECT' then '' else 'not an object' end as error, count(*) as n from j group by 1, 2""",
+    "diverse_pages": f"""with {_SCORED}, w as (select bundle_id, pos, relevance, case when categories = '' then [] else string_split(categories, ',') end as cats, list_distinct(regexp_extract_all(lower(url || ' ' || body), '[a-z0-9]{{4,}}')) as tokens from scored),
+t1 as (select * from (select *, relevance + 8 * len(cats) as s, row_number() over (partition by bundle_id order by relevance + 8 * len(cats) desc, pos) as m from w) where m = 1 and relevance >= 20),
+w2 as (select w.*, t.cats as covered, {{J}} as near from w join t1 t using (bundle_id) where w.pos <> t.pos), v2 as (select *, relevance + 8 * len(list_filter(cats, lambda c: not list_contains(covered, c))) - 20 * near as s from w2),
+t2 as (select * from (select *, row_number() over (partition by bundle_id order by s desc, pos) as m from v2) where m = 1 and relevance >= 20),
+w3 as (select w.bundle_id, w.pos, w.relevance, w.cats, w.tokens, list_concat(w.covered, t.cats) as covered, greatest(w.near, {{J}}) as near from w2 w join t2 t using (bundle_id) where w.pos <> t.pos), v3 as (select *, relevance + 8 * len(list_filter(cats, lambda c: not list_contains(covered, c))) - 20 * near as s from w3),
+t3 as (select * from (select *, row_number() over (partition by bundle_id order by s desc, pos) as m from v3) where m = 1 and relevance >= 20)
+select bundle_id, pos - 1 as pos, 1 as turn, relevance, round(s::double, 1) as selection_score from t1 union all select bundle_id, pos - 1, 2, relevance, round(s::double, 1) from t2 union all select bundle_id, pos - 1, 3, relevance, round(s::double, 1) from t3""".replace("{J}", "(len(list_intersect(w.tokens, t.tokens)) / greatest(1, len(w.tokens) + len(t.tokens) - len(list_intersect(w.tokens, t.tokens)))::double)"),
 }

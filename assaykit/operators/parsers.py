@@ -24,7 +24,8 @@ def pack_sections(packs: DataFrame, key: str = "bundle_id", text: str = "text")
     Null and empty texts and texts without sections give no rows. The first URL and Title lines of a section count.
     """
     marked = F.regexp_replace(F.col(text), r"(?m)^## (S\d+)[ \t]*$", _MARK + "$1")
-    parts = F.slice(F.split(marked, _MARK), F.lit(2), F.lit(1_000_000))
+    parts = F.split(marked, _MARK)
+    parts = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
     rows = packs.filter(F.col(text).contains("## S")).select(key, F.posexplode(parts).alias("pos", "raw"))
     return rows.select(
         key,
@@ -84,48 +85,67 @@ def table_rows(sections: DataFrame, keys: list[str], body: str = "body", width:
     return rows.filter(F.exists("cells", lambda c: c.rlike(r"^\d+([.,]\d+)?$")))
 
 
-class _Page(HTMLParser):
-    """Visible text, title and links with their heading and the words before them."""
+#: Elements whose text nobody sees; most texts before a link, and characters of them, that make its context; characters of a heading.
+UNSEEN = frozenset(("script", "style", "noscript", "svg"))
+CONTEXT_TEXTS, CONTEXT_CHARS, HEADING_CHARS = 6, 300, 240
+
+
+class _Events(HTMLParser):
+    """What a page consists of, in order: ``(kind, name or words, address)``; kinds are open, close and words."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.skip = 0
-        self.inside: str | None = None
-        self.title, self.heading, self.text = "", "", []
-        self.links: list[dict[str, str]] = []
-        self.anchor: dict[str, str] | None = None
+        self.seen: list[tuple[str, str, str | None]] = []
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style", "noscript", "svg"):
-            self.skip += 1
-        elif tag == "title":
-            self.inside = "title"
-        elif re.fullmatch(r"h[1-6]", tag):
-            self.inside, self.heading = "heading", ""
-        elif tag == "a" and (href := dict(attrs).get("href")):
-            self.anchor = {"url": href, "title": "", "heading": self.heading, "context": " ".join(self.text[-6:])[-300:]}
+        self.seen.append(("open", tag, dict(attrs).get("href")))
 
     def handle_endtag(self, tag):
-        if tag in ("script", "style", "noscript", "svg"):
-            self.skip = max(0, self.skip - 1)
-        elif tag == "title" or re.fullmatch(r"h[1-6]", tag):
-            self.inside, self.heading = None, self.heading[:240]
-        elif tag == "a" and self.anchor:
-            self.links.append(self.anchor)
-            self.anchor = None
+        self.seen.append(("close", tag, None))
 
     def handle_data(self, data):
-        words = " ".join(data.split())
-        if self.skip or not words:
-            return
-        if self.inside == "title":
-            self.title = f"{self.title} {words}".strip()
-            return
-        if self.inside == "heading":
-            self.heading = f"{self.heading} {words}".strip()
-        if self.anchor is not None:
-            self.anchor["title"] = f"{self.anchor['title']} {words}".strip()
-        self.text.append(words)
+        if words := " ".join(data.split()):
+            self.seen.append(("words", words, None))
+
+
+def _heading(tag: str) -> bool:
+    return len(tag) == 2 and tag[0] == "h" and tag[1] in "123456"
+
+
+def page_parts(html: str) -> tuple[str, list[str], list[dict[str, str]]]:
+    """Title, visible texts and links ``url, title, heading, context`` of a page; a link counts once it is closed."""
+    events = _Events()
+    events.feed(html)
+    events.close()
+    hidden, place = 0, ""
+    parts: dict[str, list[str]] = {"title": [], "heading": [], "link": []}
+    texts: list[str] = []
+    links: list[dict[str, str]] = []
+    link: dict[str, str] | None = None
+    for kind, name, address in events.seen:
+        if kind == "words":
+            if hidden:
+                continue
+            if place:
+                parts[place].append(name)
+            if place == "title":
+                continue
+            if link is not None:
+                parts["link"].append(name)
+            texts.append(name)
+        elif name in UNSEEN:
+            hidden = hidden + 1 if kind == "open" else max(0, hidden - 1)
+        elif name == "title" or _heading(name):
+            place = ("title" if name == "title" else "heading") if kind == "open" else ""
+            if place == "heading":
+                parts["heading"] = []
+        elif name == "a" and kind == "open" and address:
+            link = {"url": address, "heading": " ".join(parts["heading"])[:HEADING_CHARS], "context": " ".join(texts[-CONTEXT_TEXTS:])[-CONTEXT_CHARS:]}
+            parts["link"] = []
+        elif name == "a" and kind == "close" and link is not None:
+            links.append(link | {"title": " ".join(parts["link"])})
+            link = None
+    return " ".join(parts["title"]), texts, links
 
 
 _LINK = StructType([StructField(n, StringType()) for n in ("url", "title", "heading", "context")])
@@ -137,11 +157,8 @@ def html_extract(html: pd.Series, base: pd.Series) -> pd.DataFrame:
     """Title, visible text and absolute links of a page; empty for null. Scripts, styles and drawings are left out."""
     out = []
     for h, b in zip(html, base):
-        page = _Page()
-        page.feed(h or "")
-        page.close()
-        links = [x | {"url": urljoin(b or "", x["url"])} for x in page.links]
-        out.append({"title": page.title, "text": "\n".join(page.text), "links": links})
+        title, texts, links = page_parts(h or "")
+        out.append({"title": title, "text": "\n".join(texts), "links": [x | {"url": urljoin(b or "", x["url"])} for x in links]})
     return pd.DataFrame(out, columns=["title", "text", "links"])
 
 
@@ -197,4 +214,4 @@ def json_object(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_object(x) for x in raw], columns=["json", "strategy", "error"], dtype="object")
 
 
-__all__ = ["html_extract", "json_object", "markdown_table", "pack_sections", "pack_urls", "parse_object", "query_sections", "search_sections", "search_urls", "site_links", "table_rows"]
+__all__ = ["html_extract", "json_object", "markdown_table", "pack_sections", "pack_urls", "page_parts", "parse_object", "query_sections", "search_sections", "search_urls", "site_links", "table_rows"]

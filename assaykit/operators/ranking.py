@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assaykit.functions.urls import LOW_AUTHORITY_HOSTS, host_in, path_intent, url_host, url_path
+from assaykit.functions.urls import LOW_AUTHORITY_HOSTS, host_in, intent_of_path
+from assaykit.plans.runtime import cut_lineage
 
 #: What a page tells by its words, and points for it.
 CATEGORIES = {"product": (r"\bproducts?\b", 22), "process": (r"production|manufactur|process|furnace|melting", 20), "channel": (r"distributor|trading|import|export", 12), "technical": (r"technical|specification|datasheet|grade", 14)}
 #: Words of pages that tell nothing.
 NOISE_WORDS = ("career", "job", "login", "privacy", "cookie", "event", "news", "blog", "press", "terms", "sitemap", "contact", "imprint")
 
+#: Points for the company's own host, a directory, terms in the locator (each, at most), a term in the host, a noise word, path intents, histories, the root.
+OWN_HOST, DIRECTORY, TERM, MOST_TERMS, TERM_IN_HOST, NOISE, INTENTS, HISTORY, ROOT = 35, -25, 5, 15, 25, -120, {1: 24, 2: 32, 3: 36}, -24, 4
+
 
 def first_by_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row a key: the first in ``order``. A rank filter, so partitions keep one row a key before the shuffle."""
@@ -28,25 +31,24 @@ def category_flags(locator: Column, body: Column) -> Column:
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def page_relevance(url: Column, locator: Column, body: Column, domain: Column, terms: Column) -> Column:
-    """Points of a page: categories, own domain or a directory, company terms, noise words, path intent, root.
+def with_relevance(pages: DataFrame) -> DataFrame:
+    """``pages`` with ``categories`` and ``relevance``: categories, own host or a directory, company terms, noise words, path intent, root.
 
-    ``locator`` and ``body`` are folded texts (address with title; body), ``domain`` the company's host or null,
-    ``terms`` its folded terms.
+    Needs ``url_host`` and ``url_path`` (see ``with_url_parts``), the folded texts ``locator`` (address with title) and ``folded``
+    (body), ``domain``, the company's host or null, and its folded ``terms``. Each pattern is searched once a page.
     """
-    host, path, intent = url_host(url), F.lower(url_path(url)), path_intent(url)
-    score = F.lit(0)
-    for pattern, points in CATEGORIES.values():
-        score = score + F.when(locator.rlike(pattern) | body.rlike(pattern), points).otherwise(0)
+    out = pages.withColumn("categories", category_flags(F.col("locator"), F.col("folded")))
+    host, path, domain = F.col("url_host"), F.lower("url_path"), F.col("domain")
+    score = reduce(lambda a, n: a + F.when(F.array_contains("categories", n), CATEGORIES[n][1]).otherwise(0), CATEGORIES, F.lit(0))
     own = F.coalesce((host == domain) | F.endswith(host, F.concat(F.lit("."), domain)), F.lit(False))
-    score = score + F.when(own, 35).when(host_in(host, LOW_AUTHORITY_HOSTS), -25).otherwise(0)
-    score = score + F.least(F.lit(15), 5 * F.size(F.filter(terms, lambda t: locator.contains(t))))
-    score = score + F.when(F.exists(terms, lambda t: host.contains(t)), 25).otherwise(0)
-    for word in NOISE_WORDS:
-        score = score - F.when(locator.contains(word), 120).otherwise(0)
-    score = score + F.when(intent == 1, 24).when(intent == 2, 32).when(intent == 3, 36).otherwise(0)
-    score = score - F.when(path.rlike("history|timeline|milestone"), 24).otherwise(0)
-    return score + F.when(path == "/", 4).otherwise(0)
+    score = score + F.when(own, OWN_HOST).when(host_in(host, LOW_AUTHORITY_HOSTS), DIRECTORY).otherwise(0)
+    score = score + F.least(F.lit(MOST_TERMS), TERM * F.size(F.filter("terms", lambda t: F.col("locator").contains(t))))
+    score = score + F.when(F.exists("terms", lambda t: host.contains(t)), TERM_IN_HOST).otherwise(0)
+    score = score + NOISE * reduce(lambda a, w: a + F.col("locator").contains(w).cast("int"), NOISE_WORDS, F.lit(0))
+    intent = intent_of_path(path)
+    score = score + reduce(lambda a, i: a.when(intent == i, INTENTS[i]), sorted(INTENTS)[1:], F.when(intent == 1, INTENTS[1])).otherwise(0)
+    score = score + F.when(path.rlike("history|timeline|milestone"), HISTORY).otherwise(0)
+    return out.withColumn("relevance", score + F.when(path == "/", ROOT).otherwise(0))
 
 
 def ranked_distinct(rows: DataFrame, group: str, keys: list[str], score: str, pos: str) -> DataFrame:
@@ -69,32 +71,24 @@ def best_per_key(rows: DataFrame, keys: list[str], value: Column, score: Column,
 
 
 def mmr_select(pages: DataFrame, group: str, limit: int = 3, least: int = 20, id_col: str = "pos") -> DataFrame:
-    """Greedy diverse choice by group from ``relevance, categories, tokens``: adds ``turn`` and ``selection_score``.
+    """Greedy diverse choice by group from ``relevance, categories, tokens``: ``group, id_col, turn, relevance, selection_score``.
 
-    Each turn takes the page of greatest relevance + 8 per new category - 20 times its greatest Jaccard to a chosen
-    page (first ``pos`` on ties); it ends when that page's relevance is below ``least``. Groups are the pages of one
-    record, so each fits a batch.
+    Each turn takes the page of greatest relevance + 8 per new category - 20 times its greatest Jaccard to a chosen page (least
+    ``id_col`` on ties); it ends when that page's relevance is below ``least``. A turn is one aggregate and one join on the group,
+    so a group may have any number of pages. Null tokens count as none; scores are rounded to one decimal.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        rows = batches.sort_values(id_col, kind="stable").to_dict("records")
-        chosen, covered, sets, out = [], set(), [], []
-        while rows and len(chosen) < limit:
-            def score(r):
-                t = set(r["tokens"])
-                near = max((len(t & s) / max(1, len(t | s)) for s in sets), default=0.0)
-                return r["relevance"] + 8 * len(set(r["categories"]) - covered) - 20 * near
-
-            best = max(rows, key=score)
-            if best["relevance"] < least:
-                break
-            out.append({group: best[group], id_col: best[id_col], "turn": len(out) + 1, "relevance": best["relevance"], "selection_score": float(score(best))})
-            rows = [r for r in rows if r is not best]
-            chosen.append(best)
-            covered |= set(best["categories"])
-            sets.append(set(best["tokens"]))
-        return pd.DataFrame(out, columns=[group, id_col, "turn", "relevance", "selection_score"])
-
-    types = dict(pages.dtypes)
-    schema = f"{group} {types[group]}, {id_col} {types[id_col]}, turn int, relevance int, selection_score double"
-    return pages.select(group, id_col, "relevance", "categories", "tokens").groupBy(group).applyInPandas(run, schema)
+    empty = F.array().cast("array<string>")
+    rows = cut_lineage(pages.select(group, id_col, "relevance", F.coalesce("categories", empty).alias("categories"), F.coalesce("tokens", empty).alias("tokens")))
+    rows = rows.withColumn("covered", empty).withColumn("near", F.lit(0.0))
+    turns = []
+    for turn in range(1, limit + 1):
+        fresh = F.size(F.array_except("categories", "covered"))
+        scored = rows.withColumn("score", F.col("relevance") + 8 * fresh - 20 * F.col("near"))
+        best = scored.groupBy(group).agg(F.max_by(F.struct(id_col, "relevance", "categories", "tokens", "score"), F.struct("score", F.negative(id_col))).alias("best")).filter(F.col("best.relevance") >= least)
+        best = cut_lineage(best)
+        turns.append(best.select(group, f"best.{id_col}", F.lit(turn).alias("turn"), "best.relevance", F.round("best.score", 1).alias("selection_score")))
+        if turn < limit:
+            left = rows.join(best, group).filter(F.col(id_col) != F.col(f"best.{id_col}"))
+            alike = F.size(F.array_intersect("tokens", "best.tokens")) / F.greatest(F.lit(1), F.size(F.array_union("tokens", "best.tokens")))
+            rows = left.select(group, id_col, "relevance", "categories", "tokens", F.array_union("covered", "best.categories").alias("covered"), F.greatest("near", alike).alias("near"))
+    return reduce(DataFrame.unionByName, turns)

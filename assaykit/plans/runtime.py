@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -33,6 +34,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared checkpoint folder, for tables that outlive a job; nothing is made before it is written."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a checkpointed DataFrame that no later plan reads; other DataFrames are left alone."""
+    plan = df._jdf.queryExecution().logical()
+    if plan.getClass().getSimpleName() != "LogicalRDD" or not plan.rdd().getCheckpointFile().isDefined():
+        return
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(plan.rdd().getCheckpointFile().get())
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the package to the executors' Python workers, once a context, so that they need not have it installed.
 
@@ -64,15 +81,19 @@ def heavy_safe_join(rows: DataFrame, mapping: DataFrame, keys: list[str], count_
     """Join ``rows`` with ``mapping`` (one row a key, carrying the number ``count_col`` of matching rows).
 
     Keys of more than ``heavy`` rows are joined by broadcast, so no task gets a hot key whole. Their number is at
-    most the number of rows over ``heavy``; should even that exceed the broadcast bound, all go through the
-    shuffle join, where adaptive skew handling applies. ``how`` is inner or left. Null keys match nothing. Where the
+    most the number of rows over ``heavy``; where that exceeds the broadcast bound, ``heavy`` rises until it does not.
+    ``how`` is inner or left. Null keys match nothing. Where the
     caller knows the number of ``rows`` and it is no more than ``heavy``, no key can be hot and nothing is counted.
     """
     if total is not None and total <= heavy:
         return rows.join(mapping, keys, how)
     hot = mapping.filter(F.col(count_col) > heavy)
     n_hot = hot.limit(BROADCAST_ROWS + 1).count()
-    if n_hot == 0 or n_hot > BROADCAST_ROWS:
+    while n_hot > BROADCAST_ROWS:
+        heavy *= 4
+        hot = mapping.filter(F.col(count_col) > heavy)
+        n_hot = hot.limit(BROADCAST_ROWS + 1).count()
+    if n_hot == 0:
         return rows.join(mapping, keys, how)
     hot_keys = F.broadcast(hot.select(*keys).withColumn("_hot", F.lit(True)))
     marked = rows.join(hot_keys, keys, "left")
@@ -85,7 +106,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Component of each vertex of ``edges(a, b)``: ``node, component`` (the smallest vertex).
 
     Alternating large-star and small-star rounds; every star is an aggregate plus a join on the vertex, never a
-    collected group. Each round is cut by a checkpoint. Self loops are allowed and keep lone vertices.
+    collected group. Each round is cut by a checkpoint, which goes once the next stands. Self loops are allowed and keep
+    lone vertices. Rounds grow with the logarithm of a component's diameter; RuntimeError after ``max_rounds``.
     """
     loops = edges.filter("a = b").select(F.col("a").alias("node")).distinct()
     links = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -98,11 +120,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least2 = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = heavy_safe_join(large, least2, ["u"], "n", total=2 * size).select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(least2.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        links = cut_lineage(small)
+        before, links = links, cut_lineage(small)
+        release(before)
         now = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (now.n, now.h) == signature:
             break
         size, signature = now.n, (now.n, now.h)
+    else:
+        raise RuntimeError(f"components did not settle within {max_rounds} rounds")
     roots = links.select(F.col("v").alias("node")).distinct()
     found = links.select(F.col("u").alias("node"), F.col("v").alias("component")).groupBy("node").agg(F.min("component").alias("component"))
     alone = loops.union(roots).distinct().join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))
@@ -114,4 +139,4 @@ def ws_trim(c: Column) -> Column:
     return F.regexp_replace(c, r"^[\s 　​﻿]+|[\s 　​﻿]+$", "")
 
 
-__all__ = ["BROADCAST_ROWS", "at_most", "bounded_broadcast", "connected_components", "cut_lineage", "ensure_checkpoint_dir", "heavy_safe_join", "ship_package", "ws_trim"]
+__all__ = ["BROADCAST_ROWS", "at_most", "bounded_broadcast", "connected_components", "cut_lineage", "ensure_checkpoint_dir", "heavy_safe_join", "release", "shared_folder", "ship_package", "ws_trim"]

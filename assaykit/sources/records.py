@@ -8,14 +8,14 @@ from pyspark.sql.window import Window
 
 from assaykit.functions.urls import url_host
 from assaykit.operators.parsers import markdown_table
-from assaykit.plans.runtime import ws_trim
+from assaykit.plans.runtime import cut_lineage, ws_trim
 
 RECORD_SCHEMA = "id string, name string, website string, linkedin_url string, country string, industry string, background string, updated_at string, contact_count int"
 
 
-def json_records(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA) -> DataFrame:
-    """Records of a JSON array or of JSON lines; broken ones come as nulls, not as an error."""
-    return spark.read.option("multiLine", True).option("mode", "PERMISSIVE").schema(schema).json(path)
+def json_records(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA, lines: bool = False) -> DataFrame:
+    """Records of files that hold one JSON array each, or of JSON lines; broken ones come as nulls, not as an error. Lines are read in parts, an array by one task a file."""
+    return spark.read.option("multiLine", not lines).option("mode", "PERMISSIVE").schema(schema).json(path)
 
 
 def jdbc_table(spark: SparkSession, url: str, table: str, column: str | None = None, lower: int = 0, upper: int = 0, partitions: int = 1) -> DataFrame:
@@ -48,6 +48,16 @@ def record_violations(records: DataFrame, key: str = "record_id") -> DataFrame:
 
 
 def with_input_ids(records: DataFrame, order: str) -> DataFrame:
-    """Missing ids become ``input-NNN`` by ``order``; meant for an input file, not for large tables, as it numbers globally."""
-    n = F.row_number().over(Window.orderBy(order))
-    return records.withColumn("id", F.coalesce(F.nullif(ws_trim(F.col("id")), F.lit("")), F.format_string("input-%03d", n)))
+    """Missing ids become ``input-NNN``, numbered by ``order`` among all records; ``order`` must be unique.
+
+    Numbers are sums over parts: rows are range-parted by ``order`` and numbered within their part, parts are offset by the
+    rows before them, so no task sees more than its part.
+    """
+    parted = records.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    parted = cut_lineage(parted)
+    sizes = parted.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    # One row a partition, so the ordered sum over all of them is short.
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
+    n = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    named = parted.join(F.broadcast(offsets), "_part").withColumn("id", F.coalesce(F.nullif(ws_trim(F.col("id")), F.lit("")), F.format_string("input-%03d", n)))
+    return named.drop("_part", "_before")

@@ -14,3 +14,13 @@ def windowed_overview(results: DataFrame, time: str = "finished_at", late: str =
     """Counts and mean duration by run and window; whole rows that come again count once while the watermark holds them."""
     rows = results.withWatermark(time, late).dropDuplicatesWithinWatermark(["run_id", "idx"])
     return rows.groupBy(F.window(time, width), "run_id").agg(F.count(F.lit(1)).alias("selected"), F.sum((F.col("status") == "valid").cast("bigint")).alias("valid"), F.avg("duration_seconds").alias("average_seconds"))
+
+
+def run_to_folder(rows: DataFrame, folder: str, checkpoint: str) -> None:
+    """Run a stream of whole aggregates over all that is there and stop; ``folder`` holds the state after the last batch."""
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(folder)
+
+    query = rows.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
