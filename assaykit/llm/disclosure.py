@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,13 +28,14 @@ TURNS = 2
 
 _TITLES = r"(?:Mrs?|Ms|Miss|Mx|Dr|Prof|Engr|Eng|Ing|Dipl\.-Ing|Herrn?|Frau|Hr|Fr|Sr|Sra|Srta|Don|Doña|Sir|Madam)"
 TOKEN = re.compile(rf"\n|\b{_TITLES}\.(?=\s)|(?<![^\W\d_])[^\W\d_]\.(?=[ -])|[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+(?:[.,/:-]\d+)*|[^\w\s]|_+")
-TITLE = re.compile(rf"^{_TITLES}\.?$")
+#: The titles among the tokens, in lower case.
+TITLES = frozenset(x for t in "mr mrs ms miss mx dr prof engr eng ing dipl.-ing herr herrn frau hr fr sr sra srta don doña sir madam".split() for x in (t, t + "."))
 #: Words that end a letter or a list of receivers, or name the role of a person; what follows them is a person.
 SIGN_OFF = frozenset("regards|sincerely|yours|cheers|grüßen|grüße|gruß|saludo|saludos|cordiales|atentamente|faithfully|cc".split("|"))
 ROLE = re.compile(r"(?i)(?:^|\s)(?:person|owner|manager|director|buyer|contacto|gerente|inhaber(?:in)?|leiter(?:in)?|[^\W\d_]+leiter(?:in)?|geschäftsführer(?:in)?|ansprechpartner(?:in)?)$")
 #: Words that run between the parts of a name.
 PARTICLES = frozenset("el al ben bin ibn van von de der den di da del la le ter ten zu dos".split())
-_ENDS = frozenset(".!?。！？;；")
+ENDS = frozenset(".!?。！？;；")
 _WORD = re.compile(r"[^\W\d_]")
 
 
@@ -47,9 +49,9 @@ class Text:
     low: list[str] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        for m in TOKEN.finditer(self.text):
-            self.tokens.append(m[0])
-            self.start.append(m.start())
+        found = list(TOKEN.finditer(self.text))
+        self.tokens = [m[0] for m in found]
+        self.start = [m.start() for m in found]
         self.low = [x.lower() for x in self.tokens]
 
     def end(self, i: int) -> int:
@@ -60,12 +62,12 @@ class Text:
         t = self.tokens[i]
         if t == "\n":
             return i == 0 or self.tokens[i - 1] != "," and self.low[i - 1] not in SIGN_OFF
-        return t in _ENDS
+        return t in ENDS
 
     def left(self, i: int) -> str:
         """The two words before token ``i`` with what stands between; ``<s>`` where the sentence begins, a title alone. Digits are masked."""
         out, words, j = [], 0, i - 1
-        if j >= 0 and TITLE.match(self.tokens[j]):
+        if j >= 0 and self.low[j] in TITLES:
             return self.low[j]
         if j >= 0 and self.tokens[j] == ")":
             return "<s>"
@@ -92,7 +94,7 @@ class Text:
         out, words, n = [], 0, len(self.tokens)
         while j < n and words < 2 and len(out) < 4:
             t = self.low[j]
-            if t in _ENDS or t == "\n":
+            if t in ENDS or t == "\n":
                 out.append(".")
                 break
             if t[0].isdigit():
@@ -106,33 +108,32 @@ class Text:
         return " ".join(out)
 
 
+@lru_cache(maxsize=50_000)
 def term(word: str) -> str:
     return word.casefold().strip(".,'’")
 
 
-def _capital(word: str) -> bool:
-    return word[0].isupper() and bool(_WORD.match(word))
-
-
 def runs(t: Text) -> list[tuple[int, int]]:
     """Runs of capitalised words and particles on one line, as token ranges; titles and sentence ends part them, what touches an address is left out."""
-    out, i, n = [], 0, len(t.tokens)
-    while i < n:
-        if not _capital(t.tokens[i]) or TITLE.match(t.tokens[i]):
-            i += 1
+    out, n, upto = [], len(t.tokens), 0
+    tokens, start, low, text = t.tokens, t.start, t.low, t.text
+    upper = [w[0].isupper() and x not in TITLES for w, x in zip(tokens, low)]
+    for i, capital in enumerate(upper):
+        if not capital or i < upto:
             continue
         j = i + 1
-        while j < n and t.start[j] == t.end(j - 1) + 1 and t.text[t.start[j] - 1] == " ":
-            if _capital(t.tokens[j]) and not TITLE.match(t.tokens[j]):
+        while j < n and text[start[j] - 1] == " " and start[j] == start[j - 1] + len(tokens[j - 1]) + 1:
+            if upper[j]:
                 j += 1
-            elif t.low[j] in PARTICLES and j + 1 < n and _capital(t.tokens[j + 1]) and t.start[j + 1] == t.end(j) + 1:
+            elif low[j] in PARTICLES and j + 1 < n and upper[j + 1] and start[j + 1] == t.end(j) + 1:
                 j += 2
             else:
                 break
-        a, b = t.start[i], t.end(j - 1)
-        if not (a and t.text[a - 1] in "@._/+=-" or t.text[b : b + 1] in ("@", "_", "/", "=") or t.text[b : b + 1] in (".", "-") and t.text[b + 1 : b + 2].isalnum()):
+        upto = j
+        a, b = start[i], t.end(j - 1)
+        after = text[b : b + 1]
+        if not (a and text[a - 1] in "@._/+=-" or after and (after in "@_/=" or after in ".-" and text[b + 1 : b + 2].isalnum())):
             out.append((i, j))
-        i = j
     return out
 
 
@@ -141,7 +142,7 @@ def seeded(t: Text, i: int) -> bool:
     j = i - 1
     if j < 0:
         return False
-    if TITLE.match(t.tokens[j]):
+    if t.low[j] in TITLES:
         return True
     if t.tokens[j] in "—–" and (j == 0 or t.ends_sentence(j - 1) or t.tokens[j - 1] == "\n"):
         return True

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.disclosure import PARTICLES, TITLE, Text, number_keys, person_keys, runs, seeded, term
+from assaykit.llm.disclosure import ENDS, PARTICLES, TITLES, Text, number_keys, person_keys, runs, seeded, term
 from assaykit.plans.runtime import cut_lineage
 
 #: Most words of a name, particles and initials included.
@@ -50,6 +50,16 @@ _PHONE_FORMS = (
     r"1[03-9]\d{9}",
 )
 PHONE = re.compile(r"(?<![\w.,/+-])(?:" + "|".join(f if f.startswith("\\+") else rf"(?<!\d )(?:{f})" for f in _PHONE_FORMS) + r")(?![\w]|[.,/-]\d)")
+#: Where a phone may stand: figures with what parts them; each match of ``PHONE`` lies within one.
+_FIGURES = re.compile(r"[+(]{0,2}\d[\d ./()-]{5,}\d")
+
+
+def phones(text: str) -> Iterator[re.Match]:
+    """Matches of ``PHONE``, sought where figures stand only."""
+    for m in _FIGURES.finditer(text):
+        yield from PHONE.finditer(text, m.start(), min(len(text), m.end() + 2))
+
+
 #: What may stand between a word and the number it names: no sentence end, bracket or line break.
 _TO_NUMBER = r"[ \t\u00a0\u3000:：#]*$"
 #: Left end of a Latin word; Han characters may stand before it.
@@ -124,6 +134,10 @@ _STREET_WORDS = (
 )
 
 
+#: Tokens at which a context ends, or begins as at the start of a sentence.
+_BREAKS = ENDS | {"\n", ")"}
+
+
 def _overlaps(a: int, b: int, taken: list[tuple[int, int]]) -> bool:
     return any(a < y and x < b for x, y in taken)
 
@@ -144,12 +158,12 @@ class Model:
     first: frozenset[str] = frozenset()
     last: frozenset[str] = frozenset()
     number: frozenset[str] = frozenset()
-    before: frozenset[str] = field(init=False)
+    triggers: frozenset[str] = field(init=False)
     after: frozenset[str] = field(init=False)
 
     def __post_init__(self) -> None:
         pairs = [x.split("|", 1) for x in self.pair]
-        self.before = frozenset(x.rsplit(" ", 1)[-1] for x in [*self.left, *(p[0] for p in pairs)])
+        self.triggers = frozenset(x.rsplit(" ", 1)[-1] for x in [*self.left, *(p[0] for p in pairs)]) | TITLES | ENDS | {")", "—", "–", "\n"}
         self.after = frozenset(x.split(" ", 1)[0] for x in [*self.right, *(p[1] for p in pairs)])
 
 
@@ -185,7 +199,7 @@ def find_fixed(text: str, against: frozenset[str] = frozenset(), t: Text | None
             if lead := _ZH_LEAD.match(text[a : m.end()]):
                 a += lead.end()
             take(a, m.end(), "address")
-    for m in PHONE.finditer(text):
+    for m in phones(text):
         if _overlaps(m.start(), m.end(), taken):
             continue
         before = text[max(0, m.start() - 30) : m.start()]
@@ -202,7 +216,7 @@ def find_fixed(text: str, against: frozenset[str] = frozenset(), t: Text | None
 def _inverted(t: Text, i: int, j: int) -> int | None:
     """End of a name whose surname stands first, with a comma behind it: the run ``i`` to ``j`` is the surname."""
     n = len(t.tokens)
-    if j + 1 >= n or t.tokens[j] != "," or t.start[j + 1] != t.end(j) + 1 or not t.tokens[j + 1][0].isupper() or TITLE.match(t.tokens[j + 1]):
+    if j + 1 >= n or t.tokens[j] != "," or t.start[j + 1] != t.end(j) + 1 or not t.tokens[j + 1][0].isupper() or t.low[j + 1] in TITLES:
         return None
     k = j + 2
     if k < n and re.fullmatch(r"[^\W\d_]\.?", t.tokens[k]) and t.tokens[k][0].isupper() and t.start[k] == t.end(k - 1) + 1:
@@ -225,6 +239,8 @@ def candidates(t: Text, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int
     for i, j in runs(t):
         if _overlaps(t.start[i], t.end(j - 1), taken):
             continue
+        if j == i + 1 and (t.low[i] in _NO_NAME or len(t.low[i]) < 3) and t.tokens[j : j + 1] != [","]:
+            continue
         for k in range(i, j):
             if k == i or t.low[k] not in PARTICLES:
                 # A tail of one word, or one that begins with an initial, is a name only right behind the word that begins a sentence.
@@ -249,24 +265,30 @@ def find_names(t: Text, taken: list[tuple[int, int]], model: Model) -> list[tupl
         if not _overlaps(a, b, taken) and not _overlaps(a, b, found):
             found.append((a, b))
 
-    every = [(i, j, inverted, whole, t.left(i), t.right(j)) for i, j, inverted, whole in candidates(t, taken)]
-    every.sort(key=lambda x: (f"{x[4]}|{x[5]}" not in model.pair and x[4] not in model.left, not x[2], x[0], -x[1]))
-    for i, j, inverted, whole, left, right in every:
-        first, last = _spoken(t.tokens[i:j], inverted)
-        many = inverted or sum(1 for x in t.tokens[i:j] if x[0].isupper()) > 1
-        context = f"{left}|{right}" in model.pair or (whole or many) and (left in model.left or whole and right in model.right)
-        if inverted:
-            if first in model.first and (context or seeded(t, i) or last in model.last or (last not in model.first)):
-                take(i, j)
-        elif whole and seeded(t, i) or context or many and (first in model.first or last in model.last and len(term(t.tokens[i])) == 1):
-            take(i, j)
+    every = []
+    for i, j, inverted, whole in candidates(t, taken):
+        before, after = t.low[i - 1] if i else "\n", t.low[j] if j < len(t.low) else "."
+        side = before not in _BREAKS and before in model.triggers
+        ahead = ("." if after in _BREAKS else after) in model.after
+        left, right = (t.left(i), t.right(j)) if side or ahead else ("", "")
+        known = side and left in model.left or ahead and f"{left}|{right}" in model.pair
+        many = inverted or j - i > 1 and sum(1 for x in t.tokens[i:j] if x[0].isupper()) > 1
+        context = known and (f"{left}|{right}" in model.pair or whole or many) or ahead and whole and right in model.right
+        if context or many or whole and seeded(t, i):
+            every.append((not known, not inverted, i, -j, whole, many, context))
+    for _, straight, i, j, whole, many, context in sorted(every):
+        first, last = _spoken(t.tokens[i:-j], not straight)
+        if not straight:
+            if first in model.first and (context or seeded(t, i) or last in model.last or last not in model.first):
+                take(i, -j)
+        elif context or whole and seeded(t, i) or many and (first in model.first or last in model.last and len(term(t.tokens[i])) == 1):
+            take(i, -j)
     # Names in small letters stand in contexts only.
     n = len(t.tokens)
-    for i in range(n):
-        word = t.tokens[i]
-        if not word[0].islower() or word[0] == "_" or not ((before := t.low[i - 1] if i else "<s>") in model.before or i == 0 or before in ")—–" or t.ends_sentence(i - 1) or TITLE.match(t.tokens[i - 1])):
+    for i, (word, before) in enumerate(zip(t.tokens, ["\n", *t.low])):
+        if before not in model.triggers or not word[0].islower():
             continue
-        left = None
+        left, sure = None, seeded(t, i)
         for j in range(i + 1, min(i + 5, n) + 1):
             if j > i + 1 and (t.start[j - 1] != t.end(j - 2) + 1 or not t.tokens[j - 1][0].isalpha()):
                 break
@@ -274,7 +296,7 @@ def find_names(t: Text, taken: list[tuple[int, int]], model: Model) -> list[tupl
                 continue
             left = t.left(i) if left is None else left
             right = t.right(j)
-            if (f"{left}|{right}" in model.pair or seeded(t, i) and right[0] in ".,(" or left in model.left and (right in model.right or right[0] in ".,(")) and _plausible(t.tokens[i:j]) and (j - i > 1 or TITLE.match(t.tokens[i - 1] if i else "")):
+            if (f"{left}|{right}" in model.pair or sure and right[0] in ".,(" or left in model.left and (right in model.right or right[0] in ".,(")) and _plausible(t.tokens[i:j]) and (j - i > 1 or before in TITLES):
                 take(i, j)
                 break
     if _HAN.search(t.text):
@@ -307,7 +329,7 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
                 if not s:
                     continue
                 t = Text(s)
-                for m in PHONE.finditer(s):
+                for m in phones(s):
                     seen["number", t.left_of(m.start()), None, None, None, m[0][0] == "+" or m[0].startswith("00")] += 1
                 for i, j, inverted, whole in candidates(t, []):
                     seen["name", t.left(i), t.right(j), *_spoken(t.tokens[i:j], inverted), whole and seeded(t, i)] += 1
