@@ -1,7 +1,7 @@
 """Problem 4: rows of one firm under different spellings of its name.
 
 Names part into brand, trade and legal form. Brands meet in a prefix-filtered similarity join on letter q-grams (2 for short
-brands, 3 for long ones, both in between, so that a slip is never out of reach); each candidate is verified by a soft weighted
+brands, 4 for long ones, both in between, so that a slip is never out of reach); each candidate is verified by a soft weighted
 token similarity over brand, trade and country, in which a token weighs the logarithm of its rarity and a misspelt one
 counts in part, and by the information that agrees: it must outweigh the number of rows a stranger could be among. Equal
 keys under the same demand are linked as stars to the least row, never pairwise; connected components then give each row its
@@ -32,12 +32,14 @@ TRADES = tuple(
     "abrasives alloys aluminium castings cement ceramics chemicals engineering foundry furnaces glassworks industries insulation kilns limestone logistics materials metallurgy minerals nonferrous refractories steelworks technologies trading mining metals tools plastics foods textiles energy systems".split()
 )
 _OTHER_TRADES = {"trade": "trading", "nf": "nonferrous", "alu": "aluminium", "cmt": "cement", "industry": "industries", "foundries": "foundry", "refractory": "refractories", "technology": "technologies", "metallurgical": "metallurgy", "steel": "steelworks", "glass": "glassworks", "non": "nonferrous"}
-#: Least Jaccard of q-grams, least soft similarity, what a missing trade or country counts of its weight.
-T, SOFT, MISSING = 0.4, 0.72, 0.4
+#: Least Jaccard of the 2-grams of short brands and of the 4-grams of long ones.
+T_SHORT, T_LONG = 0.4, 0.24
+#: Least soft similarity, what a missing trade or country counts of its weight.
+SOFT, MISSING = 0.72, 0.4
 #: Information in natural units: of a letter of a brand, taken away by a slip, and by which agreement must exceed the logarithm of the number of rows.
 LETTER, SLIP, MARGIN = 1.5, 4.0, 2.0
-#: Longest brand with 2-grams and shortest with 3-grams; lengths between have both, as slips change the length by two at most.
-TWO, THREE = 13, 10
+#: Longest brand with 2-grams and shortest with 4-grams; lengths between have both, as slips change the length by two at most.
+SHORT, LONG = 13, 11
 
 
 def _within(short: str, long: str) -> bool:
@@ -139,35 +141,48 @@ def weighted(keyed: DataFrame, total: int) -> DataFrame:
     return out
 
 
-def similar_brands(keyed: DataFrame, t: float = T, total: int | None = None) -> DataFrame:
+def similar_brands(keyed: DataFrame, total: int | None = None) -> DataFrame:
     """``x, y, slips``: distinct brands at most two slips apart, by the prefix-filtered join on letter q-grams.
 
-    Rows of equal brands are one set. A brand's grams come from its words, so that words in another order or run
-    together keep most of them, and so do the slips: one slip in six letters or two in fourteen leave a Jaccard of 0.4. Brands meet
-    only if a trade or a country is common to rows of both, as no other pair is ever accepted; so a gram's pairs grow
-    with the firms of a trade or country, not with all firms that share the gram.
+    Rows of equal brands are one set. A brand's grams come from its words and from both ways to run them together, so that
+    words in another order or in one keep most of them, and so do slips: one in six letters leaves a Jaccard of 0.4 to the
+    2-grams of short brands, two in sixteen one of 0.24 to the 4-grams of long ones. Brands meet only if a trade or a country is
+    common to rows of both, as no other pair is ever accepted; so a gram's pairs grow with the firms of a trade or country,
+    not with all firms that share the gram.
     """
     brands = keyed.filter("joined <> ''").groupBy(F.col("joined").alias("w")).agg(F.min("brand").alias("brand"))
     words, n = F.split("brand", " "), F.length("w")
-    grams = lambda q, pad: F.flatten(F.transform(words, lambda v: F.when(F.length(F.concat(F.lit(pad), v, F.lit(pad))) >= q, F.transform(F.sequence(F.lit(1), F.length(v) + 2 * len(pad) - q + 1), lambda i: F.concat(F.lit(f"{q}"), F.substring(F.concat(F.lit(pad), v, F.lit(pad)), i, F.lit(q))))).otherwise(F.array(F.concat(F.lit(f"{q}"), v)))))
-    kinds = F.array_compact(F.array(F.when(n <= TWO, F.struct(F.lit(2).alias("q"), grams(2, "^").alias("tokens"))), F.when(n >= THREE, F.struct(F.lit(3).alias("q"), grams(3, "").alias("tokens")))))
-    sets = brands.select("w", F.explode(kinds).alias("k")).select(F.concat_ws("|", "k.q", "w").alias("id"), "w", F.array_distinct("k.tokens").alias("tokens"))
-    sets = cut_lineage(sets)
-    ordered = cut_lineage(in_rarity_order(sets, rarity(sets), "id").withColumn("w", F.substring("id", 3, 1_000_000_000)))
-    pre = with_prefix(ordered, "id", t).withColumn("w", F.substring("id", 3, 1_000_000_000))
+    both = F.when(F.size(words) > 1, F.concat(words, F.array(F.col("w"), F.array_join(F.reverse(words), "")))).otherwise(words)
+
+    def grams(parts: Column, q: int, pad: str) -> Column:
+        def of(v: Column) -> Column:
+            padded = F.concat(F.lit(pad), v, F.lit(pad))
+            each = F.transform(F.sequence(F.lit(1), F.length(padded) - q + 1), lambda i: F.concat(F.lit(f"{q}"), F.substring(padded, i, F.lit(q))))
+            return F.when(F.length(padded) >= q, each).otherwise(F.array(F.concat(F.lit(f"{q}"), padded)))
+
+        return F.flatten(F.transform(parts, of))
+
+    kinds = F.array_compact(F.array(F.when(n <= SHORT, F.struct(F.lit(2).alias("q"), grams(words, 2, "^").alias("tokens"))), F.when(n >= LONG, F.struct(F.lit(4).alias("q"), grams(both, 4, "").alias("tokens")))))
+    sets = cut_lineage(brands.select("brand", F.explode(kinds).alias("k")).select(F.concat_ws("|", "k.q", "brand").alias("id"), F.array_distinct("k.tokens").alias("tokens")))
+    ordered = cut_lineage(in_rarity_order(sets, rarity(sets), "id"))
+    short = F.col("id").startswith("2")
+    pre = with_prefix(ordered.filter(short), "id", T_SHORT).unionByName(with_prefix(ordered.filter(~short), "id", T_LONG))
+    joined = lambda c: F.replace(F.substring(c, 3, 1_000_000_000), F.lit(" "), F.lit(""))
     named = [F.concat(F.lit(f"{c}:"), F.col(c).cast("string")) for c in ("trade", "country")]
     blocks = keyed.select(F.col("joined").alias("w"), F.explode(F.array_compact(F.array(*named))).alias("block")).distinct()
-    placed = cut_lineage(pre.join(blocks, "w").select(F.xxhash64("token", "block").alias("token"), "id", "w", "n", "pos"))
-    met = met_pairs(placed, ["token"], {"id": "i", "w": "x", "n": "n", "pos": "pos"}, {"id": "j", "w": "y", "n": "m", "pos": "qos"}, total)
-    met = met.filter("x < y").filter(may_reach(F.col("n"), F.col("pos"), F.col("m"), F.col("qos"), t) & (F.abs(F.length("x") - F.length("y")) <= 2))
-    near = met.select("i", "j", "x", "y").distinct()
+    placed = pre.withColumn("w", joined("id")).join(blocks, "w").select(F.xxhash64("token", "block").alias("token"), "id", "n", "pos")
+    met = met_pairs(cut_lineage(placed), ["token"], {"id": "i", "n": "n", "pos": "pos"}, {"id": "j", "n": "m", "pos": "qos"}, total)
+    reach = lambda t: may_reach(F.col("n"), F.col("pos"), F.col("m"), F.col("qos"), t)
+    met = met.filter((F.col("i") < F.col("j")) & (F.abs(F.length("i") - F.length("j")) <= 3) & F.when(F.col("i").startswith("2"), reach(T_SHORT)).otherwise(reach(T_LONG)))
+    x, y = joined("i"), joined("j")
+    turned = F.array_join(F.reverse(F.split(F.substring("i", 3, 1_000_000_000), " ")), "")
+    near = met.filter((F.levenshtein(x, y, 2) >= 0) | (F.levenshtein(turned, y, 2) >= 0)).select("i", "j").distinct()
     a = ordered.select(F.col("id").alias("i"), F.col("tokens").alias("s"))
     b = ordered.select(F.col("id").alias("j"), F.col("tokens").alias("r"))
-    exact = near.join(a, "i").join(b, "j").filter(jaccard(F.col("s"), F.col("r")) >= t - 1e-9).select("x", "y").distinct()
-    both = exact.join(brands.select(F.col("w").alias("x"), F.col("brand").alias("bx")), "x")
-    turned = F.array_join(F.reverse(F.split("bx", " ")), "")
-    slips = F.array_min(F.filter(F.array(F.levenshtein("x", "y", 2), F.levenshtein(turned, F.col("y"), 2)), lambda d: d >= 0))
-    return both.select("x", "y", slips.alias("slips")).filter("slips is not null")
+    least = F.when(F.col("i").startswith("2"), T_SHORT).otherwise(T_LONG)
+    exact = near.join(a, "i").join(b, "j").filter(jaccard(F.col("s"), F.col("r")) >= least - 1e-9)
+    slips = F.array_min(F.filter(F.array(F.levenshtein(x, y, 2), F.levenshtein(turned, y, 2)), lambda d: d >= 0))
+    return exact.select(x.alias("x"), y.alias("y"), slips.alias("slips")).groupBy("x", "y").agg(F.min("slips").alias("slips"))
 
 
 def firm_links(keyed: DataFrame) -> DataFrame:
@@ -262,6 +277,6 @@ def firms(keyed: DataFrame) -> DataFrame:
 
 def firm_pairs(found: DataFrame) -> DataFrame:
     """``record_id_a, record_id_b`` of all pairs of rows of a firm, smaller id first; the result asked for is these pairs."""
-    many = found.filter("links > 0").select("record_id", "firm_id")
+    many = cut_lineage(found.filter("links > 0").select("record_id", "firm_id"))
     pairs = met_pairs(many, ["firm_id"], {"record_id": "record_id_a"}, {"record_id": "record_id_b"})
     return pairs.filter("record_id_a < record_id_b").select("record_id_a", "record_id_b")
