@@ -19,7 +19,8 @@ from assaykit.plans.runtime import cut_lineage
 
 #: Distinct lengths that one dynamic program looks at: the longest that fit, and the shortest.
 WINDOW = 64
-BUCKETS = 256
+#: Least number of hash buckets by which the items of a length are ranked, and items a bucket beyond it.
+BUCKETS, BUCKET_ITEMS = 256, 50_000
 
 
 def fill(capacity: int, counts: list[tuple[int, int]]) -> Counter:
@@ -90,7 +91,9 @@ def containers(sized: DataFrame, capacity: int, key: str = "doc_id", window: int
     rows = sized.filter(F.col("tokens") > 0).select(key, F.col("tokens").cast("bigint").alias("size"), F.xxhash64(F.lit(31), key).alias("_h"))
     cuts = F.expr(f"sequence(0L, (size - 1) div {capacity}L)")
     items = rows.select(key, "_h", "size", F.explode(cuts).alias("piece")).select(key, "_h", "piece", (F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity).cast("bigint"), F.col("size") - F.col("piece") * capacity).alias("tokens"))
-    items = cut_lineage(items.withColumn("bucket", F.pmod(F.col("_h") + F.col("piece") * 40503, F.lit(BUCKETS))))
+    pieces = rows.agg(F.sum(F.expr(f"(size - 1) div {capacity}L + 1"))).first()[0] or 0
+    buckets = max(BUCKETS, -(-pieces // BUCKET_ITEMS))
+    items = cut_lineage(items.withColumn("bucket", F.pmod(F.col("_h") + F.col("piece") * 40503, F.lit(buckets))))
     # Ranks within a length: sums by (length, bucket) give each bucket its first rank, so that no length is ever in one task.
     sums = items.groupBy("tokens", "bucket").agg(F.count(F.lit(1)).alias("n"))
     firsts = sums.select("tokens", "bucket", "n", (F.sum("n").over(Window.partitionBy("tokens").orderBy("bucket")) - F.col("n")).alias("first"))
@@ -107,7 +110,7 @@ def containers(sized: DataFrame, capacity: int, key: str = "doc_id", window: int
     per_length = table.groupBy("tokens").agg(F.array_sort(F.collect_list(F.struct("from_rank", "to_rank", "each", "first_id"))).alias("ranges"))
     rank = F.row_number().over(Window.partitionBy("tokens", "bucket").orderBy("_h", key, "piece")) - 1
     ranked = items.withColumn("_r", rank).join(firsts.select("tokens", "bucket", "first"), ["tokens", "bucket"])
-    ranked = ranked.withColumn("rank", F.col("first") + F.col("_r")).join(F.broadcast(per_length), "tokens")
+    ranked = ranked.withColumn("rank", F.col("first") + F.col("_r")).join(F.broadcast(per_length), "tokens")  # one row a length, at most `capacity`
     hit = F.element_at(F.filter("ranges", lambda x: (x["from_rank"] <= F.col("rank")) & (F.col("rank") < x["to_rank"])), 1)
     ranked = ranked.withColumn("hit", hit)
     place = F.col("hit.first_id") + F.expr("(rank - hit.from_rank) div hit.each")

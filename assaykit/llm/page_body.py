@@ -25,7 +25,7 @@ from assaykit.llm.line_model import LineModel, MessageModel, Place, fit, fit_mes
 from assaykit.llm.page_lines import seed
 from assaykit.llm.residue import LONGEST, has_open_slot, is_bad_part, is_message, lorem_like, title_parts
 from assaykit.llm.textforms import words_of
-from assaykit.plans.runtime import bounded_broadcast, cut_lineage, heavy_safe_join
+from assaykit.plans.runtime import cut_lineage, heavy_safe_join
 
 #: Weights of the smoothness edges: neighbours of one form, bare words and what follows them, other neighbours, next but one; share of it across a blank line.
 SAME, LEADS, OTHER, BLOCK, ACROSS = 1.5, 1.5, 0.8, 0.4, 0.3
@@ -266,10 +266,13 @@ def residue_titles(rows: DataFrame, key: str, title: str, messages: DataFrame |
     found = cut_lineage(titles.select("title", "n", F.explode(parts("title")).alias("p")).select("title", "n", "p.*"))
     bad = found.filter("bad").select("title", "n")
     if messages is not None:
-        templates = messages.groupBy("leaf", "template").agg(F.max(F.when(F.col("template").isNull(), F.col("line"))).alias("line")).filter("template is not null").select("leaf", "template")
+        templates = messages.filter("template is not null").groupBy("leaf").agg(F.first("template").alias("template"))  # one a leaf
+        by_leaf = templates.join(found.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows")), "leaf")
+        fits = heavy_safe_join(found, cut_lineage(by_leaf), ["leaf"], "rows").filter(_agree(F.col("line"), F.col("template")) >= AGREE)
         single = messages.filter("template is null and leaf <> 'long'").select("leaf", "line")
-        fits = found.join(bounded_broadcast(templates, 20_000), "leaf").filter(_agree(F.col("line"), F.col("template")) >= AGREE)
-        bad = bad.unionByName(fits.select("title", "n")).unionByName(found.join(single, ["leaf", "line"], "left_semi").select("title", "n"))
+        by_line = single.join(found.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("rows")), ["leaf", "line"])
+        same = heavy_safe_join(found, cut_lineage(by_line), ["leaf", "line"], "rows")
+        bad = bad.unionByName(fits.select("title", "n")).unionByName(same.select("title", "n"))
     return heavy_safe_join(asked, cut_lineage(bad.distinct()), ["title"], "n").select("row_id")
 
 

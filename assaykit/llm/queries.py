@@ -97,6 +97,13 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_shares(source_mix(_sized(spark, sf_dir), targets), targets)
 
 
+def p7_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of a mix as large as all documents: sources too small for their share give all that their repeats allow."""
+    targets, sized = load_table(spark, sf_dir, "source_targets"), _sized(spark, sf_dir)
+    total = sized.agg(F.sum("tokens")).first()[0] or 0
+    return mix_shares(source_mix(sized, targets, total=total), targets)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pd8.personal_values(pd8.personal_spans(load_table(spark, sf_dir, "documents")))
 
@@ -106,7 +113,7 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pd8.redacted(docs, pd8.personal_spans(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_firms": p4_firms, "p5_found": p5_found, "p3_counts": p3_counts, "p6_packing": p6_packing, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_firms": p4_firms, "p5_found": p5_found, "p3_counts": p3_counts, "p6_packing": p6_packing, "p6_report": p6_report, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_capped": p7_capped, "p8_found": p8_found, "p8_redacted": p8_redacted}
 _AROUND = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(160) || chr(12288) || chr(8203) || chr(65279) || '\"''`<>()[]{}«»‹›“”„‘’.,;:!?…'"
 _STAND_INS = ", ".join(f"'{x}'" for x in ac.STAND_INS)
 _CANON = f"""rows as (select 'sources' as table_name, source_row as row_id, url as a from sources union all select 'input_records', record_id, website from input_records),
