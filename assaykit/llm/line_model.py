@@ -98,16 +98,11 @@ class LineModel:
 
     def __init__(self, weights: dict[str, float] | None = None) -> None:
         self.weights = weights or {}
-        get, known = self.weights.get, self.weights.keys()
+        get, weight, known = self.weights.get, self.weights.__getitem__, frozenset(self.weights)
         @lru_cache(maxsize=50_000)
         def own(line: str) -> float:
             words = words_of(line)
-            x = get("", 0.0)
-            for f in known & set(words):
-                x += self.weights[f]
-            for f in form_features(line, words):
-                x += get(f, 0.0)
-            return x
+            return get("", 0.0) + sum(map(weight, known.intersection(words))) + sum(map(weight, known.intersection(form_features(line, words))))
 
         @lru_cache(maxsize=1_000)
         def at(place: Place) -> float:
@@ -122,17 +117,24 @@ class LineModel:
 
 def logistic(rows: list[tuple[str, ...]], labels: np.ndarray, least: int = LEAST_LINES) -> dict[str, float]:
     """Weights of a logistic regression, both classes weighing alike, by full steps with a scale of its own for each weight."""
-    counts = Counter(f for r in rows for f in r)
+    alike = Counter(zip(rows, labels.tolist()))  # equal rows are one with a weight
+    counts: Counter = Counter()
+    for (r, _), k in alike.items():
+        for f in r:
+            counts[f] += k
     index = {f: k for k, f in enumerate((f for f, n in counts.items() if n >= least), 1)}
-    row, column = [], []
-    for i, r in enumerate(rows):
+    sizes, column = [], []
+    for r, _ in alike:
         known = [index[f] for f in r if f in index]
-        row.extend([i] * (len(known) + 1))
-        column.extend([0, *known])
-    row, column, y = np.asarray(row), np.asarray(column), labels.astype(float)
+        sizes.append(len(known) + 1)
+        column.append(0)
+        column.extend(known)
+    row, column = np.repeat(np.arange(len(sizes)), sizes), np.asarray(column)
+    y, k = np.asarray([float(y) for _, y in alike]), np.asarray(list(alike.values()), dtype=float)
     if not len(y) or y.min() == y.max():
         return {}
-    each = np.where(y > 0.5, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
+    share = (y * k).sum() / k.sum()
+    each = k * np.where(y > 0.5, 0.5 / share, 0.5 / (1 - share)) / k.sum()
     w, scale = np.zeros(len(index) + 1), np.full(len(index) + 1, 1e-12)
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[column], len(y)), -30, 30)))

@@ -25,12 +25,12 @@ from assaykit.llm.line_model import LineModel, MessageModel, Place, fit, fit_mes
 from assaykit.llm.page_lines import seed
 from assaykit.llm.residue import LONGEST, has_open_slot, is_bad_part, is_message, lorem_like, title_parts
 from assaykit.llm.textforms import words_of
-from assaykit.plans.runtime import cut_lineage, heavy_safe_join
+from assaykit.plans.runtime import BROADCAST_ROWS, at_most, cut_lineage, heavy_safe_join
 
 #: Weights of the smoothness edges: neighbours of one form, bare words and what follows them, other neighbours, next but one; share of it across a blank line.
 SAME, LEADS, OTHER, BLOCK, ACROSS = 1.5, 1.5, 0.8, 0.4, 0.3
 #: Packs at most to which the line model is fitted.
-FIT_PACKS = 1000
+FIT_PACKS = 800
 #: Prefix tree: words that lead to a leaf after the number of words, most words of a line that merges with others, share of words in which it must agree.
 DEPTH, MOST_WORDS, AGREE = 2, 40, 0.5
 #: A section is lone if its content, messages aside, has at most this size; a template is a message if so large a share of it stands in lone sections, and they sound so much like one there on average.
@@ -199,6 +199,13 @@ def parsed(packs: DataFrame, most: int = FIT_PACKS) -> DataFrame:
     return packs.select(F.col("bundle_id").cast("bigint").alias("bundle_id"), "text").mapInArrow(run, SECTION_DDL)
 
 
+def _met(rows: DataFrame, mapping: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """Join with a mapping of one row a key: by broadcast if it is proven small, else by a join that parts hot keys."""
+    if at_most(mapping, BROADCAST_ROWS):
+        return rows.join(F.broadcast(mapping), keys, how)
+    return heavy_safe_join(rows, mapping, keys, count, how=how)
+
+
 def _agree(line: Column, template: Column) -> Column:
     """Share of a line's words that its leaf's template has at the same place."""
     return F.size(F.filter(F.zip_with(F.split(line, " "), template, lambda a, b: F.equal_null(a, b)), lambda x: x)) / F.size(template)
@@ -217,12 +224,12 @@ def message_templates(units: DataFrame) -> DataFrame:
     words = words.groupBy("leaf", "pos", "word").agg(F.sum("lone").alias("k")).groupBy("leaf", "pos").agg(F.max_by("word", F.struct("k", "word")).alias("word"))
     templates = words.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]).alias("template"))
     templates = templates.join(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows")), "leaf")
-    merged = heavy_safe_join(lines, cut_lineage(templates), ["leaf"], "rows", how="left").drop("rows")
+    merged = _met(lines, cut_lineage(templates), ["leaf"], "rows", how="left").drop("rows")
     merged = merged.withColumn("template", F.when(_agree(F.col("line"), F.col("template")) >= AGREE, F.col("template"))).withColumn("key", F.when(F.col("template").isNull(), F.col("line")))
     total = merged.groupBy("leaf", "key").agg(F.sum("n").alias("seen"), F.sum("lone").alias("alone"), F.sum("said").alias("said"), F.count(F.lit(1)).alias("rows"))
     bad = total.filter((F.col("alone") > 0) & (F.col("said") >= SOUNDS * F.col("alone")) & (F.col("alone") >= LONE_SHARE * F.col("seen"))).withColumn("key", F.coalesce("key", F.lit("")))
     marked = merged.withColumn("key", F.coalesce("key", F.lit("")))
-    return heavy_safe_join(marked, cut_lineage(bad.select("leaf", "key", "rows")), ["leaf", "key"], "rows").select("leaf", "line", "template", "n", "lone")
+    return _met(marked, cut_lineage(bad.select("leaf", "key", "rows")), ["leaf", "key"], "rows").select("leaf", "line", "template", "n", "lone")
 
 
 def section_units(parts: DataFrame) -> DataFrame:
@@ -234,7 +241,7 @@ def residue_sections(parts: DataFrame, messages: DataFrame | None = None) -> Dat
     units = section_units(parts)
     messages = message_templates(units) if messages is None else messages
     bad = messages.select("leaf", "line", "n", F.lit(True).alias("message"))
-    judged = heavy_safe_join(units, bad, ["leaf", "line"], "n", how="left").withColumn("out", (F.col("mark").bitwiseAND(SLOTTED) > 0) | F.col("message").isNotNull())
+    judged = _met(units, cut_lineage(bad), ["leaf", "line"], "n", how="left").withColumn("out", (F.col("mark").bitwiseAND(SLOTTED) > 0) | F.col("message").isNotNull())
     real = ~F.col("out") & (F.col("mark").bitwiseAND(CONTENT) > 0)
     per = judged.groupBy("bundle_id", "section").agg(F.sum(F.col("out").cast("int")).alias("n_out"), F.sum(real.cast("int")).alias("n_real"))
     return per.filter("n_out > 0 and n_real = 0").select("bundle_id", "section")
@@ -266,14 +273,14 @@ def residue_titles(rows: DataFrame, key: str, title: str, messages: DataFrame |
     found = cut_lineage(titles.select("title", "n", F.explode(parts("title")).alias("p")).select("title", "n", "p.*"))
     bad = found.filter("bad").select("title", "n")
     if messages is not None:
+        # Each different part meets the templates once.
+        once = found.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("rows"))
         templates = messages.filter("template is not null").groupBy("leaf").agg(F.first("template").alias("template"))  # one a leaf
-        by_leaf = templates.join(found.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows")), "leaf")
-        fits = heavy_safe_join(found, cut_lineage(by_leaf), ["leaf"], "rows").filter(_agree(F.col("line"), F.col("template")) >= AGREE)
-        single = messages.filter("template is null and leaf <> 'long'").select("leaf", "line")
-        by_line = single.join(found.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("rows")), ["leaf", "line"])
-        same = heavy_safe_join(found, cut_lineage(by_line), ["leaf", "line"], "rows")
-        bad = bad.unionByName(fits.select("title", "n")).unionByName(same.select("title", "n"))
-    return heavy_safe_join(asked, cut_lineage(bad.distinct()), ["title"], "n").select("row_id")
+        fits = once.join(templates, "leaf").filter(_agree(F.col("line"), F.col("template")) >= AGREE).select("leaf", "line", "rows")
+        same = once.join(messages.filter("template is null and leaf <> 'long'").select("leaf", "line"), ["leaf", "line"], "left_semi")
+        hit = cut_lineage(fits.unionByName(same).distinct())
+        bad = bad.unionByName(_met(found, hit, ["leaf", "line"], "rows").select("title", "n"))
+    return _met(asked, cut_lineage(bad.distinct()), ["title"], "n").select("row_id")
 
 
 __all__ = ["furniture_lines", "labelled", "leaf_of", "message_templates", "parsed", "residue_sections", "residue_titles", "section_units", "sections"]
