@@ -155,7 +155,7 @@ def seeded(t: Text, i: int) -> bool:
     return t.tokens[j] == ":" and j > 0 and bool(ROLE.search(t.low[j - 1]))
 
 
-def learned(stats: DataFrame, kinds: tuple[str, ...], hit: Column, least: dict[str, float] = LEAST) -> DataFrame:
+def learned(stats: DataFrame, kinds: tuple[str, ...], hit: Column, least: dict[str, float] = LEAST, seen: int = LEAST_SEEN) -> DataFrame:
     """``kind, key, share, bits, n``: keys that disclose. ``stats(left, right, first, last, n, ...)``, ``hit`` says which rows count as entities."""
     both, name = F.concat_ws("|", "left", "right"), F.concat_ws(" ", "first", "last")
     key = {"pair": (both, F.col("first")), "left": (F.col("left"), F.col("first")), "right": (F.col("right"), F.col("first")), "first": (F.col("first"), F.concat(both, name)), "last": (F.col("last"), F.concat(both, name))}
@@ -169,7 +169,7 @@ def learned(stats: DataFrame, kinds: tuple[str, ...], hit: Column, least: dict[s
     p = max(h / max(n, 1), 1e-12)
     share = F.col("h") / F.col("n")
     level = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in least.items()])
-    enough = (F.col("h") >= F.lit(max(LEAST_SEEN, h * LEAST_RATE))) & (F.col("partners") >= 2) & F.col("key").isNotNull() & (F.col("key") != "")
+    enough = (F.col("h") >= F.lit(max(seen, h * LEAST_RATE))) & (F.col("partners") >= seen) & F.col("key").isNotNull() & (F.col("key") != "")
     return got.filter(enough).select("kind", "key", share.alias("share"), F.log2(share / F.lit(p)).alias("bits"), "n").filter((F.col("bits") >= F.least(F.lit(BITS), F.log2(F.lit(1 / p)) / 2)) & (F.col("share") >= level))
 
 
@@ -184,7 +184,8 @@ def person_keys(stats: DataFrame, turns: int = TURNS) -> DataFrame:
 
     One word alone (``first`` equals ``last``) is no person by its term: machines and towns bear first names, too.
     """
-    terms = cut_lineage(learned(stats, ("first",), F.col("sure"), {"first": 0.02}))
+    # A sure full name tells its first term by itself; contexts need two of them.
+    terms = cut_lineage(learned(stats, ("first",), F.col("sure") & (F.col("first") != F.col("last")), {"first": 0.02}, 1))
     for turn in range(turns):
         known = _known(stats, terms, "first", F.col("first"), "_f")
         keys = cut_lineage(terms.unionByName(learned(known, ("pair", "left", "right"), F.col("sure") | F.col("_f") & (F.col("first") != F.col("last"))).filter(F.regexp_replace("key", "<s>", "").rlike(r"\p{L}"))))
