@@ -62,11 +62,11 @@ def query_sections(results: DataFrame, key: str, text: str, slots: list[str]) ->
 def markdown_table(lines: DataFrame, columns: list[str], text: str = "value") -> DataFrame:
     """Rows of a Markdown table with these columns; honours ``\\|``, drops bold marks, heading and rule lines.
 
-    The first column must be a number; other lines are left out.
+    The first column must be a number, given as a bigint; other lines are left out.
     """
     cells = F.transform(F.split(F.regexp_replace(F.col(text), r"^\s*\||\|\s*$", ""), r"(?<!\\)\|"), lambda c: F.replace(F.regexp_replace(F.trim(c), r"\*\*", ""), F.lit("\\|"), F.lit("|")))
     rows = lines.filter(F.col(text).rlike(r"^\s*\|")).select(cells.alias("c")).filter((F.size("c") == len(columns)) & F.col("c")[0].rlike(r"^\d+$"))
-    return rows.select(F.col("c")[0].cast("int").alias(columns[0]), *[F.col("c")[i].alias(n) for i, n in enumerate(columns[1:], 1)])
+    return rows.select(F.col("c")[0].cast("bigint").alias(columns[0]), *[F.col("c")[i].alias(n) for i, n in enumerate(columns[1:], 1)])
 
 
 def pack_urls(text: Column) -> Column:

@@ -22,7 +22,7 @@ from assaykit.operators import parsers as ps
 from assaykit.operators import rendering as rd
 from assaykit.operators import retrieval as rt
 from assaykit.operators import review as rv
-from assaykit.plans.runtime import shared_folder
+from assaykit.plans.runtime import at_most, shared_folder
 from assaykit.sources.records import json_records, markdown_records, with_input_ids
 from assaykit.sources.sinks import write_json
 from assaykit.sources.tables import load_table
@@ -250,11 +250,12 @@ def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def markdown_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Records written as a Markdown table and read back; line breaks and marks of emphasis are lost in it."""
+    """Records written as a Markdown table and read back; line breaks and marks of emphasis are lost in it. Ids are int as in the SQL, bigint where one does not fit."""
     folder = shared_folder(spark, "table")
     rows = load_table(spark, d, "input_records").select("record_id", "name", "industry")
     rows.select(rv.markdown_line(*[F.col(c) for c in ("record_id", "name", "industry")]).alias("value")).write.text(folder)
-    return markdown_records(spark, folder, ["record_id", "name", "industry"])
+    fits = at_most(rows.filter(~F.col("record_id").between(-(2**31), 2**31 - 1)), 0)
+    return markdown_records(spark, folder, ["record_id", "name", "industry"]).withColumn("record_id", F.col("record_id").cast("int" if fits else "bigint"))
 
 
 def input_ids(spark: SparkSession, d: str) -> DataFrame:

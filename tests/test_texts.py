@@ -130,3 +130,14 @@ def test_same_rows(spark, con, name):  # noqa: F811
     names = [d[0] for d in ran.description]
     assert sorted(names) == columns and got
     assert got == sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in ran.fetchall()), key=str)
+
+
+def test_markdown_round_trip_of_large_ids(spark, rows, tmp_path):
+    from assaykit.operators.texts import markdown_round_trip
+
+    for first, kind in ((7, "int"), (60_000_000_001, "bigint")):
+        d = tmp_path / kind
+        spark.createDataFrame([(first, "a|b", "x\ny"), (first + 1, None, "**z**")], "record_id bigint, name string, industry string").write.parquet(f"{d}/input_records.parquet")
+        got = markdown_round_trip(spark, str(d))
+        assert dict(got.dtypes)["record_id"] == kind
+        assert rows(got) == [(first, "a|b", "x y"), (first + 1, "", "z")]
