@@ -1,8 +1,8 @@
 """Problem 4: rows of one firm under different spellings of its name.
 
-Names part into brand, trade and legal form. Brands meet in a prefix-filtered similarity join on letter q-grams (2 for short
-brands, 4 for long ones, both in between, so that a slip is never out of reach); each candidate is verified by a soft weighted
-token similarity over brand, trade and country, in which a token weighs the logarithm of its rarity and a misspelt one
+Names part into brand, trade and legal form. Brands meet at equal segments, of which two slips leave one whole, and are
+compared by letter q-grams (2 for short brands, 4 for long ones, both in between, so that a slip is never out of reach); each
+candidate is verified by a soft weighted token similarity over brand, trade and country, in which a token weighs the logarithm of its rarity and a misspelt one
 counts in part, and by the information that agrees: it must outweigh the number of rows a stranger could be among. Equal
 keys under the same demand are linked as stars to the least row, never pairwise; connected components then give each row its
 firm.
@@ -12,15 +12,16 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable, Iterable
 from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assaykit.llm.setjoin import in_rarity_order, jaccard, may_reach, met_pairs, rarity, with_prefix
+from assaykit.llm.setjoin import TOGETHER, jaccard, met_pairs
 from assaykit.llm.textforms import fold, osa
-from assaykit.plans.runtime import bounded_broadcast, connected_components, cut_lineage, heavy_safe_join
+from assaykit.plans.runtime import HEAVY, at_most, bounded_broadcast, connected_components, cut_lineage, heavy_safe_join
 
 #: Words of legal forms and others that name no firm.
 LEGAL = frozenset(
@@ -40,6 +41,8 @@ SOFT, MISSING = 0.72, 0.4
 LETTER, SLIP, MARGIN = 1.5, 4.0, 2.0
 #: Longest brand with 2-grams and shortest with 4-grams; lengths between have both, as slips change the length by two at most.
 SHORT, LONG = 13, 11
+#: Places of a segment that two slips leave whole: ``(segment, letters that the other form has more, letters by which the segment is moved)``.
+PLACES = tuple((k, more, shift) for more in range(-2, 3) for k in range(3) for shift in range(max(-k, more - 2 + k), min(k, more + 2 - k) + 1))
 
 
 def _within(short: str, long: str) -> bool:
@@ -47,6 +50,25 @@ def _within(short: str, long: str) -> bool:
     return all(c in it for c in short)
 
 
+def _shortened(word: str) -> list[str]:
+    """The word itself and without any one of its letters: two words one slip apart have one of these in common."""
+    return [word, *(word[:i] + word[i + 1 :] for i in range(len(word)))]
+
+
+def _listed(keys: Callable[[str], Iterable[str]]) -> dict[str, tuple[str, ...]]:
+    """Trades by their keys, in the order of the list."""
+    out: dict[str, list[str]] = {}
+    for t in TRADES:
+        for k in dict.fromkeys(keys(t)):
+            out.setdefault(k, []).append(t)
+    return {k: tuple(v) for k, v in out.items()}
+
+
+#: Trades by what a word must share with them: their beginning, a form without one letter, their first letter.
+_BY_START, _BY_SLIP, _BY_LETTER = _listed(lambda t: [t[:3]]), _listed(_shortened), _listed(lambda t: [t[0]])
+_VOWELS = re.compile(r"[aeiou].*[aeiou]")
+
+
 @lru_cache(maxsize=50_000)
 def trade_of(word: str) -> str | None:
     """The line of business a word stands for: itself, a cut or contracted form, or one slip away; else None."""
@@ -56,15 +78,18 @@ def trade_of(word: str) -> str | None:
         return _OTHER_TRADES[word]
     if len(word) < 2:
         return None
-    for t in TRADES:
+    for t in _BY_START.get(word[:3], ()):
         if t.startswith(word) and len(word) >= 3 or len(word) >= 5 and word[:5] == t[:5] and osa(word, t, 2) <= 2:
             return t
-    for t in TRADES:
-        if len(word) >= 5 and osa(word, t, 1) <= 1:
-            return t
-    for t in TRADES:
-        if word[0] == t[0] and 3 <= len(word) <= len(t) - 2 and word[-1] in (t[-1], t[-2], "g", "s") and _within(word, t) and not re.search(r"[aeiou].*[aeiou]", word[1:]):
-            return t
+    if len(word) >= 5:
+        near = {t for k in _shortened(word) for t in _BY_SLIP.get(k, ())}
+        for t in sorted(near, key=TRADES.index):
+            if osa(word, t, 1) <= 1:
+                return t
+    if len(word) >= 3 and not _VOWELS.search(word, 1):
+        for t in _BY_LETTER.get(word[0], ()):
+            if len(word) <= len(t) - 2 and word[-1] in (t[-1], t[-2], "g", "s") and _within(word, t):
+                return t
     return None
 
 
@@ -126,10 +151,15 @@ def firm_keys(rows: DataFrame, countries: DataFrame | None = None) -> DataFrame:
     return cut_lineage(named)
 
 
+def _counted(mapping: DataFrame, total: int) -> DataFrame:
+    """``mapping`` written once where ``heavy_safe_join`` will look for hot keys in it, so that it is not made twice."""
+    return cut_lineage(mapping) if total > HEAVY else mapping
+
+
 def _stars(keys: DataFrame, total: int) -> DataFrame:
-    """Edges from each row of ``keys(key, record_id)`` to the least row of the same key."""
-    least = keys.groupBy("key").agg(F.min("record_id").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return heavy_safe_join(keys, least, ["key"], "n", total=total).filter("record_id <> least").select(F.col("record_id").alias("a"), F.col("least").alias("b"))
+    """Edges from each row of ``keys(key, record_id, trade)`` to the least row of the same key; none for keys of several trades."""
+    least = keys.groupBy("key").agg(F.min("record_id").alias("least"), F.count(F.lit(1)).alias("n"), F.min("trade").alias("low"), F.max("trade").alias("high")).filter("n > 1 and (low is null or low = high)").select("key", "least", "n")
+    return heavy_safe_join(keys.select("key", "record_id"), _counted(least, total), ["key"], "n", total=total).filter("record_id <> least").select(F.col("record_id").alias("a"), F.col("least").alias("b"))
 
 
 def weighted(keyed: DataFrame, total: int) -> DataFrame:
@@ -141,48 +171,73 @@ def weighted(keyed: DataFrame, total: int) -> DataFrame:
     return out
 
 
-def similar_brands(keyed: DataFrame, total: int | None = None) -> DataFrame:
-    """``x, y, slips``: distinct brands at most two slips apart, by the prefix-filtered join on letter q-grams.
+def _segments(form: Column, block: Column, k: Column, length: Column, shift: Column) -> tuple[Column, Column]:
+    """Key of what stands in ``form`` where segment ``k`` of a form of this length would stand, moved by ``shift``; and whether it is inside."""
+    third = lambda i: F.floor((length + i) / 3).cast("int")
+    start = F.when(k == 0, 0).when(k == 1, third(0)).otherwise(third(0) + third(1)) + shift
+    inside = (length > 0) & (start >= 0) & (start + third(k) <= F.length(form))
+    return F.xxhash64(block, length, k, F.substring(form, start + 1, third(k))), inside
+
+
+def _joined(c: str) -> Column:
+    return F.replace(F.col(c), F.lit(" "), F.lit(""))
 
-    Rows of equal brands are one set. A brand's grams come from its words and from both ways to run them together, so that
-    words in another order or in one keep most of them, and so do slips: one in six letters leaves a Jaccard of 0.4 to the
-    2-grams of short brands, two in sixteen one of 0.24 to the 4-grams of long ones. Brands meet only if a trade or a country is
-    common to rows of both, as no other pair is ever accepted; so a gram's pairs grow with the firms of a trade or country,
-    not with all firms that share the gram.
+
+def _turned(c: str) -> Column:
+    return F.array_join(F.reverse(F.split(F.col(c), " ")), "")
+
+
+def met_brands(placed: DataFrame, total: int | None = None, together: int = TOGETHER) -> DataFrame:
+    """``i, j``: brands of ``placed(w, brand, block)`` of one block that may be at most two slips apart, each pair once or more.
+
+    A brand is written with its words run together in both orders. Of a form parted in three segments, two slips leave one
+    whole, with at most as many slips before it as there are segments before it and the rest behind it: so it stands in
+    the other brand at one of a few places (``PLACES``), and brands meet at equal segments only. Segments of more than
+    ``together`` brands are met in parts.
+    """
+    zero = F.lit(0)
+    own = placed.select("block", F.col("brand").alias("i"), F.explode(F.array_distinct(F.array(F.col("w"), _turned("brand")))).alias("form")).select("*", F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
+    own = own.select(_segments(F.col("form"), F.col("block"), F.col("k"), F.length("form"), zero)[0].alias("key"), "i")
+    there = placed.select("block", "w", F.col("brand").alias("j"), F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("k", "more", "shift"), p)]) for p in PLACES])).alias("p"))
+    key, inside = _segments(F.col("w"), F.col("block"), F.col("p.k"), F.length("w") - F.col("p.more"), F.col("p.shift"))
+    there = there.filter(inside).select(key.alias("key"), "j")
+    if total is None or total > together:
+        hot = own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > together).select("key", F.ceil(F.col("n") / together).cast("int").alias("parts"))
+        if not at_most(hot, 0):
+            hot = bounded_broadcast(cut_lineage(hot))
+            parts = F.coalesce("parts", F.lit(1))
+            own = own.join(hot, "key", "left").select(F.xxhash64("key", F.pmod(F.xxhash64("i"), parts)).alias("key"), "i")
+            there = there.join(hot, "key", "left").select("key", "j", F.explode(F.sequence(zero, parts - 1)).alias("part")).select(F.xxhash64("key", F.col("part").cast("bigint")).alias("key"), "j")
+    return own.join(there, "key").filter((F.col("i") < F.col("j")) & (F.abs(F.length("i") - F.length("j")) <= 3)).select("i", "j")
+
+
+def similar_brands(keyed: DataFrame, total: int | None = None, together: int = TOGETHER) -> DataFrame:
+    """``x, y, slips``: distinct brands at most two slips apart whose letter q-grams agree.
+
+    Rows of equal brands are one set. Brands meet only if a trade or a country is common to rows of both, as no other pair is
+    ever accepted. Pairs that met are compared: they are at most two slips apart, in either order of the words of the
+    first, and reach the least Jaccard of the 2-grams of short brands or of the 4-grams of long ones. One slip in six
+    letters leaves 0.4 of the 2-grams, two in sixteen leave 0.24 of the 4-grams.
     """
     brands = keyed.filter("joined <> ''").groupBy(F.col("joined").alias("w")).agg(F.min("brand").alias("brand"))
-    words, n = F.split("brand", " "), F.length("w")
-    both = F.when(F.size(words) > 1, F.concat(words, F.array(F.col("w"), F.array_join(F.reverse(words), "")))).otherwise(words)
-
-    def grams(parts: Column, q: int, pad: str) -> Column:
-        def of(v: Column) -> Column:
-            padded = F.concat(F.lit(pad), v, F.lit(pad))
-            each = F.transform(F.sequence(F.lit(1), F.length(padded) - q + 1), lambda i: F.concat(F.lit(f"{q}"), F.substring(padded, i, F.lit(q))))
-            return F.when(F.length(padded) >= q, each).otherwise(F.array(F.concat(F.lit(f"{q}"), padded)))
-
-        return F.flatten(F.transform(parts, of))
-
-    kinds = F.array_compact(F.array(F.when(n <= SHORT, F.struct(F.lit(2).alias("q"), grams(words, 2, "^").alias("tokens"))), F.when(n >= LONG, F.struct(F.lit(4).alias("q"), grams(both, 4, "").alias("tokens")))))
-    sets = cut_lineage(brands.select("brand", F.explode(kinds).alias("k")).select(F.concat_ws("|", "k.q", "brand").alias("id"), F.array_distinct("k.tokens").alias("tokens")))
-    ordered = cut_lineage(in_rarity_order(sets, rarity(sets), "id"))
-    short = F.col("id").startswith("2")
-    pre = with_prefix(ordered.filter(short), "id", T_SHORT).unionByName(with_prefix(ordered.filter(~short), "id", T_LONG))
-    joined = lambda c: F.replace(F.substring(c, 3, 1_000_000_000), F.lit(" "), F.lit(""))
     named = [F.concat(F.lit(f"{c}:"), F.col(c).cast("string")) for c in ("trade", "country")]
-    blocks = keyed.select(F.col("joined").alias("w"), F.explode(F.array_compact(F.array(*named))).alias("block")).distinct()
-    placed = pre.withColumn("w", joined("id")).join(blocks, "w").select(F.xxhash64("token", "block").alias("token"), "id", "n", "pos")
-    met = met_pairs(cut_lineage(placed), ["token"], {"id": "i", "n": "n", "pos": "pos"}, {"id": "j", "n": "m", "pos": "qos"}, total)
-    reach = lambda t: may_reach(F.col("n"), F.col("pos"), F.col("m"), F.col("qos"), t)
-    met = met.filter((F.col("i") < F.col("j")) & (F.abs(F.length("i") - F.length("j")) <= 3) & F.when(F.col("i").startswith("2"), reach(T_SHORT)).otherwise(reach(T_LONG)))
-    x, y = joined("i"), joined("j")
-    turned = F.array_join(F.reverse(F.split(F.substring("i", 3, 1_000_000_000), " ")), "")
-    near = met.filter((F.levenshtein(x, y, 2) >= 0) | (F.levenshtein(turned, y, 2) >= 0)).select("i", "j").distinct()
-    a = ordered.select(F.col("id").alias("i"), F.col("tokens").alias("s"))
-    b = ordered.select(F.col("id").alias("j"), F.col("tokens").alias("r"))
-    least = F.when(F.col("i").startswith("2"), T_SHORT).otherwise(T_LONG)
-    exact = near.join(a, "i").join(b, "j").filter(jaccard(F.col("s"), F.col("r")) >= least - 1e-9)
-    slips = F.array_min(F.filter(F.array(F.levenshtein(x, y, 2), F.levenshtein(turned, y, 2)), lambda d: d >= 0))
-    return exact.select(x.alias("x"), y.alias("y"), slips.alias("slips")).groupBy("x", "y").agg(F.min("slips").alias("slips"))
+    blocks = keyed.filter("joined <> ''").select(F.col("joined").alias("w"), F.explode(F.array_compact(F.array(*named))).alias("block")).distinct()
+    placed = cut_lineage(blocks.join(brands, "w").select("w", "brand", F.xxhash64("block").alias("block")))
+    x, y = _joined("i"), _joined("j")
+    near = met_brands(placed, total, together).filter((F.levenshtein(x, y, 2) >= 0) | (F.levenshtein(_turned("i"), y, 2) >= 0)).select("i", "j").distinct()
+
+    padded = lambda c: F.concat(F.lit("^"), F.replace(F.col(c), F.lit(" "), F.lit("^ ^")), F.lit("^"))
+    two = lambda c: F.array_distinct(F.regexp_extract_all(padded(c), F.lit("(?=([^ ]{2}))")))
+    # A word of less than four letters is one gram.
+    four = lambda c: F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", F.col(c), _joined(c), _turned(c)), F.lit("(?=((?<![^ ])[^ ]{1,3}(?![^ ])|[^ ]{4}))")))
+    # The grams come out of a generator, else the filter would compute them anew for each use.
+    grams = F.explode(F.array(F.struct(*[g(c).alias(f"{q}_{c}") for q, g in (("two", two), ("four", four)) for c in "ij"])))
+    both = near.select("i", "j", grams.alias("g"))
+    alike = lambda q, least: jaccard(F.col(f"g.{q}_i"), F.col(f"g.{q}_j")) >= least - 1e-9
+    short = (F.greatest(F.length(x), F.length(y)) <= SHORT) & alike("two", T_SHORT)
+    long = (F.least(F.length(x), F.length(y)) >= LONG) & alike("four", T_LONG)
+    slips = F.array_min(F.filter(F.array(F.levenshtein(x, y, 2), F.levenshtein(_turned("i"), y, 2)), lambda d: d >= 0))
+    return both.filter(short | long).select(x.alias("x"), y.alias("y"), slips.alias("slips"))
 
 
 def firm_links(keyed: DataFrame) -> DataFrame:
@@ -205,10 +260,10 @@ def firm_links(keyed: DataFrame) -> DataFrame:
         # Within equal brands the least row of a (brand, trade, country) stands for its rows: tie them to it.
         F.when((F.col("joined") != "") & (brand >= need), F.concat_ws("|", F.lit("k"), "joined", F.coalesce("trade", F.lit("-")), F.coalesce(F.col("country").cast("string"), F.lit("-")))),
     ]
-    stars = _stars(rows.select(F.explode(F.array_compact(F.array(*keys))).alias("key"), "record_id"), total)
     # A brand that goes with one trade at most is one firm, also where trade and country are missing.
-    single = rows.filter(brand >= need).groupBy("letters").agg(F.count_distinct("trade").alias("k"), F.count(F.lit(1)).alias("n")).filter("k <= 1 and n > 1").select("letters", "n")
-    stars = stars.unionByName(_stars(heavy_safe_join(rows.filter(brand >= need).select("record_id", "letters"), single, ["letters"], "n", total=total).select(F.col("letters").alias("key"), "record_id"), total))
+    single = F.when(brand >= need, F.struct(key("l", "letters").alias("key"), "trade"))
+    each = F.concat(F.transform(F.array_compact(F.array(*keys)), lambda k: F.struct(k.alias("key"), F.lit(None).cast("string").alias("trade"))), F.array_compact(F.array(single)))
+    stars = _stars(rows.select(F.explode(each).alias("k"), "record_id").select("k.key", "record_id", "k.trade"), total)
     brand_df = rows.groupBy("joined").agg(F.count(F.lit(1)).alias("brand_df"))
     kinds = rows.filter("joined <> ''").groupBy("joined", "trade", "country").agg(F.min("record_id").alias("record_id"), F.min("site").alias("site"), F.min("profile").alias("profile"), F.max("w_trade").alias("w_trade"), F.max("w_country").alias("w_country"))
     kinds = cut_lineage(kinds.join(brand_df, "joined"))
@@ -253,7 +308,7 @@ def short_forms(keyed: DataFrame, found: DataFrame, total: int | None = None) ->
 
     def tied(left: DataFrame, keys: list[str]) -> DataFrame:
         one = stands.dropna(subset=keys).groupBy(*keys).agg(F.min("firm_id").alias("b"), F.max("firm_id").alias("top"), F.count(F.lit(1)).alias("n")).filter("b = top").select(*keys, "b", "n")
-        return heavy_safe_join(left, one, keys, "n", total=total).filter("firm_id <> b").select(F.col("firm_id").alias("a"), "b")
+        return heavy_safe_join(left, _counted(one, total or HEAVY + 1), keys, "n", total=total).filter("firm_id <> b").select(F.col("firm_id").alias("a"), "b")
 
     # Without a country only a whole word counts, and it must be the only one of its trade anywhere.
     alone = short.filter((F.length("joined") >= 7) & F.col("country").isNull())

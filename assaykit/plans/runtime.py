@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a relation of short rows may be broadcast (about 30 MB at 150 bytes a row).
 BROADCAST_ROWS = 200_000
+#: Rows of a key beyond which it is hot.
+HEAVY = 100_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -77,7 +79,7 @@ def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if at_most(df, rows) else df
 
 
-def heavy_safe_join(rows: DataFrame, mapping: DataFrame, keys: list[str], count_col: str, heavy: int = 100_000, how: str = "inner", total: int | None = None) -> DataFrame:
+def heavy_safe_join(rows: DataFrame, mapping: DataFrame, keys: list[str], count_col: str, heavy: int = HEAVY, how: str = "inner", total: int | None = None) -> DataFrame:
     """Join ``rows`` with ``mapping`` (one row a key, carrying the number ``count_col`` of matching rows).
 
     Keys of more than ``heavy`` rows are joined by broadcast, so no task gets a hot key whole. Their number is at
@@ -139,4 +141,4 @@ def ws_trim(c: Column) -> Column:
     return F.regexp_replace(c, r"^[\s 　​﻿]+|[\s 　​﻿]+$", "")
 
 
-__all__ = ["BROADCAST_ROWS", "at_most", "bounded_broadcast", "connected_components", "cut_lineage", "ensure_checkpoint_dir", "heavy_safe_join", "release", "shared_folder", "ship_package", "ws_trim"]
+__all__ = ["BROADCAST_ROWS", "HEAVY", "at_most", "bounded_broadcast", "connected_components", "cut_lineage", "ensure_checkpoint_dir", "heavy_safe_join", "release", "shared_folder", "ship_package", "ws_trim"]
