@@ -109,19 +109,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds; every star is an aggregate plus a join on the vertex, never a
     collected group. Each round is cut by a checkpoint, which goes once the next stands. Self loops are allowed and keep
-    lone vertices. Rounds grow with the logarithm of a component's diameter; RuntimeError after ``max_rounds``.
+    lone vertices. Rounds grow with the logarithm of a component's diameter; RuntimeError after ``max_rounds``. Rounds over at most
+    half of ``HEAVY`` links go in one task, joined by broadcast, without shuffles: each shuffle holds a thread of the driver for a minute.
     """
     loops = edges.filter("a = b").select(F.col("a").alias("node")).distinct()
     links = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     size, signature = links.count(), None
     for _ in range(max_rounds):
-        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        few, sent = (lambda df: df.coalesce(1), F.broadcast) if 2 * size <= HEAVY else (lambda df: df, lambda df: df)
+        ways = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = few(links).select(F.explode(ways).alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("m", "u"))
-        large = heavy_safe_join(both.filter("v > u"), least, ["u"], "n", total=2 * size).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = heavy_safe_join(both.filter("v > u"), sent(least), ["u"], "n", total=2 * size).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
         least2 = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = heavy_safe_join(large, least2, ["u"], "n", total=2 * size).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.union(least2.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        small = heavy_safe_join(large, sent(least2), ["u"], "n", total=2 * size).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = few(small.union(least2.select("u", F.col("m").alias("v")))).filter("u <> v").distinct()
         before, links = links, cut_lineage(small)
         release(before)
         now = links.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()

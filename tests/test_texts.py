@@ -141,3 +141,13 @@ def test_markdown_round_trip_of_large_ids(spark, rows, tmp_path):
         got = markdown_round_trip(spark, str(d))
         assert dict(got.dtypes)["record_id"] == kind
         assert rows(got) == [(first, "a|b", "x y"), (first + 1, "", "z")]
+
+
+def test_components_of_few_links_take_few_jobs(spark, rows):
+    df = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (102, 100), (7, 7), (200, 200)], "a bigint, b bigint")
+    spark.sparkContext.setJobGroup("components", "")
+    found = connected_components(df)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("components"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert rows(found) == sorted([(k, 0) for k in range(61)] + [(100, 100), (101, 100), (102, 100), (200, 200)], key=str)
+    assert jobs < 50, jobs
